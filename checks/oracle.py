@@ -273,3 +273,137 @@ SELECT sample_id, {normalize('pred_sql')} = {normalize('gold_sql')} AS em FROM p
 ORACLES["exact_match_rate"] = cte("pairs") + f"""
 SELECT coalesce(round(avg(CAST({normalize('pred_sql')} = {normalize('gold_sql')} AS DOUBLE)), 9), 0.0) AS em_rate,
   count(*) AS n FROM pairs"""
+
+# ------------------------------------------------------------------ execution results
+def _sides_sql() -> str:
+    return """sides AS (
+  SELECT sample_id,
+    bool_or(side = 'pred' AND status = 'ok') AS pred_ok, bool_or(side = 'gold' AND status = 'ok') AS gold_ok,
+    bool_or(side = 'pred' AND contains(lower(sql), 'order by')) AS po,
+    bool_or(side = 'gold' AND contains(lower(sql), 'order by')) AS go
+  FROM result_status GROUP BY sample_id)"""
+
+
+def _cmp_sql(pred_keep: str, gold_keep: str) -> str:
+    """Per sample equality of the two row lists; a side keeps row_no order when its flag is true, else sorted."""
+    return f"""pos AS (
+  SELECT r.sample_id, r.side, r.row_str,
+    CASE WHEN (r.side = 'pred' AND {pred_keep}) OR (r.side = 'gold' AND {gold_keep}) THEN r.row_no
+         ELSE row_number() OVER (PARTITION BY r.sample_id, r.side ORDER BY r.row_str, r.row_no) END AS pos
+  FROM result_rows r JOIN sides s ON r.sample_id = s.sample_id),
+cmp AS (
+  SELECT coalesce(p.sample_id, g.sample_id) AS sample_id, bool_and(p.row_str IS NOT DISTINCT FROM g.row_str) AS same
+  FROM (SELECT * FROM pos WHERE side = 'pred') p
+  FULL OUTER JOIN (SELECT * FROM pos WHERE side = 'gold') g ON p.sample_id = g.sample_id AND p.pos = g.pos
+  GROUP BY 1)"""
+
+
+EX_BODY = f"""{_sides_sql()},
+{_cmp_sql('s.po', 's.go')},
+ex_t AS (SELECT s.sample_id, coalesce(s.pred_ok AND s.gold_ok AND coalesce(c.same, true), false) AS ex
+         FROM sides s LEFT JOIN cmp c ON s.sample_id = c.sample_id)"""
+
+ORACLES["execution_match"] = cte("result_rows", "result_status") + f", {EX_BODY}\nSELECT * FROM ex_t"
+ORACLES["execution_match_rate"] = cte("result_rows", "result_status") + f""", {EX_BODY}
+SELECT coalesce(round(avg(CAST(ex AS DOUBLE)), 9), 0.0) AS ex_rate, count(*) AS n FROM ex_t"""
+
+F1_BODY = """toks AS (
+  SELECT sample_id, side, unnest(regexp_extract_all(lower(coalesce(cell, 'none')), '\\S+')) AS tok
+  FROM (SELECT sample_id, side, unnest(cells) AS cell FROM result_rows) c),
+pt AS (SELECT sample_id, tok, count(*) FILTER (WHERE side = 'pred') AS p, count(*) FILTER (WHERE side = 'gold') AS g
+       FROM toks GROUP BY sample_id, tok),
+ps AS (SELECT sample_id, sum(least(p, g)) AS common, sum(p) AS np, sum(g) AS ng FROM pt GROUP BY sample_id),
+nr AS (SELECT sample_id, count(*) FILTER (WHERE side = 'pred') AS pr, count(*) FILTER (WHERE side = 'gold') AS gr
+       FROM result_rows GROUP BY sample_id),
+f1_t AS (
+  SELECT x.sample_id,
+    CASE WHEN coalesce(gr, 0) = 0 THEN CASE WHEN coalesce(pr, 0) = 0 THEN 1.0 ELSE 0.0 END
+         WHEN coalesce(np, 0) = 0 AND coalesce(ng, 0) = 0 THEN 1.0
+         WHEN coalesce(np, 0) = 0 OR coalesce(ng, 0) = 0 THEN 0.0
+         WHEN common = 0 THEN 0.0
+         ELSE 2 * (common / np) * (common / ng) / ((common / np) + (common / ng)) END AS f1
+  FROM (SELECT DISTINCT sample_id FROM result_status) x
+  LEFT JOIN nr ON x.sample_id = nr.sample_id LEFT JOIN ps ON x.sample_id = ps.sample_id)"""
+
+ORACLES["result_f1"] = cte("result_rows", "result_status") + f", {F1_BODY}\nSELECT sample_id, round(f1, 9) AS f1 FROM f1_t"
+ORACLES["reward_execution"] = cte("result_rows", "result_status") + f""", {_sides_sql()},
+{_cmp_sql('s.po', 's.po')}, {F1_BODY}
+SELECT s.sample_id, round(CASE WHEN NOT (s.pred_ok AND s.gold_ok) THEN 0.0
+                              WHEN coalesce(c.same, true) THEN 1.0 ELSE f.f1 END, 9) AS r_exec
+FROM sides s LEFT JOIN cmp c ON s.sample_id = c.sample_id LEFT JOIN f1_t f ON s.sample_id = f.sample_id"""
+
+ORACLES["difficulty_breakdown"] = cte("eval_rows") + """
+SELECT coalesce(difficulty, 'unknown') AS difficulty, count(*) FILTER (WHERE ex) AS correct, count(*) AS total,
+  round(count(*) FILTER (WHERE ex) / count(*), 9) AS accuracy
+FROM eval_rows GROUP BY 1
+UNION ALL
+SELECT 'all', count(*) FILTER (WHERE ex), count(*), round(count(*) FILTER (WHERE ex) / count(*), 9) FROM eval_rows"""
+
+_DETAILS = f"""details AS (
+  SELECT q.sample_id, q.db_id, q.question, q.evidence, q.difficulty, q.query AS gold_sql,
+    coalesce(p.pred_sql, '') AS pred_sql, coalesce(e.ex, false) AS ex,
+    {normalize("coalesce(p.pred_sql, '')")} = {normalize('q.query')} AS em
+  FROM qa_corpus q LEFT JOIN pairs p ON q.sample_id = p.sample_id LEFT JOIN ex_t e ON q.sample_id = e.sample_id)"""
+ORACLES["eval_details"] = (cte("qa_corpus", "pairs", "result_rows", "result_status") +
+                           f", {EX_BODY}, {_DETAILS}\nSELECT * FROM details")
+ORACLES["eval_summary"] = cte("qa_corpus", "pairs", "result_rows", "result_status") + f", {EX_BODY}, {_DETAILS}" + """
+SELECT 'overall' AS scope, '' AS difficulty, count(*) FILTER (WHERE ex) AS correct, count(*) AS total,
+  coalesce(round(avg(CAST(ex AS DOUBLE)), 9), 0.0) AS ex_rate, coalesce(round(avg(CAST(em AS DOUBLE)), 9), 0.0) AS em_rate
+FROM details
+UNION ALL
+SELECT 'difficulty', coalesce(difficulty, 'unknown'), count(*) FILTER (WHERE ex), count(*),
+  round(avg(CAST(ex AS DOUBLE)), 9), round(avg(CAST(em AS DOUBLE)), 9)
+FROM details GROUP BY coalesce(difficulty, 'unknown')"""
+
+# ------------------------------------------------------------------ text rewards
+_TAG_HITS = " + ".join(f"CAST(contains(output, '{t}') AS INT)" for t in K.ALL_TAGS)
+ORACLES["reward_format"] = cte("model_outputs") + f"\nSELECT sample_id, round(({_TAG_HITS}) / {float(len(K.ALL_TAGS))}, 9) AS r_format FROM model_outputs"
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in K.SCHEMA_STOPWORDS) + "]"
+
+
+def schema_toks(x: str) -> str:
+    clean = f"""regexp_replace(regexp_replace(lower({x}), '''[^'']*''', '', 'g'), '"[^"]*"', '', 'g')"""
+    return (f"list_filter(list_distinct(regexp_extract_all({clean}, '\\b[a-z_][a-z0-9_]{{1,}}\\b')), "
+            f"lambda t: NOT list_contains({_STOP}, t))")
+
+
+ORACLES["schema_tokens"] = cte("qa_corpus") + f"""
+SELECT sample_id, len({schema_toks('query')}) AS n_tokens, array_to_string(list_sort({schema_toks('query')}), ',') AS tokens
+FROM qa_corpus"""
+
+ORACLES["reward_schema"] = cte("pairs") + f"""
+SELECT sample_id, round(CASE WHEN len(g) = 0 THEN CASE WHEN len(p) = 0 THEN 1.0 ELSE 0.5 END
+                             WHEN len(p) = 0 THEN 0.0
+                             ELSE len(list_intersect(p, g)) / (len(p) + len(g) - len(list_intersect(p, g))) END, 9) AS r_schema
+FROM (SELECT sample_id, {schema_toks('pred_sql')} AS p, {schema_toks('gold_sql')} AS g FROM pairs) t"""
+
+
+def bigrams(x: str) -> str:
+    w = f"regexp_extract_all(lower({x}), '{WORD}')"
+    return f"list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])"
+
+
+ORACLES["ngram_counts"] = cte("qa_corpus") + f"""
+SELECT sample_id, len({bigrams('query')}) AS n_ngrams, array_to_string({bigrams('query')}, '|') AS ngrams FROM qa_corpus"""
+
+ORACLES["reward_ngram"] = cte("pairs") + f""",
+grams AS (SELECT sample_id, 'p' AS side, unnest({bigrams('pred_sql')}) AS gram FROM pairs
+          UNION ALL SELECT sample_id, 'g', unnest({bigrams('gold_sql')}) FROM pairs),
+cnt AS (SELECT sample_id, gram, count(*) FILTER (WHERE side = 'p') AS p, count(*) FILTER (WHERE side = 'g') AS g
+        FROM grams GROUP BY sample_id, gram),
+com AS (SELECT sample_id, sum(least(p, g)) AS common, sum(p) AS np, sum(g) AS ng FROM cnt GROUP BY sample_id)
+SELECT pairs.sample_id, round(CASE WHEN coalesce(ng, 0) = 0 THEN CASE WHEN coalesce(np, 0) = 0 THEN 1.0 ELSE 0.0 END
+    WHEN coalesce(np, 0) = 0 THEN 0.0 WHEN common = 0 THEN 0.0
+    ELSE 2 * (common / np) * (common / ng) / ((common / np) + (common / ng)) END, 9) AS r_ngram
+FROM pairs LEFT JOIN com ON pairs.sample_id = com.sample_id"""
+
+ORACLES["output_quality"] = cte("model_outputs", "qa_corpus") + f"""
+SELECT source, count(*) AS n_outputs, count(*) FILTER (WHERE summary <> '') AS n_summary,
+  count(*) FILTER (WHERE summary = '' AND assembled <> '') AS n_assembled,
+  count(*) FILTER (WHERE summary = '' AND assembled = '') AS n_empty,
+  round(avg({len(K.ALL_TAGS)} - hits), 9) AS avg_missing_tags
+FROM (SELECT q.source, {extract('output', 'summary')} AS summary, {assemble(_EXC)} AS assembled, ({_TAG_HITS}) AS hits
+      FROM (SELECT sample_id, output, {', '.join(f'{_EX[c]} AS x_{c}' for c in K.CLAUSES)} FROM model_outputs) m
+      JOIN qa_corpus q ON m.sample_id = q.sample_id) t
+GROUP BY source"""

@@ -182,4 +182,96 @@ def q_exact_match_rate(spark, sf):
     em = q_exact_match(spark, sf)
     return em.agg(F.coalesce(F.round(F.avg(F.col("em").cast("double")), 9), F.lit(0.0)).alias("em_rate"),
                   F.count(F.lit(1)).alias("n"))
-FLAGSHIP = "clause_split"
+
+
+
+# ------------------------------------------------------------------ execution results
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators import rewards as RW  # noqa: E402
+
+
+def _results(spark, sf):
+    return fixture(spark, sf, "result_rows"), fixture(spark, sf, "result_status")
+
+
+@register("execution_match")
+def q_execution_match(spark, sf):
+    rows, status = _results(spark, sf)
+    return EV.execution_match(rows, status)
+
+
+@register("execution_match_rate")
+def q_execution_match_rate(spark, sf):
+    return EV.rate(q_execution_match(spark, sf), "ex", "ex_rate")
+
+
+@register("result_f1")
+def q_result_f1(spark, sf):
+    rows, status = _results(spark, sf)
+    samples = status.select("sample_id").distinct()
+    return RW.result_token_f1(rows, samples).select("sample_id", F.round("f1", 9).alias("f1"))
+
+
+@register("reward_execution")
+def q_reward_execution(spark, sf):
+    rows, status = _results(spark, sf)
+    return RW.reward_execution(rows, status).select("sample_id", F.round("r_exec", 9).alias("r_exec"))
+
+
+@register("difficulty_breakdown")
+def q_difficulty_breakdown(spark, sf):
+    return EV.difficulty_breakdown(fixture(spark, sf, "eval_rows"))
+
+
+@register("eval_details")
+def q_eval_details(spark, sf):
+    samples = fixture(spark, sf, "qa_corpus")
+    preds = fixture(spark, sf, "pairs")
+    return EV.eval_details(samples, preds, q_execution_match(spark, sf))
+
+
+@register("eval_summary")
+def q_eval_summary(spark, sf):
+    return EV.eval_summary(q_eval_details(spark, sf))
+
+
+# ------------------------------------------------------------------ text rewards
+@register("reward_format")
+def q_reward_format(spark, sf):
+    df = fixture(spark, sf, "model_outputs")
+    return df.select("sample_id", F.round(RW.reward_format(F.col("output")), 9).alias("r_format"))
+
+
+@register("schema_tokens")
+def q_schema_tokens(spark, sf):
+    df = fixture(spark, sf, "qa_corpus")
+    t = TX.schema_tokens(F.col("query"))
+    return df.select("sample_id", F.size(t).alias("n_tokens"), F.array_join(F.array_sort(t), ",").alias("tokens"))
+
+
+@register("reward_schema")
+def q_reward_schema(spark, sf):
+    df = fixture(spark, sf, "pairs")
+    return df.select("sample_id", F.round(RW.reward_schema(F.col("pred_sql"), F.col("gold_sql")), 9).alias("r_schema"))
+
+
+@register("ngram_counts")
+def q_ngram_counts(spark, sf):
+    df = fixture(spark, sf, "qa_corpus")
+    g = TX.ngrams(F.col("query"), 2)
+    return df.select("sample_id", F.size(g).alias("n_ngrams"), F.array_join(g, "|").alias("ngrams"))
+
+
+@register("reward_ngram")
+def q_reward_ngram(spark, sf):
+    df = fixture(spark, sf, "pairs")
+    return df.select("sample_id", F.round(RW.reward_ngram(F.col("pred_sql"), F.col("gold_sql")), 9).alias("r_ngram"))
+
+
+@register("output_quality")
+def q_output_quality(spark, sf):
+    from ..operators.outputs import output_quality
+    outs = fixture(spark, sf, "model_outputs").join(
+        fixture(spark, sf, "qa_corpus").select("sample_id", "source"), "sample_id")
+    return output_quality(outs)
+FLAGSHIP = "eval_summary"
