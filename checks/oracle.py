@@ -407,3 +407,59 @@ FROM (SELECT q.source, {extract('output', 'summary')} AS summary, {assemble(_EXC
       FROM (SELECT sample_id, output, {', '.join(f'{_EX[c]} AS x_{c}' for c in K.CLAUSES)} FROM model_outputs) m
       JOIN qa_corpus q ON m.sample_id = q.sample_id) t
 GROUP BY source"""
+
+# ------------------------------------------------------------------ guarded execution (fixed pairs)
+# Expected outcome of the guard per text, as decided by hand from section 7.4:
+# refused texts are several statements, syntax error, unknown column, DROP,
+# WITH ... INSERT; the runtime cast error plans (validity 1.0) but fails to run.
+_REFUSED = {7, 8, 9, 10, 11}
+_FAILS = _REFUSED | {12}
+ORACLES["sql_batch_status"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, 'pred', '{'error' if i in _FAILS else 'ok'}'), ({i}, 'gold', 'ok')" for i in range(1, 13)
+) + ") AS v(sample_id, side, status)"
+ORACLES["sql_validity"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, 'pred', {0.5 if i in _REFUSED else 1.0}), ({i}, 'gold', 1.0)" for i in range(1, 13)
+) + ") AS v(sample_id, side, validity)"
+# Expected execution match: equal, equal up to order, ordered equal -> true; the rest false.
+ORACLES["execution_match_fixed"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {'true' if i in (1, 2, 3, 6) else 'false'})" for i in range(1, 13)) + ") AS v(sample_id, ex)"
+
+_G = "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 1"
+_Q = "chr(39)"
+
+
+def _rs(*cols_types):
+    """Python-style row text for int and string columns."""
+    parts = [f"{_Q} || {c} || {_Q}" if t == "s" else f"CAST({c} AS VARCHAR)" for c, t in cols_types]
+    inner = " || ', ' || ".join(parts)
+    return f"'(' || {inner} || {repr(',)') if len(parts) == 1 else repr(')')}"
+
+
+_ROWS = [
+    # (sample_id, side, select list of row text, from/where, order key or None)
+    (1, "pred", _rs(("c_mktsegment", "s"), ("n", "i")), "(SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment)", None),
+    (1, "gold", _rs(("c_mktsegment", "s"), ("n", "i")), "(SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment)", None),
+    (2, "pred", _rs(("o_orderkey", "i"), ("o_orderstatus", "s")), "orders WHERE o_orderkey % 7 = 0", None),
+    (2, "gold", _rs(("o_orderkey", "i"), ("o_orderstatus", "s")), "orders WHERE o_orderkey % 7 = 0 AND o_totalprice >= 0", None),
+    (3, "pred", _rs(("c_custkey", "i"), ("c_name", "s")), "customer WHERE c_nationkey = 3", "c_custkey DESC"),
+    (3, "gold", _rs(("c_custkey", "i"), ("c_name", "s")), "customer WHERE c_nationkey = 3", "c_custkey DESC"),
+    (4, "pred", _rs(("c_custkey", "i"), ("c_name", "s")), "customer WHERE c_nationkey = 4", "c_custkey"),
+    (4, "gold", _rs(("c_custkey", "i"), ("c_name", "s")), "customer WHERE c_nationkey = 4", "c_custkey DESC"),
+    (5, "pred", _rs(("c_custkey", "i")), "customer", None),
+    (5, "gold", _rs(("c_name", "s")), "customer", None),
+    (6, "pred", _rs(("c_custkey", "i")), "customer WHERE c_custkey < 0", None),
+    (6, "gold", _rs(("c_custkey", "i")), "customer WHERE c_custkey < 0", None),
+] + [(i, "gold", _rs(("c_custkey", "i"), ("c_mktsegment", "s")), "customer WHERE c_nationkey = 1", None) for i in range(7, 13)]
+
+ORACLES["sql_batch_rows"] = "\nUNION ALL\n".join(
+    f"SELECT CAST({i} AS BIGINT) AS sample_id, '{side}' AS side, {rs} AS row_str, "
+    + (f"CAST(row_number() OVER (ORDER BY {o}) AS INT)" if o else "CAST(NULL AS INT)") + f" AS row_pos FROM {src}"
+    for i, side, rs, src, o in _ROWS)
+
+ORACLES["exec_feedback"] = cte("result_rows", "result_status_err") + """
+SELECT s.sample_id,
+  CASE WHEN s.status = 'ok' THEN '[' || coalesce(h.txt, '') || ']' ELSE '' END AS exec_result,
+  CASE WHEN s.status = 'ok' THEN '' ELSE s.error END AS exec_error
+FROM (SELECT * FROM result_status_err WHERE side = 'pred') s
+LEFT JOIN (SELECT sample_id, string_agg(row_str, ', ' ORDER BY row_no) AS txt FROM result_rows
+           WHERE side = 'pred' AND row_no <= 10 GROUP BY sample_id) h ON s.sample_id = h.sample_id"""

@@ -174,6 +174,12 @@ SELECT CAST(c_custkey AS BIGINT) AS sample_id, 'pred' AS side,
 FROM customer
 """
 
+F4_RESULT_STATUS_ERR = f"""
+SELECT sample_id, side, status, sql,
+  CASE WHEN status = 'error' THEN 'unknown column o_x in query ' || {_s('sample_id')} ELSE '' END AS error
+FROM ({F4_RESULT_STATUS}) s
+"""
+
 # ---------------------------------------------------------------- F6 questions
 F6_QUESTIONS = f"""
 SELECT CAST(c_custkey AS BIGINT) AS q_id,
@@ -245,6 +251,8 @@ FIXTURES = {
     "pairs": (F3_PAIRS, ("customer",)),
     "result_rows": (F4_RESULT_ROWS, ("orders",)),
     "result_status": (F4_RESULT_STATUS, ("customer",)),
+    "result_status_err": (F4_RESULT_STATUS_ERR, ("customer",)),
+    "sql_pairs": (None, ("customer", "orders")),
     "questions": (F6_QUESTIONS, ("customer", "conversations")),
     "history": (F7_HISTORY, ("conversations",)),
     "vec_queries": (F8_VEC_QUERIES, ("embeddings",)),
@@ -254,8 +262,42 @@ FIXTURES = {
 }
 
 
+# ---------------------------------------------------------------- fixed SQL pairs
+# Twelve pred/gold pairs over customer and orders: equal; equal up to row order;
+# ordered and equal; ordered and different; different columns; empty result;
+# several statements; syntax error; unknown column; DROP; WITH ... INSERT;
+# runtime cast error. The texts are fixed, the data they read is whole tables.
+_G = "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 1"
+SQL_PAIRS = [
+    (1, "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment",
+        "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment"),
+    (2, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 7 = 0",
+        "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 7 = 0 AND o_totalprice >= 0;"),
+    (3, "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 ORDER BY c_custkey DESC",
+        "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 ORDER BY c_custkey DESC"),
+    (4, "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 4 ORDER BY c_custkey",
+        "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 4 ORDER BY c_custkey DESC"),
+    (5, "SELECT c_custkey FROM customer", "SELECT c_name FROM customer"),
+    (6, "SELECT c_custkey FROM customer WHERE c_custkey < 0", "SELECT c_custkey FROM customer WHERE c_custkey < 0"),
+    (7, "SELECT 1; SELECT 2", _G),
+    (8, "SELEC c_name FROM customer", _G),
+    (9, "SELECT c_nme FROM customer", _G),
+    (10, "DROP TABLE customer", _G),
+    (11, "WITH x AS (SELECT 1 AS a) INSERT INTO customer SELECT * FROM customer", _G),
+    (12, "SELECT CAST(c_name AS INT) AS bad FROM customer", _G),
+]
+
+
+def sql_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed pairs as a table (sample_id, pred_sql, gold_sql); tables registered for running them."""
+    register_tables(spark, sf_dir, ("customer", "orders"))
+    return spark.createDataFrame(SQL_PAIRS, "sample_id long, pred_sql string, gold_sql string")
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build fixture ``name`` with Spark SQL over the driver tables of ``sf_dir``."""
+    if name == "sql_pairs":
+        return sql_pairs(spark, sf_dir)
     sql, tables = FIXTURES[name]
     register_tables(spark, sf_dir, tables)
     return spark.sql(sql)

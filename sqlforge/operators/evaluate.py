@@ -121,3 +121,20 @@ def eval_summary(details: DataFrame) -> DataFrame:
         F.round(F.avg(F.col("ex").cast("double")), 9).alias("ex_rate"),
         F.round(F.avg(F.col("em").cast("double")), 9).alias("em_rate")).withColumn("scope", F.lit("difficulty"))
     return overall.unionByName(per)
+
+
+def pair_results(pairs: DataFrame, status: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Map per-query results (by sql_id) back to samples: long rows and statuses with side pred/gold.
+
+    ``pairs`` has (sample_id, pred_sql, gold_sql); ``status``/``rows`` come
+    from ``run_sql_batch``. A query shared by many samples ran once.
+    """
+    from .execute import sql_id_col
+    sides = pairs.select("sample_id", F.lit("pred").alias("side"), F.col("pred_sql").alias("sql")) \
+        .unionByName(pairs.select("sample_id", F.lit("gold").alias("side"), F.col("gold_sql").alias("sql"))) \
+        .withColumn("sql_id", sql_id_col("sql"))
+    st = sides.join(status.select("sql_id", "status", "error"), "sql_id", "left") \
+        .select("sample_id", "side", F.coalesce("status", F.lit("error")).alias("status"), "sql",
+                F.coalesce("error", F.lit("not run")).alias("error"))
+    rw = sides.join(rows, "sql_id").select("sample_id", "side", "row_no", "cells", "row_str")
+    return rw, st

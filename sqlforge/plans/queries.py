@@ -275,3 +275,57 @@ def q_output_quality(spark, sf):
         fixture(spark, sf, "qa_corpus").select("sample_id", "source"), "sample_id")
     return output_quality(outs)
 FLAGSHIP = "eval_summary"
+
+
+# ------------------------------------------------------------------ guarded execution (fixed pairs, F4)
+from ..operators import execute as EX  # noqa: E402
+
+
+def _pair_texts(spark, sf):
+    p = fixture(spark, sf, "sql_pairs")
+    return p, p.select(F.col("pred_sql").alias("sql")).unionByName(p.select(F.col("gold_sql").alias("sql")))
+
+
+def _run_pairs(spark, sf):
+    p, texts = _pair_texts(spark, sf)
+    status, rows = EX.run_sql_batch(spark, texts, timeout=30.0)
+    return p, status, rows
+
+
+@register("sql_batch_status")
+def q_sql_batch_status(spark, sf):
+    p, status, rows = _run_pairs(spark, sf)
+    rw, st = EV.pair_results(p, status, rows)
+    return st.select("sample_id", "side", "status")
+
+
+@register("sql_batch_rows")
+def q_sql_batch_rows(spark, sf):
+    p, status, rows = _run_pairs(spark, sf)
+    rw, st = EV.pair_results(p, status, rows)
+    ordered = st.select("sample_id", "side", TX.has_order_by("sql").alias("o"))
+    return rw.join(ordered, ["sample_id", "side"]).select(
+        "sample_id", "side", "row_str", F.when(F.col("o"), F.col("row_no")).alias("row_pos"))
+
+
+@register("execution_match_fixed")
+def q_execution_match_fixed(spark, sf):
+    p, status, rows = _run_pairs(spark, sf)
+    rw, st = EV.pair_results(p, status, rows)
+    return EV.execution_match(rw, st)
+
+
+@register("sql_validity")
+def q_sql_validity(spark, sf):
+    p, texts = _pair_texts(spark, sf)
+    v = EX.sql_validity(spark, texts)
+    sides = p.select("sample_id", F.lit("pred").alias("side"), F.col("pred_sql").alias("sql")) \
+        .unionByName(p.select("sample_id", F.lit("gold").alias("side"), F.col("gold_sql").alias("sql")))
+    return sides.withColumn("sql_id", EX.sql_id_col("sql")).join(v, "sql_id").select("sample_id", "side", "validity")
+
+
+@register("exec_feedback")
+def q_exec_feedback(spark, sf):
+    rows = fixture(spark, sf, "result_rows").filter(F.col("side") == "pred")
+    status = fixture(spark, sf, "result_status_err").filter(F.col("side") == "pred")
+    return EX.exec_feedback(rows, status, key="sample_id")
