@@ -463,3 +463,167 @@ SELECT s.sample_id,
 FROM (SELECT * FROM result_status_err WHERE side = 'pred') s
 LEFT JOIN (SELECT sample_id, string_agg(row_str, ', ' ORDER BY row_no) AS txt FROM result_rows
            WHERE side = 'pred' AND row_no <= 10 GROUP BY sample_id) h ON s.sample_id = h.sample_id"""
+
+# ------------------------------------------------------------------ retrieval
+def bow(src: str, ids: str, text: str) -> str:
+    """Normalised word-count vectors (ids..., term, w) of text column ``text`` of relation ``src``."""
+    return f"""(SELECT {ids}, term, n / sqrt(sum(n * n) OVER (PARTITION BY {ids})) AS w FROM (
+  SELECT {ids}, term, count(*) AS n FROM (
+    SELECT {ids}, unnest(regexp_extract_all(lower({text}), '{WORD}')) AS term FROM {src}) t0
+  GROUP BY {ids}, term) t1)"""
+
+
+REGISTRY = f"""registry AS (
+  SELECT d.db_ord, d.db_id,
+    'database ' || d.db_id || '; tables ' || array_to_string(t.tables, ', ') || '; columns '
+      || array_to_string(c.cols[1:{K.REGISTRY_DESC_COLS}], ', ') AS description,
+    list_concat(t.tables, c.cols[1:{K.REGISTRY_KEYWORD_COLS}]) AS keywords
+  FROM (SELECT DISTINCT db_ord, db_id FROM catalog) d
+  JOIN (SELECT db_id, list(table_name ORDER BY table_ord) AS tables FROM (SELECT DISTINCT db_id, table_name, table_ord FROM catalog) x GROUP BY db_id) t
+    ON d.db_id = t.db_id
+  JOIN (SELECT db_id, list(col_name ORDER BY table_ord, col_ord) AS cols FROM catalog GROUP BY db_id) c ON d.db_id = c.db_id)"""
+
+_RET = cte("questions", "history") + f", {CATALOG}, {REGISTRY}"
+
+ORACLES["bow_vectors"] = cte("questions") + f"\nSELECT q_id, term, round(w, 9) AS w FROM {bow('questions', 'q_id', 'question')} v"
+ORACLES["db_registry"] = f"WITH {CATALOG}, {REGISTRY}\nSELECT db_ord, db_id, description, array_to_string(keywords, ',') AS keywords FROM registry"
+
+_KWS = """kws AS (
+  SELECT q.q_id, r.db_id,
+    CASE WHEN len(r.keywords) > 0 THEN len(list_filter(r.keywords, lambda k: contains(lower(q.question), lower(k)))) / len(r.keywords)
+         ELSE 0.0 END AS kw_score
+  FROM questions q CROSS JOIN registry r)"""
+ORACLES["keyword_score"] = _RET + f", {_KWS}\nSELECT q_id, db_id, round(kw_score, 9) AS kw_score FROM kws WHERE kw_score > 0"
+
+_ROUTE = f"""qv AS {bow('questions', 'q_id', 'question')},
+dv AS {bow('registry', 'db_id', 'description')},
+cos AS (SELECT qv.q_id, dv.db_id, sum(qv.w * dv.w) AS sim FROM qv JOIN dv ON qv.term = dv.term GROUP BY qv.q_id, dv.db_id),
+{_KWS},
+scored AS (
+  SELECT k.q_id, k.db_id, r.db_ord,
+    round(CAST(0.4 AS DOUBLE) * k.kw_score + CAST(0.6 AS DOUBLE) * coalesce(c.sim, 0.0), 9) AS score
+  FROM kws k JOIN registry r ON k.db_id = r.db_id LEFT JOIN cos c ON k.q_id = c.q_id AND k.db_id = c.db_id),
+routed AS (SELECT q_id, db_id, score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, db_ord) AS INT) AS rank
+           FROM scored QUALIFY rank <= {K.ROUTE_TOP_K})"""
+ORACLES["route_topk"] = _RET + f", {_ROUTE}\nSELECT * FROM routed"
+
+_KNOWN = "known AS (SELECT * FROM questions WHERE db_id IS NOT NULL)"
+_TABLE_ITEMS = """titems AS (
+  SELECT db_id, table_name, table_ord, count(*) AS n_cols,
+    table_name || ' ' || string_agg(col_name, ' ' ORDER BY col_ord) AS txt
+  FROM catalog GROUP BY db_id, table_name, table_ord)"""
+
+
+def _rank_tables_sql(qrel: str) -> str:
+    return f"""{_TABLE_ITEMS},
+tq AS {bow(qrel, 'q_id', 'question')},
+tv AS {bow('titems', 'db_id, table_name', 'txt')},
+tsim AS (SELECT tq.q_id, tv.db_id, tv.table_name, sum(tq.w * tv.w) AS sim
+         FROM tq JOIN {qrel} k ON tq.q_id = k.q_id JOIN tv ON tv.db_id = k.db_id AND tv.term = tq.term
+         GROUP BY tq.q_id, tv.db_id, tv.table_name),
+tables_r AS (
+  SELECT k.q_id, k.db_id, t.table_name, t.table_ord, t.n_cols, round(coalesce(s.sim, 0.0), 9) AS table_score,
+    CAST(row_number() OVER (PARTITION BY k.q_id ORDER BY round(coalesce(s.sim, 0.0), 9) DESC, t.table_ord) AS INT) AS table_rank
+  FROM {qrel} k JOIN titems t ON t.db_id = k.db_id
+  LEFT JOIN tsim s ON s.q_id = k.q_id AND s.db_id = t.db_id AND s.table_name = t.table_name
+  QUALIFY table_rank <= {K.TOP_TABLES})"""
+
+
+def _prune_sql(qrel: str) -> str:
+    return f"""cv AS {bow('catalog', 'db_id, table_name, col_name', 'col_name')},
+csim AS (SELECT tq.q_id, cv.db_id, cv.table_name, cv.col_name, sum(tq.w * cv.w) AS sim
+         FROM tq JOIN {qrel} k ON tq.q_id = k.q_id JOIN cv ON cv.db_id = k.db_id AND cv.term = tq.term
+         GROUP BY tq.q_id, cv.db_id, cv.table_name, cv.col_name),
+cols_r AS (
+  SELECT t.q_id, t.db_id, t.table_name, c.col_name,
+    CAST(CASE WHEN t.n_cols <= {K.TOP_COLS} THEN c.col_ord + 1
+         ELSE row_number() OVER (PARTITION BY t.q_id, t.table_name ORDER BY round(coalesce(s.sim, 0.0), 9) DESC, c.col_ord) END AS INT) AS col_rank
+  FROM tables_r t JOIN catalog c ON c.db_id = t.db_id AND c.table_name = t.table_name
+  LEFT JOIN csim s ON s.q_id = t.q_id AND s.db_id = c.db_id AND s.table_name = c.table_name AND s.col_name = c.col_name
+  QUALIFY col_rank <= {K.TOP_COLS})"""
+
+
+def _fewshot_sql(qrel: str) -> str:
+    return f"""hv AS {bow('history', 'db_id, hist_ord', 'question')},
+hsim AS (SELECT tq.q_id, hv.db_id, hv.hist_ord, sum(tq.w * hv.w) AS sim
+         FROM tq JOIN {qrel} k ON tq.q_id = k.q_id JOIN hv ON hv.db_id = k.db_id AND hv.term = tq.term
+         GROUP BY tq.q_id, hv.db_id, hv.hist_ord),
+shots AS (
+  SELECT k.q_id, k.db_id, h.hist_ord, round(coalesce(s.sim, 0.0), 9) AS sim,
+    CAST(row_number() OVER (PARTITION BY k.q_id ORDER BY round(coalesce(s.sim, 0.0), 9) DESC, h.hist_ord) AS INT) AS rank
+  FROM {qrel} k JOIN history h ON h.db_id = k.db_id
+  LEFT JOIN hsim s ON s.q_id = k.q_id AND s.hist_ord = h.hist_ord
+  QUALIFY rank <= {K.TOP_FEWSHOT})"""
+
+
+ORACLES["rank_tables"] = _RET + f", {_KNOWN}, {_rank_tables_sql('known')}\nSELECT q_id, db_id, table_name, table_score, table_rank FROM tables_r"
+ORACLES["prune_columns"] = (_RET + f", {_KNOWN}, {_rank_tables_sql('known')}, {_prune_sql('known')}"
+                            "\nSELECT q_id, table_name, col_name, col_rank FROM cols_r")
+ORACLES["fewshot_topk"] = _RET + f", {_KNOWN}, tq AS {bow('known', 'q_id', 'question')}, {_fewshot_sql('known')}\nSELECT * FROM shots"
+
+ORACLES["fewshot_vectors"] = cte("vec_queries", "vec_history") + f"""
+SELECT q_id, vec_id, sim, rank FROM (
+  SELECT q.vec_id AS q_id, h.vec_id, round(CASE WHEN qn = 0 OR hn = 0 THEN 0.0 ELSE dot / (qn * hn) END, 9) AS sim,
+    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(CASE WHEN qn = 0 OR hn = 0 THEN 0.0 ELSE dot / (qn * hn) END, 9) DESC, h.vec_id) AS INT) AS rank
+  FROM (SELECT *, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS qn FROM vec_queries) q
+  JOIN (SELECT *, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS hn FROM vec_history) h
+    ON q.label = h.label,
+  LATERAL (SELECT list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(h.embedding AS DOUBLE[])) AS dot) d
+) x WHERE rank <= 3"""
+
+ORACLES["cosine_pairs"] = cte("vec_history") + """
+SELECT a.vec_id, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE dot / (na * nb) END, 9) AS cos FROM (
+  SELECT a.vec_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dot,
+    sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) AS na,
+    sqrt(list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS nb
+  FROM vec_history a JOIN vec_history b ON b.vec_id = a.vec_id + 1) a"""
+
+from sqlforge.operators.retrieval import CONTEXT_HEADERS as CH  # noqa: E402  (fixed header texts)
+
+
+def _context_sql(qrel: str) -> str:
+    return f"""tlines AS (
+  SELECT t.q_id, t.table_rank, '  Table ' || t.table_name || ': (' || coalesce(string_agg(c.col_name, ', ' ORDER BY c.col_rank), '') || ')' AS line
+  FROM tables_r t LEFT JOIN cols_r c ON c.q_id = t.q_id AND c.table_name = t.table_name
+  GROUP BY t.q_id, t.table_rank, t.table_name),
+sch AS (SELECT q_id, string_agg(line, chr(10) ORDER BY table_rank) AS lines FROM tlines GROUP BY q_id),
+exs AS (SELECT s.q_id, string_agg('Example ' || CAST(s.rank AS VARCHAR) || ':' || chr(10) || '  Q: ' || h.question
+                                  || chr(10) || '  SQL: ' || h.sql, chr(10) ORDER BY s.rank) AS ex
+        FROM shots s JOIN history h ON h.db_id = s.db_id AND h.hist_ord = s.hist_ord GROUP BY s.q_id),
+ctx AS (
+  SELECT k.q_id, k.db_id, concat_ws(chr(10) || chr(10),
+    {lit(CH['schema'] + chr(10) + CH['database'])} || k.db_id || CASE WHEN sch.lines IS NOT NULL THEN chr(10) || sch.lines ELSE '' END,
+    CASE WHEN coalesce(k.evidence, '') <> '' THEN {lit(CH['knowledge'] + chr(10))} || k.evidence END,
+    CASE WHEN exs.ex IS NOT NULL THEN chr(10) || {lit(CH['examples'] + chr(10))} || exs.ex END,
+    {lit(CH['question'] + chr(10))} || k.question) AS context
+  FROM {qrel} k LEFT JOIN sch ON sch.q_id = k.q_id LEFT JOIN exs ON exs.q_id = k.q_id)"""
+
+
+ORACLES["prompt_context"] = (_RET + f", {_KNOWN}, {_rank_tables_sql('known')}, {_prune_sql('known')}, "
+                             f"{_fewshot_sql('known')}, {_context_sql('known')}"
+                             "\nSELECT q_id, length(context) AS n_chars, md5(context) AS context_md5 FROM ctx")
+
+_CHOSEN = """chosen AS (
+  SELECT q.q_id, q.question, q.evidence, coalesce(q.db_id, r.db_id) AS db_id FROM questions q
+  LEFT JOIN routed r ON r.q_id = q.q_id AND r.rank = 1 AND q.db_id IS NULL),
+routing AS (
+  SELECT q_id, db_id || ':' || printf('%.9f', 1.0) AS routing FROM questions WHERE db_id IS NOT NULL
+  UNION ALL
+  SELECT r.q_id, string_agg(r.db_id || ':' || printf('%.9f', r.score), ';' ORDER BY r.rank) FROM routed r
+  JOIN questions q ON q.q_id = r.q_id AND q.db_id IS NULL GROUP BY r.q_id)"""
+ORACLES["rag_link"] = (_RET + f", {_ROUTE}, {_CHOSEN}, {_rank_tables_sql('chosen')}, {_prune_sql('chosen')}, "
+                       f"{_fewshot_sql('chosen')}, {_context_sql('chosen')}"
+                       "\nSELECT c.q_id, c.db_id AS selected_db, r.routing, md5(c.context) AS context_md5"
+                       " FROM ctx c JOIN routing r ON r.q_id = c.q_id")
+
+_BULLETS = _schema_fk(False).split("SELECT t.db_id, CASE")[0].replace("WITH ", "", 1)
+ORACLES["schema_line_filter"] = cte("questions") + f""", {_BULLETS.rstrip()},
+bullets AS (SELECT t.db_id, CASE WHEN f.fk IS NULL THEN t.s ELSE t.s || chr(10) || chr(10) || 'Foreign Keys:' || chr(10) || f.fk END AS schema
+            FROM t LEFT JOIN f ON t.db_id = f.db_id),
+kept AS (
+  SELECT q.q_id, b.schema, list_filter(string_split(b.schema, chr(10)), lambda ln:
+      len(list_filter(regexp_extract_all(lower(ln), '{WORD}'), lambda w: length(w) > 2 AND contains(lower(q.question), w))) > 0
+      OR starts_with(ln, 'Table') OR starts_with(ln, 'Foreign')) AS ls
+  FROM questions q JOIN bullets b ON b.db_id = q.db_id WHERE q.db_id IS NOT NULL)
+SELECT q_id, len(string_split(txt, chr(10))) AS n_lines, md5(txt) AS kept_md5
+FROM (SELECT q_id, CASE WHEN len(ls) > 0 THEN array_to_string(ls, chr(10)) ELSE schema END AS txt FROM kept) x"""

@@ -329,3 +329,105 @@ def q_exec_feedback(spark, sf):
     rows = fixture(spark, sf, "result_rows").filter(F.col("side") == "pred")
     status = fixture(spark, sf, "result_status_err").filter(F.col("side") == "pred")
     return EX.exec_feedback(rows, status, key="sample_id")
+
+
+# ------------------------------------------------------------------ retrieval
+from ..operators import retrieval as R  # noqa: E402
+from ..operators.corpus import serialize_schema  # noqa: E402
+
+
+def _catalog(spark, sf):
+    return catalog_from_tables(spark, sf)
+
+
+def _known(spark, sf):
+    return fixture(spark, sf, "questions").filter(F.col("db_id").isNotNull())
+
+
+@register("bow_vectors")
+def q_bow_vectors(spark, sf):
+    v = R.bow_vectors(fixture(spark, sf, "questions"), ["q_id"], "question")
+    return v.select("q_id", "term", F.round("w", 9).alias("w"))
+
+
+@register("db_registry")
+def q_db_registry(spark, sf):
+    reg = R.build_registry(_catalog(spark, sf))
+    return reg.select("db_ord", "db_id", "description", F.array_join("keywords", ",").alias("keywords"))
+
+
+@register("keyword_score")
+def q_keyword_score(spark, sf):
+    reg = R.build_registry(_catalog(spark, sf))
+    h = R.keyword_hits(fixture(spark, sf, "questions"), reg)
+    return h.select("q_id", "db_id", F.round("kw_score", 9).alias("kw_score"))
+
+
+@register("route_topk")
+def q_route_topk(spark, sf):
+    reg = R.build_registry(_catalog(spark, sf))
+    r = R.route(fixture(spark, sf, "questions"), reg)
+    return r.select("q_id", "db_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+def _tables(spark, sf):
+    return R.rank_tables(_known(spark, sf), _catalog(spark, sf))
+
+
+@register("rank_tables")
+def q_rank_tables(spark, sf):
+    return _tables(spark, sf).select("q_id", "db_id", "table_name", "table_score",
+                                     F.col("table_rank").cast("int").alias("table_rank"))
+
+
+@register("prune_columns")
+def q_prune_columns(spark, sf):
+    cols = R.prune_columns(_known(spark, sf), _tables(spark, sf), _catalog(spark, sf))
+    return cols.select("q_id", "table_name", "col_name", F.col("col_rank").cast("int").alias("col_rank"))
+
+
+@register("fewshot_topk")
+def q_fewshot_topk(spark, sf):
+    r = R.fewshot(_known(spark, sf), fixture(spark, sf, "history"))
+    return r.select("q_id", "db_id", "hist_ord", "sim", F.col("rank").cast("int").alias("rank"))
+
+
+@register("fewshot_vectors")
+def q_fewshot_vectors(spark, sf):
+    q = fixture(spark, sf, "vec_queries").withColumnRenamed("vec_id", "q_id")
+    r = R.dense_fewshot(q, fixture(spark, sf, "vec_history"), k=3, key="label")
+    return r.select("q_id", "vec_id", "sim", F.col("rank").cast("int").alias("rank"))
+
+
+@register("cosine_pairs")
+def q_cosine_pairs(spark, sf):
+    e = fixture(spark, sf, "vec_history")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next_embedding"))
+    return e.join(nxt, "vec_id").select("vec_id", F.round(R.cosine("embedding", "next_embedding"), 9).alias("cos"))
+
+
+@register("prompt_context")
+def q_prompt_context(spark, sf):
+    cat, known, hist = _catalog(spark, sf), _known(spark, sf), fixture(spark, sf, "history")
+    tables = R.rank_tables(known, cat)
+    cols = R.prune_columns(known, tables, cat)
+    shots = R.fewshot(known, hist)
+    ctx = R.prompt_context(known, tables, cols, shots, hist)
+    return ctx.select("q_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"))
+
+
+@register("rag_link")
+def q_rag_link(spark, sf):
+    cat = _catalog(spark, sf)
+    out = R.link(fixture(spark, sf, "questions"), R.build_registry(cat), cat, fixture(spark, sf, "history"))
+    routing = F.array_join(F.transform("routing", lambda x: F.concat(x["db_id"], F.lit(":"),
+                                                                      F.format_number(x["score"], 9))), ";")
+    return out.select("q_id", "selected_db", routing.alias("routing"), F.md5("context").alias("context_md5"))
+
+
+@register("schema_line_filter")
+def q_schema_line_filter(spark, sf):
+    text = serialize_schema(_catalog(spark, sf), foreign_keys(spark), compact=False)
+    j = _known(spark, sf).join(text, "db_id")
+    kept = R.keep_relevant_lines(F.col("question"), F.col("schema"))
+    return j.select("q_id", F.size(F.split(kept, "\n")).alias("n_lines"), F.md5(kept).alias("kept_md5"))
