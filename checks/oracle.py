@@ -627,3 +627,127 @@ kept AS (
   FROM questions q JOIN bullets b ON b.db_id = q.db_id WHERE q.db_id IS NOT NULL)
 SELECT q_id, len(string_split(txt, chr(10))) AS n_lines, md5(txt) AS kept_md5
 FROM (SELECT q_id, CASE WHEN len(ls) > 0 THEN array_to_string(ls, chr(10)) ELSE schema END AS txt FROM kept) x"""
+
+# ------------------------------------------------------------------ reflection and rollouts
+_CORPUS_LOOKUP = """lookup AS (SELECT question, max_by(schema, sample_id) AS schema, max_by(evidence, sample_id) AS evidence
+                  FROM q GROUP BY question),
+refl AS (SELECT d.sample_id, d.question, coalesce(l.schema, '') AS schema, coalesce(l.evidence, '') AS evidence,
+                d.pred_sql, d.gold_sql FROM details d LEFT JOIN lookup l ON l.question = d.question WHERE NOT d.ex)"""
+_REFL_BASE = (_WITH_SCHEMA + ", " + cte("pairs", "result_rows", "result_status", "result_status_err").replace("WITH ", "", 1)
+              + f", {EX_BODY}, {_DETAILS}, {_CORPUS_LOOKUP}")
+ORACLES["reflection_set"] = _REFL_BASE + "\nSELECT sample_id, question, md5(schema) AS schema_md5, evidence, pred_sql, gold_sql FROM refl"
+
+_FB = """fb AS (
+  SELECT s.sample_id,
+    CASE WHEN s.status = 'ok' THEN '[' || coalesce(h.txt, '') || ']' ELSE '' END AS exec_result,
+    CASE WHEN s.status = 'ok' THEN '' ELSE s.error END AS exec_error
+  FROM (SELECT * FROM result_status_err WHERE side = 'pred') s
+  LEFT JOIN (SELECT sample_id, string_agg(row_str, ', ' ORDER BY row_no) AS txt FROM result_rows
+             WHERE side = 'pred' AND row_no <= 10 GROUP BY sample_id) h ON s.sample_id = h.sample_id)"""
+_PROMPT = f"""concat_ws(chr(10) || chr(10),
+    {lit(H['schema'] + chr(10))} || r.schema,
+    CASE WHEN r.evidence <> '' THEN {lit(H['knowledge'] + chr(10))} || r.evidence END,
+    {lit(H['question'] + chr(10))} || r.question,
+    {lit(H['previous'] + chr(10) + '```sql' + chr(10))} || r.pred_sql || chr(10) || '```',
+    CASE WHEN coalesce(f.exec_error, '') <> '' THEN {lit(H['error'] + chr(10))} || f.exec_error
+         ELSE {lit(H['result'] + chr(10))} || substr(coalesce(f.exec_result, ''), 1, {K.FEEDBACK_CHARS}) END,
+    {lit(K.REFLECTION_INSTRUCTION)})"""
+ORACLES["reflection_prompt"] = (_REFL_BASE + f", {_FB}\nSELECT r.sample_id, length({_PROMPT}) AS n_chars, md5({_PROMPT}) AS prompt_md5"
+                                " FROM refl r LEFT JOIN fb f ON f.sample_id = r.sample_id")
+
+_ADV = """adv AS (
+  SELECT *, (reward - avg(reward) OVER (PARTITION BY group_id)) / (stddev_pop(reward) OVER (PARTITION BY group_id) + 1e-8) AS advantage,
+    max(reward) OVER (PARTITION BY group_id) - min(reward) OVER (PARTITION BY group_id) < 1e-6 AS flat,
+    count(*) OVER (PARTITION BY group_id) AS n_all
+  FROM rollouts)"""
+ORACLES["group_advantage"] = cte("rollouts") + f", {_ADV}\nSELECT group_id, output_idx, round(advantage, 6) + 0.0 AS advantage FROM adv"
+ORACLES["informative_groups"] = cte("rollouts") + f""", {_ADV}
+SELECT group_id, output_idx, round(advantage, 6) + 0.0 AS advantage FROM adv WHERE NOT flat AND abs(advantage) >= 1e-6"""
+_LOSS = """loss_t AS (
+  SELECT group_id, sum(CASE WHEN abs(advantage) >= 1e-6 THEN
+      -least(exp(logp_new - logp_ref) * advantage, least(greatest(exp(logp_new - logp_ref), 0.8), 1.2) * advantage)
+      + 0.04 * (logp_new - logp_ref) ELSE 0.0 END) / max(n_all) AS loss
+  FROM adv WHERE NOT flat GROUP BY group_id)"""
+ORACLES["clipped_objective"] = cte("rollouts") + f", {_ADV}, {_LOSS}\nSELECT group_id, round(loss, 6) + 0.0 AS loss FROM loss_t"
+ORACLES["group_rewards"] = cte("rollouts") + """
+SELECT group_id, round(avg(reward), 9) AS mean_reward, max(reward) - min(reward) < 1e-6 AS flat FROM rollouts GROUP BY group_id"""
+ORACLES["training_log"] = cte("rollouts") + f""", {_ADV}, {_LOSS},
+per AS (SELECT group_id, avg(reward) AS mr, max(reward) - min(reward) < 1e-6 AS flat FROM rollouts GROUP BY group_id),
+seq AS (SELECT p.*, l.loss, row_number() OVER (ORDER BY p.group_id) AS seq, row_number() OVER (ORDER BY p.group_id) - 1 AS step
+        FROM per p LEFT JOIN loss_t l ON l.group_id = p.group_id),
+upd AS (SELECT *, row_number() OVER (ORDER BY seq) AS global_step FROM seq WHERE NOT flat AND (step + 1) % {K.GRAD_ACCUM} = 0)
+SELECT u.global_step, 0 AS epoch, u.step, u.group_id,
+  round((SELECT sum(s.mr) FROM seq s WHERE s.seq BETWEEN u.seq - {K.LOG_EVERY - 1} AND u.seq) / {float(K.LOG_EVERY)}, 9) AS avg_reward,
+  round(u.loss, 6) + 0.0 AS loss
+FROM upd u WHERE u.global_step % {K.LOG_EVERY} = 0"""
+
+_W9 = K.REWARD_WEIGHTS
+_WSUM = float(sum(_W9.values()))
+
+
+def _total(prefix: str = "") -> str:
+    return (f"({_W9['exec']} * r_exec + {_W9['format']} * r_format + {_W9['syntax']} * r_syntax + "
+            f"{_W9['schema']} * r_schema + {_W9['ngram']} * r_ngram) / {_WSUM}")
+
+# Dry-run validity of the F3 texts, decided by hand from the fixture: blank texts score 0; the only
+# texts that do not plan are those naming the renamed column c_phone (it does not exist); the rest plan.
+_SYN_F3 = "CASE WHEN trim(pred_sql) = '' THEN 0.0 WHEN contains(pred_sql, 'c_phone') THEN 0.5 ELSE 1.0 END"
+
+
+
+def _rs_cte(pred: str, gold: str, rel: str) -> str:
+    return f"""rs AS (
+  SELECT sample_id, CASE WHEN len(g) = 0 THEN CASE WHEN len(p) = 0 THEN 1.0 ELSE 0.5 END WHEN len(p) = 0 THEN 0.0
+    ELSE len(list_intersect(p, g)) / (len(p) + len(g) - len(list_intersect(p, g))) END AS r_schema
+  FROM (SELECT sample_id, {schema_toks(pred)} AS p, {schema_toks(gold)} AS g FROM {rel}) t)"""
+
+
+def _rn_cte(pred: str, gold: str, rel: str) -> str:
+    return f"""grams AS (SELECT sample_id, 'p' AS side, unnest({bigrams(pred)}) AS gram FROM {rel}
+          UNION ALL SELECT sample_id, 'g', unnest({bigrams(gold)}) FROM {rel}),
+cnt AS (SELECT sample_id, gram, count(*) FILTER (WHERE side = 'p') AS p, count(*) FILTER (WHERE side = 'g') AS g
+        FROM grams GROUP BY sample_id, gram),
+com AS (SELECT sample_id, sum(least(p, g)) AS common, sum(p) AS np, sum(g) AS ng FROM cnt GROUP BY sample_id),
+rn AS (SELECT r.sample_id, CASE WHEN coalesce(ng, 0) = 0 THEN CASE WHEN coalesce(np, 0) = 0 THEN 1.0 ELSE 0.0 END
+    WHEN coalesce(np, 0) = 0 THEN 0.0 WHEN common = 0 THEN 0.0
+    ELSE 2 * (common / np) * (common / ng) / ((common / np) + (common / ng)) END AS r_ngram
+  FROM {rel} r LEFT JOIN com ON r.sample_id = com.sample_id)"""
+
+
+_REX = f"""{_sides_sql()},
+{_cmp_sql('s.po', 's.po')}, {F1_BODY},
+rex AS (SELECT s.sample_id, CASE WHEN NOT (s.pred_ok AND s.gold_ok) THEN 0.0 WHEN coalesce(c.same, true) THEN 1.0 ELSE f.f1 END AS r_exec
+        FROM sides s LEFT JOIN cmp c ON s.sample_id = c.sample_id LEFT JOIN f1_t f ON s.sample_id = f.sample_id)"""
+_ROUND_ALL = ("round(r_exec, 9) AS r_exec, round(r_format, 9) AS r_format, round(r_syntax, 9) AS r_syntax, "
+              "round(r_schema, 9) AS r_schema, round(r_ngram, 9) AS r_ngram")
+
+# Dry-run validity of the F3 texts, decided by hand from the fixture: blank texts score 0; the only
+# texts that do not plan are those naming the renamed column c_phone (it does not exist); the rest plan.
+_SYN_F3 = "CASE WHEN trim(pred_sql) = '' THEN 0.0 WHEN contains(pred_sql, 'c_phone') THEN 0.5 ELSE 1.0 END"
+ORACLES["reward_total"] = (cte("pairs", "model_outputs", "result_rows", "result_status")
+                           + f", {_REX}, {_rs_cte('pred_sql', 'gold_sql', 'pairs')}, {_rn_cte('pred_sql', 'gold_sql', 'pairs')}" + f""",
+parts AS (
+  SELECT p.sample_id, x.r_exec, ({_TAG_HITS}) / {float(len(K.ALL_TAGS))} AS r_format, {_SYN_F3} AS r_syntax,
+    rs.r_schema, rn.r_ngram
+  FROM pairs p JOIN rex x ON x.sample_id = p.sample_id JOIN model_outputs m ON m.sample_id = p.sample_id
+  JOIN rs ON rs.sample_id = p.sample_id JOIN rn ON rn.sample_id = p.sample_id)
+SELECT sample_id, {_ROUND_ALL}, round({_total()}, 9) AS r_total FROM parts""")
+
+# Answers that still start with a tag (no answer tag, no fence) do not parse; the others are the
+# corpus queries, which plan.
+_ANSWER = (f"CASE WHEN {_ANS} <> '' THEN {_ANS} WHEN regexp_matches(output, {_FENCE}) "
+           f"THEN {strip(f'regexp_extract(output, {_FENCE}, 1)')} ELSE {strip('output')} END")
+ORACLES["rollout_rewards"] = (cte("model_outputs", "qa_corpus", "result_rows", "result_status") + f""",
+ans AS (SELECT m.sample_id, m.output, {_ANSWER} AS answer, q.query AS gold_sql
+        FROM model_outputs m JOIN qa_corpus q ON q.sample_id = m.sample_id),
+{_REX}, {_rs_cte('answer', 'gold_sql', 'ans')}, {_rn_cte('answer', 'gold_sql', 'ans')},
+parts AS (
+  SELECT a.sample_id, x.r_exec, ({_TAG_HITS}) / {float(len(K.ALL_TAGS))} AS r_format,
+    CASE WHEN trim(a.answer) = '' THEN 0.0 WHEN starts_with(a.answer, '<') THEN 0.5 ELSE 1.0 END AS r_syntax,
+    rs.r_schema, rn.r_ngram
+  FROM ans a JOIN rex x ON x.sample_id = a.sample_id JOIN rs ON rs.sample_id = a.sample_id JOIN rn ON rn.sample_id = a.sample_id),
+t AS (SELECT CAST(floor(sample_id / 8) AS BIGINT) AS group_id, CAST(sample_id % 8 AS INT) AS output_idx,
+        {_total()} AS reward FROM parts)
+SELECT group_id, output_idx, round(reward, 9) AS reward,
+  round((reward - avg(reward) OVER (PARTITION BY group_id)) / (stddev_pop(reward) OVER (PARTITION BY group_id) + 1e-8), 6) + 0.0 AS advantage
+FROM t""")

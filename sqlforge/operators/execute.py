@@ -19,6 +19,7 @@ queries in flight.
 from __future__ import annotations
 
 import hashlib
+import re
 import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -48,7 +49,8 @@ PLAN_ERROR = "Error occurred during query planning"
 
 
 def prepare_sql(text: str | None) -> str:
-    return (text or "").strip().rstrip(";").strip()
+    """Text without surrounding whitespace and without trailing semicolons (any number, spaced or not)."""
+    return re.sub(r"[\s;]+$", "", (text or "").strip())
 
 
 def sql_id_of(text: str | None) -> str:
@@ -57,9 +59,9 @@ def sql_id_of(text: str | None) -> str:
 
 def sql_id_col(c) -> Column:
     """Column form of :func:`sql_id_of` (same md5 of the prepared text)."""
-    from ..functions.text import py_strip, rstrip_chars
+    from ..functions.text import PY_WS, py_strip
     col = F.col(c) if isinstance(c, str) else c
-    return F.md5(py_strip(rstrip_chars(py_strip(F.coalesce(col, F.lit(""))), ";")))
+    return F.md5(F.regexp_replace(py_strip(F.coalesce(col, F.lit(""))), rf"({PY_WS}|;)+$", ""))
 
 
 def _first_line(e: Exception) -> str:

@@ -431,3 +431,110 @@ def q_schema_line_filter(spark, sf):
     j = _known(spark, sf).join(text, "db_id")
     kept = R.keep_relevant_lines(F.col("question"), F.col("schema"))
     return j.select("q_id", F.size(F.split(kept, "\n")).alias("n_lines"), F.md5(kept).alias("kept_md5"))
+
+
+# ------------------------------------------------------------------ reflection and rollouts
+from ..operators import rollouts as RO  # noqa: E402
+
+
+def _reflection(spark, sf):
+    details = q_eval_details(spark, sf)
+    corpus = _corpus_with_schema(spark, sf)
+    return RO.reflection_set(details, corpus)
+
+
+@register("reflection_set")
+def q_reflection_set(spark, sf):
+    r = _reflection(spark, sf)
+    return r.select("sample_id", "question", F.md5("schema").alias("schema_md5"), "evidence", "pred_sql", "gold_sql")
+
+
+@register("reflection_prompt")
+def q_reflection_prompt(spark, sf):
+    r = _reflection(spark, sf)
+    rows = fixture(spark, sf, "result_rows").filter(F.col("side") == "pred")
+    status = fixture(spark, sf, "result_status_err").filter(F.col("side") == "pred")
+    fb = EX.exec_feedback(rows, status, key="sample_id")
+    p = RO.with_reflection_prompt(r.join(fb, "sample_id", "left"))
+    return p.select("sample_id", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+@register("group_advantage")
+def q_group_advantage(spark, sf):
+    r = RO.group_advantage(fixture(spark, sf, "rollouts"))
+    return r.select("group_id", "output_idx", F.round("advantage", 6).alias("advantage"))
+
+
+@register("informative_groups")
+def q_informative_groups(spark, sf):
+    r = RO.informative_groups(fixture(spark, sf, "rollouts"))
+    return r.select("group_id", "output_idx", F.round("advantage", 6).alias("advantage"))
+
+
+@register("clipped_objective")
+def q_clipped_objective(spark, sf):
+    r = RO.clipped_objective(fixture(spark, sf, "rollouts"))
+    return r.select("group_id", F.round("loss", 6).alias("loss"))
+
+
+@register("group_rewards")
+def q_group_rewards(spark, sf):
+    r = RO.group_rewards(fixture(spark, sf, "rollouts"))
+    return r.select("group_id", F.round("mean_reward", 9).alias("mean_reward"), "flat")
+
+
+@register("training_log")
+def q_training_log(spark, sf):
+    r = RO.training_log(fixture(spark, sf, "rollouts"))
+    return r.select("global_step", "epoch", "step", "group_id", "avg_reward", F.round("loss", 6).alias("loss"))
+
+
+def _syntax(spark, texts_df, col):
+    v = EX.sql_validity(spark, texts_df.select(F.col(col).alias("sql")))
+    return texts_df.withColumn("sql_id", EX.sql_id_col(col)).join(v, "sql_id", "left") \
+        .withColumn("r_syntax", F.coalesce("validity", F.lit(0.0))).drop("sql_id", "validity")
+
+
+@register("reward_total")
+def q_reward_total(spark, sf):
+    pairs = fixture(spark, sf, "pairs")
+    register_tables_for_sql(spark, sf)
+    rows, status = _results(spark, sf)
+    exec_r = RW.reward_execution(rows, status)
+    outs = fixture(spark, sf, "model_outputs").select("sample_id", RW.reward_format(F.col("output")).alias("r_format"))
+    df = (_syntax(spark, pairs, "pred_sql")
+          .withColumn("r_schema", RW.reward_schema(F.col("pred_sql"), F.col("gold_sql")))
+          .withColumn("r_ngram", RW.reward_ngram(F.col("pred_sql"), F.col("gold_sql")))
+          .join(exec_r, "sample_id").join(outs, "sample_id"))
+    t = RW.reward_total(df)
+    return t.select("sample_id", *[F.round(c, 9).alias(c) for c in
+                                   ("r_exec", "r_format", "r_syntax", "r_schema", "r_ngram", "r_total")])
+
+
+@register("rollout_rewards")
+def q_rollout_rewards(spark, sf):
+    """Reflection outputs -> answer (P6) -> rewards (W9) per output -> group advantage."""
+    outs = fixture(spark, sf, "model_outputs")
+    gold = fixture(spark, sf, "qa_corpus").select("sample_id", F.col("query").alias("gold_sql"))
+    register_tables_for_sql(spark, sf)
+    rows, status = _results(spark, sf)
+    exec_r = RW.reward_execution(rows, status)
+    a = outs.select("sample_id", "output", CL.extract_reflection(F.col("output"))["answer"].alias("answer")) \
+        .join(gold, "sample_id")
+    df = (_syntax(spark, a, "answer")
+          .withColumn("r_format", RW.reward_format(F.col("output")))
+          .withColumn("r_schema", RW.reward_schema(F.col("answer"), F.col("gold_sql")))
+          .withColumn("r_ngram", RW.reward_ngram(F.col("answer"), F.col("gold_sql")))
+          .join(exec_r, "sample_id"))
+    t = RW.reward_total(df).select(F.floor(F.col("sample_id") / 8).cast("long").alias("group_id"),
+                                   (F.col("sample_id") % 8).cast("int").alias("output_idx"),
+                                   F.col("r_total").alias("reward"))
+    g = RO.group_advantage(t)
+    return g.select("group_id", "output_idx", F.round("reward", 9).alias("reward"),
+                    F.round("advantage", 6).alias("advantage"))
+
+
+def register_tables_for_sql(spark, sf):
+    """Views the SQL texts of the fixtures refer to (for the dry run of W4)."""
+    from ..session import register_tables
+    register_tables(spark, sf, ("region", "nation", "customer", "orders"))
