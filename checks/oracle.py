@@ -751,3 +751,50 @@ t AS (SELECT CAST(floor(sample_id / 8) AS BIGINT) AS group_id, CAST(sample_id %
 SELECT group_id, output_idx, round(reward, 9) AS reward,
   round((reward - avg(reward) OVER (PARTITION BY group_id)) / (stddev_pop(reward) OVER (PARTITION BY group_id) + 1e-8), 6) + 0.0 AS advantage
 FROM t""")
+
+# ------------------------------------------------------------------ token features
+TOKEN_RE = r"</?(?:clause_[a-z_]+|summary)>|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+_TAGS_LIST = "[" + ", ".join(f"'{t}'" for t in K.ALL_TAGS) + "]"
+_SFT_ROWS = f"""sft AS (SELECT * FROM (SELECT *, {clause_cols('items')} FROM (SELECT *, {_SPLIT} AS items FROM q) a) s
+                WHERE question <> '' AND query <> ''),
+texts AS (SELECT sample_id, source, query, {", ".join(f'cl_{c}' for c in K.CLAUSES)},
+            {lit(K.SYSTEM_TEXT)} || chr(10) || chr(10) || 'User: ' || {_USER_TEXT} || chr(10) || 'Assistant:' AS prompt,
+            {lit(K.SYSTEM_TEXT)} || chr(10) || chr(10) || 'User: ' || {_USER_TEXT} || chr(10) || 'Assistant:'
+              || {tag_lines(_CL)} || chr(10) || '<summary>' || chr(10) || {strip('query')} || chr(10) || '</summary>' AS full_text
+          FROM sft)"""
+_VOCAB = f"""toks AS (SELECT sample_id, unnest(regexp_extract_all(full_text, '{TOKEN_RE}')) AS token,
+                 unnest(range(1, len(regexp_extract_all(full_text, '{TOKEN_RE}')) + 1)) AS pos1 FROM texts),
+vocab AS (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + {2 + len(K.ALL_TAGS)} AS INT) AS id
+          FROM (SELECT token, count(*) AS n FROM toks WHERE NOT list_contains({_TAGS_LIST}, token) GROUP BY token) c)"""
+ORACLES["sft_vocab"] = _WITH_SCHEMA + f", {_SFT_ROWS}, {_VOCAB}\nSELECT token, n, id FROM vocab"
+
+_L = K.MAX_LENGTH
+ORACLES["sft_features"] = _WITH_SCHEMA + f""", {_SFT_ROWS}, {_VOCAB},
+ids AS (SELECT t.sample_id, t.pos1, coalesce(v.id, 3 + list_position({_TAGS_LIST}, t.token) - 1) AS id
+        FROM toks t LEFT JOIN vocab v ON v.token = t.token),
+plen AS (SELECT sample_id, len(regexp_extract_all(prompt, '{TOKEN_RE}')) AS prompt_len,
+                len(regexp_extract_all(full_text, '{TOKEN_RE}')) AS n_full FROM texts),
+seqs AS (SELECT sample_id, pos1, id FROM ids WHERE pos1 <= {_L}
+         UNION ALL SELECT sample_id, n_full + 1, 1 FROM plen WHERE n_full + 1 <= {_L}),
+agg AS (SELECT s.sample_id, p.prompt_len, count(*) AS n,
+          string_agg(CAST(s.id AS VARCHAR), ',' ORDER BY s.pos1) AS ids_txt,
+          string_agg(CASE WHEN s.pos1 <= p.prompt_len THEN '-100' ELSE CAST(s.id AS VARCHAR) END, ',' ORDER BY s.pos1) AS lab_txt
+        FROM seqs s JOIN plen p ON p.sample_id = s.sample_id GROUP BY s.sample_id, p.prompt_len)
+SELECT sample_id, prompt_len, CAST(n AS INT) AS n_tokens,
+  md5(ids_txt || repeat(',0', {_L} - n)) AS ids_md5,
+  md5(lab_txt || repeat(',-100', {_L} - n)) AS labels_md5,
+  CAST(n AS INT) AS n_mask, {_L} AS width
+FROM agg"""
+
+_SEG = _WITH_SCHEMA + f""", {_SFT_ROWS},
+seg AS (SELECT sample_id, source, len(regexp_extract_all(prompt, '{TOKEN_RE}')) AS n_prompt,
+  {", ".join(f"len(regexp_extract_all(cl_{c}, '{TOKEN_RE}')) AS n_{c}" for c in K.CLAUSES)},
+  len(regexp_extract_all(query, '{TOKEN_RE}')) AS n_summary,
+  len(regexp_extract_all(full_text, '{TOKEN_RE}')) + 1 AS n_total,
+  len(regexp_extract_all(full_text, '{TOKEN_RE}')) + 1 > {_L} AS over_budget
+FROM texts)"""
+ORACLES["segment_lengths"] = _SEG + "\nSELECT * FROM seg"
+ORACLES["segment_profile"] = _SEG + """
+SELECT source, CAST(floor(n_total / 256) * 256 AS INT) AS bucket, count(*) AS n, count(*) FILTER (WHERE over_budget) AS n_over,
+  round(avg(n_total), 9) AS avg_total, max(n_total) AS max_total
+FROM seg GROUP BY source, CAST(floor(n_total / 256) * 256 AS INT)"""

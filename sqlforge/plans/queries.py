@@ -538,3 +538,38 @@ def register_tables_for_sql(spark, sf):
     """Views the SQL texts of the fixtures refer to (for the dry run of W4)."""
     from ..session import register_tables
     register_tables(spark, sf, ("region", "nation", "customer", "orders"))
+
+
+# ------------------------------------------------------------------ token features (F1)
+from ..operators import tokens as TK  # noqa: E402
+
+
+def _sft(spark, sf):
+    return C.build_sft(_corpus_with_schema(spark, sf))
+
+
+@register("sft_vocab")
+def q_sft_vocab(spark, sf):
+    return TK.build_vocab(TK.sft_texts(_sft(spark, sf)))
+
+
+@register("sft_features")
+def q_sft_features(spark, sf):
+    f = TK.token_features(_sft(spark, sf))
+    return f.select("sample_id", "prompt_len", "n_tokens",
+                    F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),
+                    F.md5(F.array_join("labels", ",")).alias("labels_md5"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_mask"),
+                    F.size("input_ids").alias("width"))
+
+
+@register("segment_lengths")
+def q_segment_lengths(spark, sf):
+    samples = C.with_clauses(fixture(spark, sf, "qa_corpus"))
+    return TK.segment_lengths(samples, _sft(spark, sf))
+
+
+@register("segment_profile")
+def q_segment_profile(spark, sf):
+    samples = C.with_clauses(fixture(spark, sf, "qa_corpus"))
+    return TK.segment_profile(TK.segment_lengths(samples, _sft(spark, sf)))
