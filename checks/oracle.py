@@ -798,3 +798,12 @@ ORACLES["segment_profile"] = _SEG + """
 SELECT source, CAST(floor(n_total / 256) * 256 AS INT) AS bucket, count(*) AS n, count(*) FILTER (WHERE over_budget) AS n_over,
   round(avg(n_total), 9) AS avg_total, max(n_total) AS max_total
 FROM seg GROUP BY source, CAST(floor(n_total / 256) * 256 AS INT)"""
+
+# ------------------------------------------------------------------ user model surfaces (stub models)
+ORACLES["batch_generate"] = _WITH_SCHEMA + f"""
+SELECT sample_id, '<summary>' || chr(10) || 'SELECT ' || CAST(length(p) AS VARCHAR) || chr(10) || '</summary>' AS output,
+  'SELECT ' || CAST(length(p) AS VARCHAR) AS pred_sql
+FROM (SELECT sample_id, {_user_prompt(False)} AS p FROM q) x"""
+ORACLES["embed_questions"] = cte("questions") + "\nSELECT q_id, concat_ws(',', " + ", ".join(
+    f"CAST(length(lower(question)) - length(replace(lower(question), '{ch}', '')) AS VARCHAR)"
+    for ch in "abcdefghijklmnopqrstuvwxyz") + ") AS vector FROM questions"

@@ -13,6 +13,9 @@ bounded by the token budget.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,11 +99,10 @@ def segment_profile(lengths: DataFrame, bucket: int = 256) -> DataFrame:
 def hf_token_ids(texts: DataFrame, col: str, load_tokenizer, max_length: int = MAX_LENGTH) -> DataFrame:
     """Ids from a user tokenizer (``load_tokenizer()`` -> object with ``__call__(list[str])`` giving
     ``{"input_ids": [[...]]}``), loaded once per Python worker, applied in Arrow batches."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<int>")
-    def enc(batches):
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = load_tokenizer()
         for s in batches:
             out = tok(list(s.fillna("")), truncation=True, max_length=max_length)["input_ids"]

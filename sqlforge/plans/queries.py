@@ -573,3 +573,20 @@ def q_segment_lengths(spark, sf):
 def q_segment_profile(spark, sf):
     samples = C.with_clauses(fixture(spark, sf, "qa_corpus"))
     return TK.segment_profile(TK.segment_lengths(samples, _sft(spark, sf)))
+
+
+# ------------------------------------------------------------------ user model surfaces (stub models)
+from ..operators import generate as GE  # noqa: E402
+
+
+@register("batch_generate")
+def q_batch_generate(spark, sf):
+    df = _corpus_with_schema(spark, sf).select(
+        "sample_id", user_prompt(F.col("schema"), F.col("question"), F.col("evidence"), F.col("db_id")).alias("prompt"))
+    return GE.batch_generate(df, GE.length_generator, batch_size=16)
+
+
+@register("embed_questions")
+def q_embed_questions(spark, sf):
+    e = GE.embed(fixture(spark, sf, "questions"), GE.letter_encoder)
+    return e.select("q_id", F.array_join(F.transform("embedding", lambda x: x.cast("int")), ",").alias("vector"))
