@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import ALL_TAGS, CLAUSES
-from .text import _c, py_strip, rstrip_chars
+from .text import _c, let, py_strip, rstrip_chars
 
 # Keyword pattern of the clause split: SELECT, FROM, one optional join word +
 # JOIN, WHERE, GROUP BY, HAVING, ORDER BY, LIMIT (case-insensitive, whole words).
@@ -41,19 +41,20 @@ def _kw_is(kw: str):
 
 def split_clauses(sql) -> Column:
     """Struct of the eight clauses. Last occurrence wins; JOIN parts are concatenated with their keyword."""
-    items = clause_items(sql)
-    fields = []
-    for clause in CLAUSES:
-        if clause == "join":
-            joins = F.filter(items, lambda it: it["kw"].contains("JOIN"))
-            v = F.array_join(F.transform(joins, lambda it: F.when(it["val"] == "", it["kw"])
-                                         .otherwise(F.concat(it["kw"], F.lit(" "), it["val"]))), " ")
-        else:
-            kw = [k for k, c in _KW_CLAUSE.items() if c == clause][0]
-            hits = F.filter(items, _kw_is(kw))
-            v = F.coalesce(F.try_element_at(hits, F.lit(-1))["val"], F.lit(""))
-        fields.append(v.alias(clause))
-    return F.struct(*fields)
+    def build(items):
+        fields = []
+        for clause in CLAUSES:
+            if clause == "join":
+                joins = F.filter(items, lambda it: it["kw"].contains("JOIN"))
+                v = F.array_join(F.transform(joins, lambda it: F.when(it["val"] == "", it["kw"])
+                                             .otherwise(F.concat(it["kw"], F.lit(" "), it["val"]))), " ")
+            else:
+                kw = [k for k, c in _KW_CLAUSE.items() if c == clause][0]
+                hits = F.filter(items, _kw_is(kw))
+                v = F.coalesce(F.try_element_at(hits, F.lit(-1))["val"], F.lit(""))
+            fields.append(v.alias(clause))
+        return F.struct(*fields)
+    return let(clause_items(sql), build)
 
 
 def clause_output(clauses, sql) -> Column:

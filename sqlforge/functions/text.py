@@ -15,9 +15,23 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda variable is computed once per row).
+
+    Without it, an intermediate array referenced several times, or inside a
+    lambda, is re-inlined into every reference and recomputed each time.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+# The same whitespace as a plain character set, for trim (no regex).
+PY_WS_CHARS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c) -> Column:
-    """Strip leading/trailing whitespace like ``str.strip()`` (Spark's trim only removes spaces)."""
-    return F.regexp_replace(_c(c), rf"^{PY_WS}+|{PY_WS}+$", "")
+    """Strip leading/trailing whitespace like ``str.strip()`` (plain ``trim`` only removes spaces)."""
+    return F.trim(_c(c), F.lit(PY_WS_CHARS))
 
 
 def rstrip_chars(c, chars: str) -> Column:
@@ -57,10 +71,10 @@ def schema_tokens(c) -> Column:
 
 def ngrams(c, n: int = 2) -> Column:
     """Word n-grams of the lower-cased text, each joined by a space; empty when too short."""
-    toks = words(c)
-    grams = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1),
-                        lambda i: F.array_join(F.slice(toks, i, n), " "))
-    return F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
+    def grams(toks):
+        g = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.array_join(F.slice(toks, i, n), " "))
+        return F.when(F.size(toks) >= n, g).otherwise(F.array().cast("array<string>"))
+    return let(words(c), grams)
 
 
 def has_order_by(c) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ALL_TAGS, REWARD_WEIGHTS
 from ..functions.clauses import format_score
-from ..functions.text import ngrams, schema_tokens, whitespace_tokens
+from ..functions.text import let, ngrams, schema_tokens, whitespace_tokens
 from .evaluate import _row_match, _sides
 
 
@@ -61,12 +61,14 @@ def reward_format(text, tags=ALL_TAGS) -> Column:
 
 def reward_schema(pred, gold) -> Column:
     """Jaccard of schema tokens; gold empty -> 1 if pred empty else 0.5; pred empty -> 0."""
-    p, g = schema_tokens(pred), schema_tokens(gold)
-    inter = F.size(F.array_intersect(p, g)).cast("double")
-    union = F.size(F.array_union(p, g)).cast("double")
-    return (F.when(F.size(g) == 0, F.when(F.size(p) == 0, 1.0).otherwise(0.5))
-            .when(F.size(p) == 0, 0.0)
-            .when(union > 0, inter / union).otherwise(0.0)).cast("double")
+    def score(pg):
+        p, g = pg["p"], pg["g"]
+        inter = F.size(F.array_intersect(p, g)).cast("double")
+        union = F.size(F.array_union(p, g)).cast("double")
+        return (F.when(F.size(g) == 0, F.when(F.size(p) == 0, 1.0).otherwise(0.5))
+                .when(F.size(p) == 0, 0.0)
+                .when(union > 0, inter / union).otherwise(0.0)).cast("double")
+    return let(F.struct(schema_tokens(pred).alias("p"), schema_tokens(gold).alias("g")), score)
 
 
 def multiset_common(a: Column, b: Column) -> Column:
@@ -78,11 +80,13 @@ def multiset_common(a: Column, b: Column) -> Column:
 
 def reward_ngram(pred, gold, n: int = 2) -> Column:
     """Multiset F1 of word n-grams; gold empty -> 1 if pred empty else 0; pred empty -> 0."""
-    p, g = ngrams(pred, n), ngrams(gold, n)
-    common = multiset_common(p, g).cast("double")
-    return (F.when(F.size(g) == 0, F.when(F.size(p) == 0, 1.0).otherwise(0.0))
-            .when(F.size(p) == 0, 0.0)
-            .otherwise(_f1(common, F.size(p).cast("double"), F.size(g).cast("double")))).cast("double")
+    def score(pg):
+        p, g = pg["p"], pg["g"]
+        common = multiset_common(p, g).cast("double")
+        return (F.when(F.size(g) == 0, F.when(F.size(p) == 0, 1.0).otherwise(0.0))
+                .when(F.size(p) == 0, 0.0)
+                .otherwise(_f1(common, F.size(p).cast("double"), F.size(g).cast("double")))).cast("double")
+    return let(F.struct(ngrams(pred, n).alias("p"), ngrams(gold, n).alias("g")), score)
 
 
 def reward_total(df: DataFrame, weights: dict | None = None) -> DataFrame:

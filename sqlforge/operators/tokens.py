@@ -57,8 +57,10 @@ def token_features(sft: DataFrame, vocab: DataFrame | None = None, max_length: i
     spark = sft.sparkSession
     tags = spark.createDataFrame([(t, FIRST_TAG_ID + i) for i, t in enumerate(ALL_TAGS)], "token string, id int")
     ids = vocab.select("token", "id").unionByName(tags)
-    rows = (texts.select("sample_id", F.size(tokens("prompt")).alias("prompt_len"),
-                         F.posexplode(tokens("full")).alias("pos", "token"))
+    # prompt length once per sample, before the explode (in the same select it
+    # would be evaluated again for every token row)
+    lens = texts.select("sample_id", "full", F.size(tokens("prompt")).alias("prompt_len"))
+    rows = (lens.select("sample_id", "prompt_len", F.posexplode(tokens("full")).alias("pos", "token"))
             .filter(F.col("pos") < max_length))
     looked = rows.join(ids, "token", "left").select("sample_id", "prompt_len", "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
     per = looked.groupBy("sample_id").agg(F.first("prompt_len").alias("prompt_len"),
