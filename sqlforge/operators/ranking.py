@@ -5,7 +5,7 @@ into one task; with one group holding a third of the data that task is the
 job. Here rows are range-partitioned on (g, o, tiebreak) instead, so a big
 group is spread over many partitions; each partition numbers its rows
 locally (``monotonically_increasing_id`` keeps the sorted order; the tagged
-rows are checkpointed once so all uses see the same ids), the small
+rows are written once so all uses see the same ids), the small
 per-partition counts give offsets, and the first position of every group is
 subtracted. The result equals ``row_number()`` exactly.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 _LOCAL_BITS = 33
 
@@ -34,10 +34,9 @@ def group_row_number(df: DataFrame, group_cols: list[str], order_cols: list, nam
     ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     mid = F.monotonically_increasing_id()
     # The range bounds are sampled per evaluation, so the tagged rows are
-    # checkpointed (reliable, shared folder) once and every branch below reads
-    # the same partition ids. Checkpointed data also survives executor loss.
-    ensure_checkpoint_dir(spark)
-    tagged = ordered.withColumn("_mid", mid).checkpoint(eager=True) \
+    # written once (shared checkpoint folder) and every branch below reads the
+    # same ids. Written data also survives executor loss.
+    tagged = materialize(ordered.withColumn("_mid", mid), "numbering") \
         .withColumn("_pid", F.shiftright(F.col("_mid"), _LOCAL_BITS)) \
         .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
     # One row per partition: safe to order globally.

@@ -37,9 +37,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    safe_planning(spark)
     return spark
 
 
+def safe_planning(spark: SparkSession) -> None:
+    """Turn off union output partitioning: with it, a union of two projections of
+    one hash-partitioned table reports that partitioning while having twice the
+    partitions, and a later join on the key fails to zip (8 vs 16 partitions)."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -69,3 +77,16 @@ def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> No
     """Register driver tables as temporary views (lazy: only footers are read)."""
     for name in names:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` (the data survives executor loss),
+    but the read-back table makes no claim about its partitioning, so later
+    joins plan their own exchanges.
+    """
+    import uuid
+    path = shared_path(df.sparkSession, "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
