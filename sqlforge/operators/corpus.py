@@ -70,9 +70,21 @@ def serialize_schema(catalog: DataFrame, fks: DataFrame | None = None, compact:
                     .otherwise(F.col("schema")).alias("schema")))
 
 
-def attach_schema(samples: DataFrame, schema_text: DataFrame) -> DataFrame:
-    """Schema text per sample by db_id (unknown database -> '')."""
-    return (samples.join(schema_text.withColumnRenamed("schema", "_schema"), "db_id", "left")
+MAX_BROADCAST_DATABASES = 20000
+
+
+def attach_schema(samples: DataFrame, schema_text: DataFrame,
+                  max_broadcast: int = MAX_BROADCAST_DATABASES) -> DataFrame:
+    """Schema text per sample by db_id (unknown database -> '').
+
+    The schema table has one row per database. When its row count is within
+    ``max_broadcast`` it is broadcast (the corpus side is never shuffled nor
+    broadcast); beyond that an ordinary join is planned.
+    """
+    right = schema_text.withColumnRenamed("schema", "_schema")
+    if right.count() <= max_broadcast:
+        right = F.broadcast(right)
+    return (samples.join(right, "db_id", "left")
             .withColumn("schema", F.coalesce("_schema", F.lit(""))).drop("_schema"))
 
 
