@@ -369,7 +369,7 @@ def schema_toks(x: str) -> str:
 
 
 ORACLES["schema_tokens"] = cte("qa_corpus") + f"""
-SELECT sample_id, len({schema_toks('query')}) AS n_tokens, array_to_string(list_sort({schema_toks('query')}), ',') AS tokens
+SELECT sample_id, CAST(len({schema_toks('query')}) AS INT) AS n_tokens, array_to_string(list_sort({schema_toks('query')}), ',') AS tokens
 FROM qa_corpus"""
 
 ORACLES["reward_schema"] = cte("pairs") + f"""
@@ -385,7 +385,7 @@ def bigrams(x: str) -> str:
 
 
 ORACLES["ngram_counts"] = cte("qa_corpus") + f"""
-SELECT sample_id, len({bigrams('query')}) AS n_ngrams, array_to_string({bigrams('query')}, '|') AS ngrams FROM qa_corpus"""
+SELECT sample_id, CAST(len({bigrams('query')}) AS INT) AS n_ngrams, array_to_string({bigrams('query')}, '|') AS ngrams FROM qa_corpus"""
 
 ORACLES["reward_ngram"] = cte("pairs") + f""",
 grams AS (SELECT sample_id, 'p' AS side, unnest({bigrams('pred_sql')}) AS gram FROM pairs
@@ -414,14 +414,14 @@ GROUP BY source"""
 # WITH ... INSERT; the runtime cast error plans (validity 1.0) but fails to run.
 _REFUSED = {7, 8, 9, 10, 11}
 _FAILS = _REFUSED | {12}
-ORACLES["sql_batch_status"] = "SELECT * FROM (VALUES " + ", ".join(
+ORACLES["sql_batch_status"] = "SELECT CAST(sample_id AS BIGINT) AS sample_id, side, status FROM (VALUES " + ", ".join(
     f"({i}, 'pred', '{'error' if i in _FAILS else 'ok'}'), ({i}, 'gold', 'ok')" for i in range(1, 13)
 ) + ") AS v(sample_id, side, status)"
-ORACLES["sql_validity"] = "SELECT * FROM (VALUES " + ", ".join(
+ORACLES["sql_validity"] = "SELECT CAST(sample_id AS BIGINT) AS sample_id, side, CAST(validity AS DOUBLE) AS validity FROM (VALUES " + ", ".join(
     f"({i}, 'pred', {0.5 if i in _REFUSED else 1.0}), ({i}, 'gold', 1.0)" for i in range(1, 13)
 ) + ") AS v(sample_id, side, validity)"
 # Expected execution match: equal, equal up to order, ordered equal -> true; the rest false.
-ORACLES["execution_match_fixed"] = "SELECT * FROM (VALUES " + ", ".join(
+ORACLES["execution_match_fixed"] = "SELECT CAST(sample_id AS BIGINT) AS sample_id, ex FROM (VALUES " + ", ".join(
     f"({i}, {'true' if i in (1, 2, 3, 6) else 'false'})" for i in range(1, 13)) + ") AS v(sample_id, ex)"
 
 _G = "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 1"
@@ -601,7 +601,7 @@ ctx AS (
 
 ORACLES["prompt_context"] = (_RET + f", {_KNOWN}, {_rank_tables_sql('known')}, {_prune_sql('known')}, "
                              f"{_fewshot_sql('known')}, {_context_sql('known')}"
-                             "\nSELECT q_id, length(context) AS n_chars, md5(context) AS context_md5 FROM ctx")
+                             "\nSELECT q_id, CAST(length(context) AS INT) AS n_chars, md5(context) AS context_md5 FROM ctx")
 
 _CHOSEN = """chosen AS (
   SELECT q.q_id, q.question, q.evidence, coalesce(q.db_id, r.db_id) AS db_id FROM questions q
@@ -625,7 +625,7 @@ kept AS (
       len(list_filter(regexp_extract_all(lower(ln), '{WORD}'), lambda w: length(w) > 2 AND contains(lower(q.question), w))) > 0
       OR starts_with(ln, 'Table') OR starts_with(ln, 'Foreign')) AS ls
   FROM questions q JOIN bullets b ON b.db_id = q.db_id WHERE q.db_id IS NOT NULL)
-SELECT q_id, len(string_split(txt, chr(10))) AS n_lines, md5(txt) AS kept_md5
+SELECT q_id, CAST(len(string_split(txt, chr(10))) AS INT) AS n_lines, md5(txt) AS kept_md5
 FROM (SELECT q_id, CASE WHEN len(ls) > 0 THEN array_to_string(ls, chr(10)) ELSE schema END AS txt FROM kept) x"""
 
 # ------------------------------------------------------------------ reflection and rollouts
@@ -652,7 +652,7 @@ _PROMPT = f"""concat_ws(chr(10) || chr(10),
     CASE WHEN coalesce(f.exec_error, '') <> '' THEN {lit(H['error'] + chr(10))} || f.exec_error
          ELSE {lit(H['result'] + chr(10))} || substr(coalesce(f.exec_result, ''), 1, {K.FEEDBACK_CHARS}) END,
     {lit(K.REFLECTION_INSTRUCTION)})"""
-ORACLES["reflection_prompt"] = (_REFL_BASE + f", {_FB}\nSELECT r.sample_id, length({_PROMPT}) AS n_chars, md5({_PROMPT}) AS prompt_md5"
+ORACLES["reflection_prompt"] = (_REFL_BASE + f", {_FB}\nSELECT r.sample_id, CAST(length({_PROMPT}) AS INT) AS n_chars, md5({_PROMPT}) AS prompt_md5"
                                 " FROM refl r LEFT JOIN fb f ON f.sample_id = r.sample_id")
 
 _ADV = """adv AS (
@@ -691,7 +691,7 @@ def _total(prefix: str = "") -> str:
 
 # Dry-run validity of the F3 texts, decided by hand from the fixture: blank texts score 0; the only
 # texts that do not plan are those naming the renamed column c_phone (it does not exist); the rest plan.
-_SYN_F3 = "CASE WHEN trim(pred_sql) = '' THEN 0.0 WHEN contains(pred_sql, 'c_phone') THEN 0.5 ELSE 1.0 END"
+_SYN_F3 = "CAST(CASE WHEN trim(pred_sql) = '' THEN 0.0 WHEN contains(pred_sql, 'c_phone') THEN 0.5 ELSE 1.0 END AS DOUBLE)"
 
 
 
@@ -723,7 +723,7 @@ _ROUND_ALL = ("round(r_exec, 9) AS r_exec, round(r_format, 9) AS r_format, round
 
 # Dry-run validity of the F3 texts, decided by hand from the fixture: blank texts score 0; the only
 # texts that do not plan are those naming the renamed column c_phone (it does not exist); the rest plan.
-_SYN_F3 = "CASE WHEN trim(pred_sql) = '' THEN 0.0 WHEN contains(pred_sql, 'c_phone') THEN 0.5 ELSE 1.0 END"
+_SYN_F3 = "CAST(CASE WHEN trim(pred_sql) = '' THEN 0.0 WHEN contains(pred_sql, 'c_phone') THEN 0.5 ELSE 1.0 END AS DOUBLE)"
 ORACLES["reward_total"] = (cte("pairs", "model_outputs", "result_rows", "result_status")
                            + f", {_REX}, {_rs_cte('pred_sql', 'gold_sql', 'pairs')}, {_rn_cte('pred_sql', 'gold_sql', 'pairs')}" + f""",
 parts AS (
@@ -772,7 +772,7 @@ _L = K.MAX_LENGTH
 ORACLES["sft_features"] = _WITH_SCHEMA + f""", {_SFT_ROWS}, {_VOCAB},
 ids AS (SELECT t.sample_id, t.pos1, coalesce(v.id, 3 + list_position({_TAGS_LIST}, t.token) - 1) AS id
         FROM toks t LEFT JOIN vocab v ON v.token = t.token),
-plen AS (SELECT sample_id, len(regexp_extract_all(prompt, '{TOKEN_RE}')) AS prompt_len,
+plen AS (SELECT sample_id, CAST(len(regexp_extract_all(prompt, '{TOKEN_RE}')) AS INT) AS prompt_len,
                 len(regexp_extract_all(full_text, '{TOKEN_RE}')) AS n_full FROM texts),
 seqs AS (SELECT sample_id, pos1, id FROM ids WHERE pos1 <= {_L}
          UNION ALL SELECT sample_id, n_full + 1, 1 FROM plen WHERE n_full + 1 <= {_L}),
@@ -787,10 +787,10 @@ SELECT sample_id, prompt_len, CAST(n AS INT) AS n_tokens,
 FROM agg"""
 
 _SEG = _WITH_SCHEMA + f""", {_SFT_ROWS},
-seg AS (SELECT sample_id, source, len(regexp_extract_all(prompt, '{TOKEN_RE}')) AS n_prompt,
-  {", ".join(f"len(regexp_extract_all(cl_{c}, '{TOKEN_RE}')) AS n_{c}" for c in K.CLAUSES)},
-  len(regexp_extract_all(query, '{TOKEN_RE}')) AS n_summary,
-  len(regexp_extract_all(full_text, '{TOKEN_RE}')) + 1 AS n_total,
+seg AS (SELECT sample_id, source, CAST(len(regexp_extract_all(prompt, '{TOKEN_RE}')) AS INT) AS n_prompt,
+  {", ".join(f"CAST(len(regexp_extract_all(cl_{c}, '{TOKEN_RE}')) AS INT) AS n_{c}" for c in K.CLAUSES)},
+  CAST(len(regexp_extract_all(query, '{TOKEN_RE}')) AS INT) AS n_summary,
+  CAST(len(regexp_extract_all(full_text, '{TOKEN_RE}')) + 1 AS INT) AS n_total,
   len(regexp_extract_all(full_text, '{TOKEN_RE}')) + 1 > {_L} AS over_budget
 FROM texts)"""
 ORACLES["segment_lengths"] = _SEG + "\nSELECT * FROM seg"
