@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, token_store
+from . import html_text, mixing, packing, token_store, toxicity
 
-_MODULES = (token_store, packing, mixing)
+_MODULES = (token_store, toxicity, packing, mixing, html_text)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
