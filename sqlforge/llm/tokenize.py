@@ -8,11 +8,13 @@ Python worker keeps the ids of those it has seen and asks the library only for t
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 
-CACHE_PIECES = 400_000   # pieces kept by a worker; beyond that the cache starts anew
+CACHE_PIECES = 600_000   # pieces kept by a worker; later ones are encoded each time
 LONG_PIECE = 64          # longer pieces aren't kept
+TAIL = ".,;:!?#$%&*"     # marks that both kinds of tokenizer cut off from the letters before them
 
 
 def vocabulary(name: str) -> str:
@@ -31,24 +33,61 @@ def load_tokenizer(path: str):
 
 
 class _Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers."""
+    """Piece -> its ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, tokenizer, lead: str):
+    A piece of letters is one pre-token, so the library's model is asked directly; ``to_model``
+    gives its spelling there, or None if the whole tokenizer must see it.
+    """
+
+    def __init__(self, tokenizer, lead: str, to_model):
         super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
+        self.tokenizer, self.model, self.lead, self.to_model, self.tails = tokenizer, tokenizer.model, lead, to_model, {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece if piece[:1] == "\n" else self.lead + piece)
-        if len(piece) <= LONG_PIECE:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
+        core = piece.rstrip(TAIL)
+        spelled = self.to_model(self.lead + core) if core.isalpha() else None
+        if spelled is None:
+            ids = self.encode(piece if piece[:1] == "\n" else self.lead + piece)
+        else:
+            ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+            tail = piece[len(core):]
+            if tail:
+                if tail not in self.tails:
+                    if len(self.tails) >= 1000:
+                        self.tails.clear()
+                    self.tails[tail] = self.encode(tail)
+                ids += self.tails[tail]
+        if len(piece) <= LONG_PIECE and len(self) < CACHE_PIECES:
             self[piece] = ids
         return ids
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 bytes stand
+    for themselves, the others for the characters from 256 on, in order."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTES = str.maketrans(_byte_characters())
+
+
+def _byte_spelling(word: str) -> str:
+    return word.encode().decode("latin-1").translate(_BYTES)
+
+
+def _lower_byte_spelling(word: str) -> str | None:
+    # The final sigma is the one letter whose lower case depends on its neighbours.
+    if "\u03a3" in word or not (word.isascii() or unicodedata.is_normalized("NFC", word)):
+        return None
+    lower = word.lower()
+    return _byte_spelling(lower) if lower.isalpha() else None
+
+
 class SpaceLed:
     """For tokenizers whose pre-tokens may begin with the space before a word.
 
@@ -63,7 +102,7 @@ class SpaceLed:
 
     def __init__(self, path: str):
         t = load_tokenizer(path)
-        self.first, self.rest, self.runs = _Pieces(t, ""), _Pieces(t, " "), _Pieces(t, "")
+        self.first, self.rest, self.runs = (_Pieces(t, lead, _byte_spelling) for lead in ("", " ", ""))
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -80,11 +119,10 @@ class SpaceFree:
     """For tokenizers that drop white space: any ASCII space or newline is a place to cut."""
 
     def __init__(self, path: str):
-        self.pieces = _Pieces(load_tokenizer(path), "")
+        self.pieces = _Pieces(load_tokenizer(path), "", _lower_byte_spelling)
         self.pieces[""] = b""
 
     def __call__(self, text: str) -> bytes:
-        self.pieces.setdefault("", b"")
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 
