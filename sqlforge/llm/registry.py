@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, packing, quality, secrets, sharding, simhash, token_store, toxicity
+from . import bitsliced, html_text, mixing, packing, quality, secrets, sharding, simhash, token_store, toxicity
 
-_MODULES = (sharding, secrets, token_store, quality, toxicity, packing, mixing, simhash, html_text)
+_MODULES = (sharding, bitsliced, secrets, token_store, quality, toxicity, packing, mixing, simhash, html_text)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
