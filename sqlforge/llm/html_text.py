@@ -224,9 +224,12 @@ class Page:
         kept = bytearray(n)
         for a, b in keep:
             kept[a:b] = b"\1" * (b - a)
-        for node in range(best + 1, n):       # lists that hold little but links (three or more)
-            if kept[node] and self.tag[node] in ("ul", "ol", "dl") and density[node] > 0.8 and \
-                    bisect_left(self.links, self.end[node]) - bisect_left(self.links, node) >= 3:
+        # What holds little but links goes: lists of three or more, outside an article also other containers of two.
+        least, kinds = (3, ("ul", "ol", "dl")) if self.tag[best] in ("article", "main") else \
+            (2, ("ul", "ol", "dl", "div", "section", "table", "p", "center"))
+        for node in range(best + 1, n):
+            if kept[node] and self.tag[node] in kinds and density[node] > 0.8 and \
+                    bisect_left(self.links, self.end[node]) - bisect_left(self.links, node) >= least:
                 kept[node:self.end[node]] = bytes(self.end[node] - node)
         return "\n".join(text for node, text, _ in blocks if kept[node])
 
