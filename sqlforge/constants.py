@@ -46,6 +46,7 @@ ADV_EPS = 1e-8
 FLAT_EPS = 1e-6
 GRAD_ACCUM = 8
 LOG_EVERY = 10
+CELL_DIGITS = 12            # significant digits of numbers when results are compared
 SIM_SCALE = 9               # similarities are rounded to this many digits before ranking
 
 # Word pattern: Unicode letters, digits and underscore (Python's \w on text).
@@ -53,15 +54,19 @@ WORD_RE = r"[\p{L}\p{N}_]+"
 
 # --- own default prompt texts (parameters everywhere they are used) --------
 SYSTEM_TEXT = (
-    "You write SQL. Read the schema and the question, write every clause of the "
-    "query inside its own tag (an empty tag when the clause is not needed), and "
-    "put the whole query inside <summary></summary>."
+    "Turn questions about a database into SQL. Fill in one tagged part per clause, leave a part "
+    "empty if the query has no such clause, and finish with the full statement between "
+    "<summary> and </summary>."
 )
 INSTRUCTION_TEXT = (
-    "\nWrite each clause inside its tag, then the complete query inside "
-    "<summary></summary>."
+    "\nGo clause by clause through the tags and end with the full statement between "
+    "<summary> and </summary>."
+)
+REFLECTION_SYSTEM = (
+    "You are shown a SQL query, the question it should answer and what happened when it ran. "
+    "Find what is wrong and repair it."
 )
 REFLECTION_INSTRUCTION = (
-    "\nCheck the query against the result above and write a corrected one: "
-    "reasoning inside <reasoning></reasoning>, the query inside <answer></answer>."
+    "\nSay between <reasoning> and </reasoning> what has to change, then give the repaired "
+    "query between <answer> and </answer>."
 )

@@ -1,15 +1,16 @@
 """Evaluation E2-E8: exact match, execution match over long-form results, reports.
 
 Results are long-form tables (one row per result row):
-``rows(sample_id, side, row_no, cells, row_str)`` and
+``rows(sample_id, side, row_no, cells, row_str[, row_key])`` and
 ``status(sample_id, side, status, sql)`` with side in {'pred', 'gold'}.
-Nothing is collected per sample: comparisons are joins and aggregates keyed
+Rows are compared by ``row_key`` (equal numbers of any type have one text), by ``row_str`` where a table has
+none. Nothing is collected per sample: comparisons are joins and aggregates keyed
 by (sample, row), so a sample with a huge result is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_order_by, normalize_sql
@@ -38,40 +39,44 @@ def _sides(status: DataFrame) -> DataFrame:
     )
 
 
-def _multiset_equal(rows: DataFrame) -> DataFrame:
-    """Per sample: True when both sides hold the same rows with the same multiplicity."""
-    diff = rows.groupBy("sample_id", "row_str").agg(
-        F.sum(F.when(F.col("side") == "pred", 1).otherwise(-1)).alias("d"))
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows if "row_key" in rows.columns else rows.withColumn("row_key", F.col("row_str"))
+
+
+def _equal_lists(rows: DataFrame, position: Column | None) -> DataFrame:
+    """Per sample: True when both sides hold the same rows (at the same positions, if given) equally often."""
+    keys = ["row_key"] if position is None else [position.alias("pos"), "row_key"]
+    diff = rows.groupBy("sample_id", *keys).agg(F.sum(F.when(F.col("side") == "pred", 1).otherwise(-1)).alias("d"))
     return diff.groupBy("sample_id").agg(F.bool_and(F.col("d") == 0).alias("same"))
 
 
-def _positional_equal(rows: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Per sample: True when the two row lists are equal position by position.
+def _same_order_match(rows: DataFrame, flags: DataFrame) -> DataFrame:
+    """Match per sample where one flag holds for both sides: kept order compares position by position,
+    otherwise the rows are a multiset. One join and two aggregates with map-side combine, no numbering."""
+    r = _keyed(rows).join(flags, "sample_id")
+    return _equal_lists(r, F.when(F.col("ordered"), F.col("row_no").cast("long")))
+
+
+def _mixed_match(rows: DataFrame, flags: DataFrame) -> DataFrame:
+    """Match per sample where one side keeps its order and the other is sorted by row text.
 
-    A side keeps its own order (``row_no``) when flagged ordered, else its rows
-    are sorted by row text. Positions of sorted sides come from a distributed
-    in-group numbering (no per-sample window).
+    Positions of sorted sides come from a distributed in-group numbering (no per-sample window).
     """
-    r = rows.join(ordered, ["sample_id", "side"])
-    keep = r.filter(F.col("ordered")).withColumn("pos", F.col("row_no").cast("long"))
-    srt = group_row_number(r.filter(~F.col("ordered")), ["sample_id", "side"], ["row_str", "row_no"], "pos")
-    pos = keep.unionByName(srt).select("sample_id", "side", "pos", "row_str")
-    p = pos.filter(F.col("side") == "pred").select("sample_id", "pos", F.col("row_str").alias("p"))
-    g = pos.filter(F.col("side") == "gold").select("sample_id", "pos", F.col("row_str").alias("g"))
-    j = p.join(g, ["sample_id", "pos"], "full_outer")
-    return j.groupBy("sample_id").agg(F.bool_and(F.col("p").eqNullSafe(F.col("g"))).alias("same"))
+    r = _keyed(rows).join(flags, "sample_id") \
+        .withColumn("ordered", F.when(F.col("side") == "pred", F.col("po")).otherwise(F.col("go")))
+    numbered = group_row_number(r, ["sample_id", "side"], ["row_str", "row_no"], "sorted_no")
+    return _equal_lists(numbered, F.when(F.col("ordered"), F.col("row_no").cast("long")).otherwise(F.col("sorted_no")))
 
 
 def _row_match(rows: DataFrame, sides: DataFrame, pred_flag: str, gold_flag: str) -> DataFrame:
     """Match per sample; sides flagged ordered keep row order, others are sorted."""
     flags = sides.select("sample_id", F.col(pred_flag).alias("po"), F.col(gold_flag).alias("go"))
-    unordered = flags.filter(~F.col("po") & ~F.col("go")).select("sample_id")
-    ordered = flags.filter(F.col("po") | F.col("go"))
-    ordered_sides = ordered.select("sample_id", F.lit("pred").alias("side"), F.col("po").alias("ordered")) \
-        .unionByName(ordered.select("sample_id", F.lit("gold").alias("side"), F.col("go").alias("ordered")))
-    m1 = _multiset_equal(rows.join(unordered, "sample_id", "left_semi"))
-    m2 = _positional_equal(rows.join(ordered.select("sample_id"), "sample_id", "left_semi"), ordered_sides)
-    return m1.unionByName(m2)
+    alike = _same_order_match(rows, flags.filter(F.col("po") == F.col("go")).select("sample_id", F.col("po").alias("ordered")))
+    if pred_flag == gold_flag:
+        return alike
+    mixed = _mixed_match(rows, flags.filter(F.col("po") != F.col("go")))
+    return flags.select("sample_id").join(alike, "sample_id", "left").join(mixed.withColumnRenamed("same", "_mixed"), "sample_id", "left") \
+        .select("sample_id", F.coalesce("same", "_mixed").alias("same")).filter(F.col("same").isNotNull())
 
 
 def execution_match(rows: DataFrame, status: DataFrame) -> DataFrame:
@@ -126,15 +131,18 @@ def eval_summary(details: DataFrame) -> DataFrame:
 def pair_results(pairs: DataFrame, status: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Map per-query results (by sql_id) back to samples: long rows and statuses with side pred/gold.
 
-    ``pairs`` has (sample_id, pred_sql, gold_sql); ``status``/``rows`` come
-    from ``run_sql_batch``. A query shared by many samples ran once.
+    ``pairs`` has (sample_id, pred_sql, gold_sql) and, where texts ran per database, db_id; ``status`` and
+    ``rows`` come from ``run_sql_batch``. A query shared by many samples ran once.
     """
     from .execute import sql_id_col
-    sides = pairs.select("sample_id", F.lit("pred").alias("side"), F.col("pred_sql").alias("sql")) \
-        .unionByName(pairs.select("sample_id", F.lit("gold").alias("side"), F.col("gold_sql").alias("sql"))) \
-        .withColumn("sql_id", sql_id_col("sql"))
-    st = sides.join(status.select("sql_id", "status", "error"), "sql_id", "left") \
-        .select("sample_id", "side", F.coalesce("status", F.lit("error")).alias("status"), "sql",
-                F.coalesce("error", F.lit("not run")).alias("error"))
-    rw = sides.join(rows, "sql_id").select("sample_id", "side", "row_no", "cells", "row_str")
+    db = F.col("db_id") if "db_id" in pairs.columns else F.lit(None).cast("string")
+    side = F.explode(F.array(F.struct(F.lit("pred").alias("side"), F.col("pred_sql").alias("sql")),
+                             F.struct(F.lit("gold").alias("side"), F.col("gold_sql").alias("sql"))))
+    sides = pairs.select("sample_id", db.alias("db_id"), side.alias("s")).select("sample_id", "db_id", "s.*") \
+        .withColumn("sql_id", sql_id_col("sql", "db_id"))
+    ran = status.select("sql_id", "status", "error", *[c for c in ("planned",) if c in status.columns])
+    st = sides.join(ran, "sql_id", "left") \
+        .withColumn("status", F.coalesce("status", F.lit("error"))).withColumn("error", F.coalesce("error", F.lit("not run"))) \
+        .select("sample_id", "side", "status", "sql", "error", *[c for c in ("planned",) if c in status.columns])
+    rw = sides.join(rows, "sql_id").select("sample_id", "side", *[c for c in rows.columns if c != "sql_id"])
     return rw, st

@@ -3,7 +3,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from sqlforge.operators import evaluate as EV
 from sqlforge.operators import execute as EX
+from sqlforge.operators import rewards as RW
 from sqlforge.session import register_tables
 
 from conftest import SF_SMALL
@@ -51,6 +53,69 @@ def test_time_limit(spark):
     assert time.time() - t0 < 60
 
 
+def test_messages_are_whole(spark):
+    register_tables(spark, SF_SMALL, ("customer",))
+    status, _ = _run(spark, ["SELECT c_nme FROM customer", "SELECT x FROM nosuch", "SELECT 1 +"])
+    err = {r["sql"]: r["error"] for r in status.collect()}
+    assert "c_nme" in err["SELECT c_nme FROM customer"] and "c_name" in err["SELECT c_nme FROM customer"]   # names what exists
+    assert "nosuch" in err["SELECT x FROM nosuch"] and "\n" in err["SELECT 1 +"]
+    assert not any(r["planned"] for r in status.collect())
+
+
+def test_unsafe_texts_are_refused(spark):
+    register_tables(spark, SF_SMALL, ("customer",))
+    path = f"{SF_SMALL}/customer.parquet"
+    bad = ["SELECT reflect('java.lang.Integer', 'toString', 7)", "SELECT java_method('java.lang.Integer', 'toString', 7)",
+           "SELECT try_reflect('java.lang.Integer', 'toString', 7)", f"SELECT * FROM parquet.`{path}`",
+           f"SELECT (SELECT count(*) FROM parquet.`{path}`) AS n", f"WITH t AS (SELECT * FROM parquet.`{path}`) SELECT * FROM t",
+           "SELECT c_custkey FROM customer WHERE c_name = (SELECT max(reflect('java.lang.Integer', 'toString', c_custkey)) FROM customer)",
+           "SELECT 1) UNION ALL (SELECT 2", "SET spark.sql.shuffle.partitions=1", "SHOW TABLES", "CACHE TABLE customer"]
+    good = ["SELECT 'reflect(1)' AS t, 'parquet.`/x`' AS p", "WITH t AS (SELECT c_custkey FROM customer) SELECT count(*) FROM t",
+            "VALUES (1), (2)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT max(c_custkey) FROM customer)"]
+    status, _ = _run(spark, bad + good)
+    got = {r["sql"]: r["status"] for r in status.collect()}
+    assert {t: got[t] for t in bad} == {t: "error" for t in bad}
+    assert {t: got[t] for t in good} == {t: "ok" for t in good}
+
+
+def test_numbers_compare_by_value(spark):
+    register_tables(spark, SF_SMALL, ("orders",))
+    pairs = [(1, "SELECT CAST(count(*) AS DOUBLE) FROM orders", "SELECT count(*) FROM orders", True),
+             (2, "SELECT sum(o_totalprice) * 1.0 FROM orders", "SELECT sum(o_totalprice) FROM orders", True),
+             (3, "SELECT CAST(7.5 AS DECIMAL(9,3))", "SELECT 7.5D", True), (4, "SELECT 0.1D + 0.2D", "SELECT 0.3D", True),
+             (5, "SELECT true", "SELECT 1", True), (6, "SELECT '1'", "SELECT 1", False), (7, "SELECT -0.0D", "SELECT 0", True),
+             (8, "SELECT 1.5", "SELECT 1.25", False), (9, "SELECT CAST(NULL AS INT)", "SELECT CAST(NULL AS STRING)", True),
+             (10, "SELECT CAST(12345678901234567890 AS DECIMAL(20,0))", "SELECT CAST(12345678901234567891 AS DECIMAL(20,0))", False)]
+    df = spark.createDataFrame([p[:3] for p in pairs], "sample_id long, pred_sql string, gold_sql string")
+    status, rows = EX.run_sql_batch(spark, df.select(F.explode(F.array("pred_sql", "gold_sql")).alias("sql")))
+    rw, st = EV.pair_results(df, status, rows)
+    assert {r["sample_id"]: r["ex"] for r in EV.execution_match(rw, st).collect()} == {p[0]: p[3] for p in pairs}
+    assert {r["sample_id"]: r["r_exec"] == 1.0 for r in RW.reward_execution(rw, st).collect()} == {p[0]: p[3] for p in pairs} | {6: True}
+
+
+def test_each_database_has_its_own_tables(spark, tmp_path):
+    for db, n in (("a", 3), ("b", 5)):
+        spark.range(n).withColumnRenamed("id", "k").write.parquet(str(tmp_path / db / "student.parquet"))
+    df = spark.createDataFrame([("a", "SELECT count(*) FROM student"), ("b", "SELECT count(*) FROM student;"), ("b", "SELECT 9")],
+                               "db_id string, sql string")
+    status, rows = EX.run_sql_batch(spark, df, db_col="db_id", session_of=EX.database_sessions(spark, str(tmp_path)))
+    got = {(r["db_id"], r["cells"][0]) for r in rows.join(status, "sql_id").collect()}
+    assert got == {("a", "3"), ("b", "5"), ("b", "9")}
+    assert not spark.catalog.tableExists("student")
+
+
+def test_rows_taken_are_limited(spark):
+    status, rows = EX.run_sql_batch(spark, spark.createDataFrame([("SELECT id FROM range(100000) ORDER BY id DESC",)], "sql string"), max_rows=10)
+    assert [r["cells"][0] for r in rows.orderBy("row_no").collect()] == [str(99999 - k) for k in range(10)]
+    assert status.first()["n_rows"] == 10
+
+
+def test_many_texts(spark):
+    n = EX.STATUS_BATCH // 10 + 30
+    status, rows = _run(spark, [f"SELECT {k} AS k" for k in range(n)])
+    assert status.filter("status = 'ok'").count() == n and rows.count() == n
+
+
 def test_validity_and_feedback(spark):
     register_tables(spark, SF_SMALL, ("customer",))
     df = spark.createDataFrame([("",), ("SELECT c_nme FROM customer",), ("SELECT c_custkey FROM customer",)], "sql string")
