@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import CLAUSES, SYSTEM_TEXT
 from ..functions.clauses import clause_output, split_clauses
 from ..functions.prompts import chat_messages, sft_user_text
+from ..session import materialize
 
 
 def unify_corpora(*dfs: DataFrame) -> DataFrame:
@@ -70,20 +71,14 @@ def serialize_schema(catalog: DataFrame, fks: DataFrame | None = None, compact:
                     .otherwise(F.col("schema")).alias("schema")))
 
 
-MAX_BROADCAST_DATABASES = 20000
-
-
-def attach_schema(samples: DataFrame, schema_text: DataFrame,
-                  max_broadcast: int = MAX_BROADCAST_DATABASES) -> DataFrame:
+def attach_schema(samples: DataFrame, schema_text: DataFrame) -> DataFrame:
     """Schema text per sample by db_id (unknown database -> '').
 
-    The schema table has one row per database. When its row count is within
-    ``max_broadcast`` it is broadcast (the corpus side is never shuffled nor
-    broadcast); beyond that an ordinary join is planned.
+    The schema table (one row per database) is written once, so Spark knows its size in bytes and
+    broadcasts it only within its own threshold; beyond that the join is an ordinary shuffle join, whose
+    hot databases adaptive execution splits.
     """
-    right = schema_text.withColumnRenamed("schema", "_schema")
-    if right.count() <= max_broadcast:
-        right = F.broadcast(right)
+    right = materialize(schema_text.withColumnRenamed("schema", "_schema").coalesce(1), "schema-text")
     return (samples.join(right, "db_id", "left")
             .withColumn("schema", F.coalesce("_schema", F.lit(""))).drop("_schema"))
 

@@ -7,6 +7,8 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 log = logging.getLogger(__name__)
 
 CATALOG_SCHEMA = T.StructType([
@@ -78,7 +80,7 @@ def catalog_from_tables(spark: SparkSession, sf_dir: str, layout=DRIVER_LAYOUT,
     for db_ord, (db_id, tables) in enumerate(layout):
         rows += _table_rows(spark, db_ord, db_id,
                             [(t, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in tables], pks)
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    return _written(spark, rows)
 
 
 def scan_catalog(spark: SparkSession, root: str, pks: dict | None = None) -> DataFrame:
@@ -93,11 +95,20 @@ def scan_catalog(spark: SparkSession, root: str, pks: dict | None = None) -> Dat
     dbs = sorted((s.getPath().getName(), s.getPath().toString())
                  for s in fs.listStatus(root_p) if s.isDirectory())
     for db_ord, (db_id, db_path) in enumerate(dbs):
-        p, _ = _fs(spark, db_path)
-        tables = sorted((s.getPath().getName()[: -len(".parquet")], s.getPath().toString())
-                        for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet"))
-        rows += _table_rows(spark, db_ord, db_id, tables, pks or {})
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+        rows += _table_rows(spark, db_ord, db_id, tables_of(spark, db_path), pks or {})
+    return _written(spark, rows)
+
+
+def tables_of(spark: SparkSession, db_path: str) -> list[tuple[str, str]]:
+    """(name, path) of the tables of one database folder, by name."""
+    p, fs = _fs(spark, db_path)
+    return sorted((s.getPath().getName()[: -len(".parquet")], s.getPath().toString())
+                  for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet"))
+
+
+def _written(spark: SparkSession, rows: list) -> DataFrame:
+    """The catalog as a written table, whose size Spark knows when it plans joins."""
+    return materialize(spark.createDataFrame(rows, CATALOG_SCHEMA).coalesce(1), "catalog")
 
 
 def database_ids(spark: SparkSession, root: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,20 +73,31 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, reader)
     return reader(path)
 
 
+_ID_BITS = 43      # of a sample id: place in its input; the bits above name the input
+
+
+def _input_number(source: str, split: str, path: str) -> int:
+    return int(hashlib.md5(f"{source}\n{split}\n{path}".encode()).hexdigest(), 16) % (1 << (63 - _ID_BITS))
+
+
 def read_qa_json(spark: SparkSession, path: str, source: str, split: str = "train",
-                 with_evidence: bool = False) -> DataFrame:
-    """A JSON array file of samples -> rows of SAMPLE_SCHEMA.
+                 with_evidence: bool = False, number: int | None = None) -> DataFrame:
+    """A JSON array of samples, or JSON Lines (``.jsonl``, which Spark splits) -> rows of SAMPLE_SCHEMA.
 
     The SQL text is taken from ``SQL``, else ``query``, else ''. Evidence and
-    difficulty default to ''. ``sample_id`` keeps the file order (one file is
-    read as one partition in multi-line mode, so ids follow the array order).
+    difficulty default to ''. ``sample_id`` keeps the file order below a prefix that names the input, so
+    samples of several inputs never share an id: ``number`` (give each input its own), else a hash of
+    (source, split, path).
     """
+    first = (_input_number(source, split, path) if number is None else number) << _ID_BITS
+
     def reader(p):
-        raw = spark.read.option("multiLine", True).schema(QA_RAW_SCHEMA).json(p)
+        lines = p.rstrip("/").endswith((".jsonl", ".jsonl.gz"))
+        raw = spark.read.option("multiLine", not lines).schema(QA_RAW_SCHEMA).json(p)
         sql = F.coalesce(F.col("SQL"), F.col("query"), F.lit("")) if with_evidence \
             else F.coalesce(F.col("query"), F.lit(""))
         return raw.select(
-            F.monotonically_increasing_id().alias("sample_id"),
+            (F.lit(first) + F.monotonically_increasing_id()).alias("sample_id"),
             F.lit(source).alias("source"), F.lit(split).alias("split"),
             F.coalesce("db_id", F.lit("")).alias("db_id"),
             F.coalesce("question", F.lit("")).alias("question"),
@@ -113,12 +125,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = SFT_SCHEMA
 
 
 def read_stage1(spark: SparkSession, path: str) -> DataFrame:
-    """An evaluation report file -> one row per entry of ``details``."""
-    def reader(p):
-        rep = spark.read.option("multiLine", True).schema(REPORT_SCHEMA).json(p)
-        return rep.select(F.posexplode("details").alias("detail_ord", "d")).select("detail_ord", "d.*")
-    empty = T.StructType([T.StructField("detail_ord", T.IntegerType())] + DETAIL_SCHEMA.fields)
-    return read_or_empty(spark, path, empty, reader)
+    """The details of an evaluation report: (detail_ord, ...detail columns).
+
+    A folder that :func:`write_eval_report` wrote is read line by line (``details/`` below ``path``, or that
+    folder itself), and ``detail_ord`` is the sample's id. A single ``{"details": [...]}`` document is
+    imported too. Any other layout is an error.
+    """
+    empty = T.StructType([T.StructField("detail_ord", T.LongType())] + DETAIL_SCHEMA.fields)
+    if not path_exists(spark, path):
+        return read_or_empty(spark, path, empty, None)
+    base = path.rstrip("/")
+    folder = f"{base}/details" if path_exists(spark, f"{base}/details") else base if base.endswith("/details") else None
+    if folder:
+        lines = spark.read.schema(T.StructType([T.StructField("sample_id", T.LongType())] + DETAIL_SCHEMA.fields)).json(folder)
+        return lines.select(F.coalesce("sample_id", F.monotonically_increasing_id()).alias("detail_ord"),
+                            *[f.name for f in DETAIL_SCHEMA.fields])
+    report = spark.read.option("multiLine", True).schema(REPORT_SCHEMA).json(path)
+    if report.filter(F.col("details").isNull()).limit(1).count() or not report.limit(1).count():
+        raise ValueError(f"{path} holds no evaluation report: neither a details folder nor a document with details")
+    return report.select(F.posexplode("details").alias("detail_ord", "d")).select(F.col("detail_ord").cast("long"), "d.*")
 
 
 def write_eval_report(details: DataFrame, summary: DataFrame, out: str, fmt: str = "json") -> None:

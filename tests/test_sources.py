@@ -5,6 +5,7 @@ import tempfile
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from sqlforge.operators.corpus import build_sft, unify_corpora, with_clauses
@@ -86,3 +87,29 @@ def test_scan_catalog_with_unreadable_database(spark):
     reg = {r["db_id"]: r for r in build_registry(cat, CAT.database_ids(spark, d)).collect()}
     assert reg["broken"]["keywords"] == ["broken"]
     assert reg["shop"]["keywords"] == ["buyers", "items", "buyer_id", "item_id", "name"]
+
+
+def test_two_files_never_share_an_id(spark):
+    d = _tmp()
+    for n in ("a", "b"):
+        json.dump([{"db_id": "x", "question": f"q {n}", "query": "SELECT 1"}], open(f"{d}/{n}.json", "w"))
+    u = unify_corpora(*[IO.read_qa_json(spark, f"{d}/{n}.json", "s") for n in ("a", "b")])
+    assert u.select("sample_id").distinct().count() == 2
+    from sqlforge.operators.tokens import token_features
+    sft = build_sft(with_clauses(u).withColumn("schema", F.lit("")))
+    assert token_features(sft, max_length=64).count() == 2
+
+
+def test_report_is_read_as_it_was_written(spark):
+    d = _tmp()
+    det = spark.createDataFrame([(7, "x", "q", "", "", "g", "p\nq", True, False), (9, "x", "q2", "", "", "g", "p", False, False)],
+                                "sample_id long, db_id string, question string, evidence string, difficulty string, "
+                                "gold_sql string, pred_sql string, ex boolean, em boolean")
+    IO.write_eval_report(det, det.groupBy().count(), f"{d}/report")
+    for path in (f"{d}/report", f"{d}/report/details"):
+        got = IO.read_stage1(spark, path).orderBy("detail_ord").collect()
+        assert [(r["detail_ord"], r["pred_sql"], r["ex"]) for r in got] == [(7, "p\nq", True), (9, "p", False)]
+    json.dump({"rows": []}, open(f"{d}/other.json", "w"))
+    with pytest.raises(ValueError):
+        IO.read_stage1(spark, f"{d}/other.json")
+    assert IO.read_stage1(spark, f"{d}/none").count() == 0
