@@ -507,7 +507,8 @@ routed AS (SELECT q_id, db_id, score, CAST(row_number() OVER (PARTITION BY q_id
            FROM scored QUALIFY rank <= {K.ROUTE_TOP_K})"""
 ORACLES["route_topk"] = _RET + f", {_ROUTE}\nSELECT * FROM routed"
 
-_KNOWN = "known AS (SELECT * FROM questions WHERE db_id IS NOT NULL)"
+_KNOWN = """known AS (SELECT q_id, question, evidence, coalesce(db_id,
+    CASE abs(q_id) % 3 WHEN 0 THEN 'sales' WHEN 1 THEN 'clickstream' ELSE 'corpus' END) AS db_id FROM questions)"""
 _TABLE_ITEMS = """titems AS (
   SELECT db_id, table_name, table_ord, count(*) AS n_cols,
     table_name || ' ' || string_agg(col_name, ' ' ORDER BY col_ord) AS txt
@@ -578,17 +579,17 @@ SELECT a.vec_id, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE dot / (na * nb)
     sqrt(list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS nb
   FROM vec_history a JOIN vec_history b ON b.vec_id = a.vec_id + 1) a"""
 
-from sqlforge.operators.retrieval import CONTEXT_HEADERS as CH  # noqa: E402  (fixed header texts)
+from sqlforge.operators.retrieval import CONTEXT_TEXTS as CH  # noqa: E402  (default texts)
 
 
 def _context_sql(qrel: str) -> str:
     return f"""tlines AS (
-  SELECT t.q_id, t.table_rank, '  Table ' || t.table_name || ': (' || coalesce(string_agg(c.col_name, ', ' ORDER BY c.col_rank), '') || ')' AS line
+  SELECT t.q_id, t.table_rank, {lit(CH['table'])} || t.table_name || {lit(CH['columns'])} || coalesce(string_agg(c.col_name, ', ' ORDER BY c.col_rank), '') || {lit(CH['columns_end'])} AS line
   FROM tables_r t LEFT JOIN cols_r c ON c.q_id = t.q_id AND c.table_name = t.table_name
   GROUP BY t.q_id, t.table_rank, t.table_name),
 sch AS (SELECT q_id, string_agg(line, chr(10) ORDER BY table_rank) AS lines FROM tlines GROUP BY q_id),
-exs AS (SELECT s.q_id, string_agg('Example ' || CAST(s.rank AS VARCHAR) || ':' || chr(10) || '  Q: ' || h.question
-                                  || chr(10) || '  SQL: ' || h.sql, chr(10) ORDER BY s.rank) AS ex
+exs AS (SELECT s.q_id, string_agg({lit(CH['example'])} || CAST(s.rank AS VARCHAR) || chr(10) || {lit(CH['asked'])} || h.question
+                                  || chr(10) || {lit(CH['answered'])} || h.sql, chr(10) ORDER BY s.rank) AS ex
         FROM shots s JOIN history h ON h.db_id = s.db_id AND h.hist_ord = s.hist_ord GROUP BY s.q_id),
 ctx AS (
   SELECT k.q_id, k.db_id, concat_ws(chr(10) || chr(10),
@@ -617,14 +618,14 @@ ORACLES["rag_link"] = (_RET + f", {_ROUTE}, {_CHOSEN}, {_rank_tables_sql('chosen
                        " FROM ctx c JOIN routing r ON r.q_id = c.q_id")
 
 _BULLETS = _schema_fk(False).split("SELECT t.db_id, CASE")[0].replace("WITH ", "", 1)
-ORACLES["schema_line_filter"] = cte("questions") + f""", {_BULLETS.rstrip()},
+ORACLES["schema_line_filter"] = cte("questions") + f""", {_KNOWN}, {_BULLETS.rstrip()},
 bullets AS (SELECT t.db_id, CASE WHEN f.fk IS NULL THEN t.s ELSE t.s || chr(10) || chr(10) || 'Foreign Keys:' || chr(10) || f.fk END AS schema
             FROM t LEFT JOIN f ON t.db_id = f.db_id),
 kept AS (
   SELECT q.q_id, b.schema, list_filter(string_split(b.schema, chr(10)), lambda ln:
       len(list_filter(regexp_extract_all(lower(ln), '{WORD}'), lambda w: length(w) > 2 AND contains(lower(q.question), w))) > 0
       OR starts_with(ln, 'Table') OR starts_with(ln, 'Foreign')) AS ls
-  FROM questions q JOIN bullets b ON b.db_id = q.db_id WHERE q.db_id IS NOT NULL)
+  FROM known q JOIN bullets b ON b.db_id = q.db_id)
 SELECT q_id, CAST(len(string_split(txt, chr(10))) AS INT) AS n_lines, md5(txt) AS kept_md5
 FROM (SELECT q_id, CASE WHEN len(ls) > 0 THEN array_to_string(ls, chr(10)) ELSE schema END AS txt FROM kept) x"""
 
@@ -655,6 +656,11 @@ _PROMPT = f"""concat_ws(chr(10) || chr(10),
 ORACLES["reflection_prompt"] = (_REFL_BASE + f", {_FB}\nSELECT r.sample_id, CAST(length({_PROMPT}) AS INT) AS n_chars, md5({_PROMPT}) AS prompt_md5"
                                 " FROM refl r LEFT JOIN fb f ON f.sample_id = r.sample_id")
 
+ORACLES["reflection_chat"] = (_REFL_BASE + f""", {_FB}
+SELECT sample_id, 2 AS n_messages, 'system' AS first_role, md5(p) AS user_md5,
+  md5({lit(K.REFLECTION_SYSTEM)} || chr(10) || chr(10) || 'User: ' || p || chr(10) || 'Assistant:') AS flat_md5
+FROM (SELECT r.sample_id, {_PROMPT} AS p FROM refl r LEFT JOIN fb f ON f.sample_id = r.sample_id) x""")
+
 _ADV = """adv AS (
   SELECT *, (reward - avg(reward) OVER (PARTITION BY group_id)) / (stddev_pop(reward) OVER (PARTITION BY group_id) + 1e-8) AS advantage,
     max(reward) OVER (PARTITION BY group_id) - min(reward) OVER (PARTITION BY group_id) < 1e-6 AS flat,
@@ -681,6 +687,19 @@ SELECT u.global_step, 0 AS epoch, u.step, u.group_id,
   round(u.loss, 6) + 0.0 AS loss
 FROM upd u WHERE u.global_step % {K.LOG_EVERY} = 0"""
 
+_RUN_GROUPS = "run_id, epoch, group_id"
+ORACLES["training_log_runs"] = cte("rollout_runs") + f""", {_ADV.replace("PARTITION BY group_id", f"PARTITION BY {_RUN_GROUPS}").replace("FROM rollouts", "FROM rollout_runs")},
+{_LOSS.replace("SELECT group_id, sum", f"SELECT {_RUN_GROUPS}, sum").replace("GROUP BY group_id", f"GROUP BY {_RUN_GROUPS}")},
+per AS (SELECT {_RUN_GROUPS}, avg(reward) AS mr, max(reward) - min(reward) < 1e-6 AS flat FROM rollout_runs GROUP BY {_RUN_GROUPS}),
+seq AS (SELECT p.*, l.loss, row_number() OVER (PARTITION BY p.run_id ORDER BY p.epoch, p.group_id) AS seq,
+          row_number() OVER (PARTITION BY p.run_id, p.epoch ORDER BY p.group_id) - 1 AS step
+        FROM per p LEFT JOIN loss_t l ON l.run_id = p.run_id AND l.epoch = p.epoch AND l.group_id = p.group_id),
+upd AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS global_step FROM seq WHERE NOT flat AND (step + 1) % {K.GRAD_ACCUM} = 0)
+SELECT u.run_id, u.global_step, u.epoch, u.step, u.group_id,
+  round((SELECT sum(s.mr) FROM seq s WHERE s.run_id = u.run_id AND s.seq BETWEEN u.seq - {K.LOG_EVERY - 1} AND u.seq) / {float(K.LOG_EVERY)}, 9) AS avg_reward,
+  round(u.loss, 6) + 0.0 AS loss
+FROM upd u WHERE u.global_step % {K.LOG_EVERY} = 0"""
+
 _W9 = K.REWARD_WEIGHTS
 _WSUM = float(sum(_W9.values()))
 
@@ -689,9 +708,6 @@ def _total(prefix: str = "") -> str:
     return (f"({_W9['exec']} * r_exec + {_W9['format']} * r_format + {_W9['syntax']} * r_syntax + "
             f"{_W9['schema']} * r_schema + {_W9['ngram']} * r_ngram) / {_WSUM}")
 
-# Dry-run validity of the F3 texts, decided by hand from the fixture: blank texts score 0; the only
-# texts that do not plan are those naming the renamed column c_phone (it does not exist); the rest plan.
-_SYN_F3 = "CAST(CASE WHEN trim(pred_sql) = '' THEN 0.0 WHEN contains(pred_sql, 'c_phone') THEN 0.5 ELSE 1.0 END AS DOUBLE)"
 
 
 
@@ -807,3 +823,11 @@ FROM (SELECT sample_id, {_user_prompt(False)} AS p FROM q) x"""
 ORACLES["embed_questions"] = cte("questions") + "\nSELECT q_id, concat_ws(',', " + ", ".join(
     f"CAST(length(lower(question)) - length(replace(lower(question), '{ch}', '')) AS VARCHAR)"
     for ch in "abcdefghijklmnopqrstuvwxyz") + ") AS vector FROM questions"
+
+# ------------------------------------------------------------------ sources and sinks
+# What is written comes back: the round trips equal the tables they wrote.
+ORACLES["source_qa_round_trip"] = cte("qa_corpus") + """
+SELECT source, db_id, question, query, evidence, difficulty, count(*) AS n, count(*) AS n_ids
+FROM qa_corpus GROUP BY source, db_id, question, query, evidence, difficulty"""
+ORACLES["split_round_trip"] = f"SELECT * EXCLUDE (sample_id) FROM ({ORACLES['sft_build']}) s"
+ORACLES["report_round_trip"] = ORACLES["eval_details"]

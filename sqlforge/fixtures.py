@@ -207,6 +207,13 @@ SELECT CAST(-(conv_id * 100 + turn) - 1 AS BIGINT) AS q_id, text AS question,
 FROM conversations WHERE role = 'user'
 """
 
+# Every question with a database: its own, else one by its number.
+F6_QUESTIONS_PLACED = f"""
+SELECT q_id, question, evidence,
+  coalesce(db_id, CASE abs(q_id) % 3 WHEN 0 THEN 'sales' WHEN 1 THEN 'clickstream' ELSE 'corpus' END) AS db_id
+FROM ({F6_QUESTIONS}) q
+"""
+
 # ---------------------------------------------------------------- F7 history
 F7_HISTORY = """
 SELECT CAST(conv_id * 100 + turn AS BIGINT) AS hist_ord,
@@ -221,7 +228,7 @@ WHERE role = 'user' AND next_text IS NOT NULL
 """
 
 # ---------------------------------------------------------------- F8 vectors
-F8_VEC_QUERIES = "SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0"
+F8_VEC_QUERIES = "SELECT vec_id, embedding, label FROM embeddings"
 F8_VEC_HISTORY = "SELECT vec_id, embedding, label FROM embeddings"
 
 # ---------------------------------------------------------------- F9 rollouts
@@ -235,6 +242,24 @@ SELECT CAST(l_orderkey AS BIGINT) AS group_id,
 FROM lineitem
 """
 
+# Two runs of three epochs; each group id recurs in all six.
+F9_ROLLOUT_RUNS = """
+SELECT CAST(floor(l_orderkey / 6) AS BIGINT) AS group_id, CAST(l_orderkey % 3 AS INT) AS epoch,
+  CAST(floor(l_orderkey / 3) % 2 AS INT) AS run_id,
+  l_discount * 10 AS reward, -l_quantity / 10 AS logp_new, -(l_quantity + l_tax * 10) / 10 AS logp_ref
+FROM lineitem
+"""
+
+# ---------------------------------------------------------------- F3, F2 plan states
+# What a run would say of planning (W4), decided from the fixture: of the F3 texts those that name the
+# renamed column c_phone don't plan; of the F2 answers those that still begin with a tag.
+F3_PAIR_PLANS = f"""
+SELECT sample_id, NOT (pred_sql LIKE '%c_phone%') AS planned FROM ({F3_PAIRS}) p
+"""
+F2_ANSWER_PLANS = f"""
+SELECT sample_id, sample_id % 5 = 4 AS planned FROM ({F2_MODEL_OUTPUTS}) p
+"""
+
 # ---------------------------------------------------------------- F10 eval rows
 F10_EVAL_ROWS = """
 SELECT CAST(o_orderkey AS BIGINT) AS sample_id,
@@ -254,6 +279,10 @@ FIXTURES = {
     "result_status_err": (F4_RESULT_STATUS_ERR, ("customer",)),
     "sql_pairs": (None, ("customer", "orders")),
     "questions": (F6_QUESTIONS, ("customer", "conversations")),
+    "questions_placed": (F6_QUESTIONS_PLACED, ("customer", "conversations")),
+    "pair_plans": (F3_PAIR_PLANS, ("customer",)),
+    "answer_plans": (F2_ANSWER_PLANS, ("customer",)),
+    "rollout_runs": (F9_ROLLOUT_RUNS, ("lineitem",)),
     "history": (F7_HISTORY, ("conversations",)),
     "vec_queries": (F8_VEC_QUERIES, ("embeddings",)),
     "vec_history": (F8_VEC_HISTORY, ("embeddings",)),

@@ -1,7 +1,7 @@
 """User model surfaces E9 and R3: generation and embedding through Arrow batches.
 
 The model is user code: a zero-argument loader returning a callable. It is
-loaded once per Python worker process (cached by loader identity) and called
+loaded once per Python worker process (cached under the model's name) and called
 on fixed-size batches, as the reference's batch size of 16 prescribes.
 """
 
@@ -19,21 +19,32 @@ from ..functions.clauses import final_sql
 _CACHE: dict = {}
 
 
-def _loaded(loader: Callable):
-    key = id(loader), getattr(loader, "__qualname__", "")
-    if key not in _CACHE:
-        _CACHE[key] = loader()
-    return _CACHE[key]
+def model_name(loader: Callable, name: str | None) -> str:
+    """The cache key of a model: the given name, else the loader's import path."""
+    if name:
+        return name
+    own = getattr(loader, "__qualname__", "<")
+    if "<" in own:
+        raise ValueError("give a name for a model whose loader is not a module-level function")
+    return f"{loader.__module__}.{own}"
+
+
+def _loaded(loader: Callable, name: str):
+    if name not in _CACHE:
+        _CACHE[name] = loader()
+    return _CACHE[name]
 
 
 def batch_generate(df: DataFrame, load_generator: Callable, prompt_col: str = "prompt",
-                   batch_size: int = 16, id_col: str = "sample_id") -> DataFrame:
+                   batch_size: int = 16, id_col: str = "sample_id", name: str | None = None) -> DataFrame:
     """Output text for every prompt, then the final SQL parsed from it (summary first).
 
     ``load_generator()`` returns ``fn(list[str]) -> list[str]``.
     """
+    name = model_name(load_generator, name)
+
     def gen(it):
-        fn = _loaded(load_generator)
+        fn = _loaded(load_generator, name)
         for pdf in it:
             prompts = pdf[prompt_col].fillna("").tolist()
             outs = []
@@ -47,13 +58,14 @@ def batch_generate(df: DataFrame, load_generator: Callable, prompt_col: str = "p
 
 
 def embed(df: DataFrame, load_encoder: Callable, text_col: str = "question", out_col: str = "embedding",
-          batch_size: int = 64) -> DataFrame:
+          batch_size: int = 64, name: str | None = None) -> DataFrame:
     """Dense vectors from a user encoder (``load_encoder()`` -> ``fn(list[str]) -> 2-d array``)."""
     from pyspark.sql.functions import pandas_udf
+    name = model_name(load_encoder, name)
 
     @pandas_udf("array<float>")
     def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fn = _loaded(load_encoder)
+        fn = _loaded(load_encoder, name)
         for s in batches:
             texts = s.fillna("").tolist()
             parts = [np.asarray(fn(texts[i:i + batch_size]), dtype=np.float32)

@@ -71,22 +71,20 @@ def reward_schema(pred, gold) -> Column:
     return let(F.struct(schema_tokens(pred).alias("p"), schema_tokens(gold).alias("g")), score)
 
 
-def multiset_common(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two short arrays (per row, no shuffle)."""
-    return F.aggregate(
-        F.array_distinct(a), F.lit(0),
-        lambda acc, x: acc + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+def reward_ngram(df: DataFrame, pred: str = "pred_sql", gold: str = "gold_sql", key: str = "sample_id", n: int = 2) -> DataFrame:
+    """(key, r_ngram), the multiset F1 of word n-grams; gold empty -> 1 if pred empty else 0; pred empty -> 0.
 
-
-def reward_ngram(pred, gold, n: int = 2) -> Column:
-    """Multiset F1 of word n-grams; gold empty -> 1 if pred empty else 0; pred empty -> 0."""
-    def score(pg):
-        p, g = pg["p"], pg["g"]
-        common = multiset_common(p, g).cast("double")
-        return (F.when(F.size(g) == 0, F.when(F.size(p) == 0, 1.0).otherwise(0.0))
-                .when(F.size(p) == 0, 0.0)
-                .otherwise(_f1(common, F.size(p).cast("double"), F.size(g).cast("double")))).cast("double")
-    return let(F.struct(ngrams(pred, n).alias("p"), ngrams(gold, n).alias("g")), score)
+    N-grams are counted by a (key, n-gram) aggregate with map-side combine: linear in the text length.
+    """
+    both = F.concat(F.transform(ngrams(pred, n), lambda g: F.struct(g.alias("g"), F.lit(1).alias("p"))),
+                    F.transform(ngrams(gold, n), lambda g: F.struct(g.alias("g"), F.lit(0).alias("p"))))
+    per = df.select(key, F.explode_outer(both).alias("x")).groupBy(key, "x.g").agg(
+        F.count_if(F.col("x.p") == 1).alias("p"), F.count_if(F.col("x.p") == 0).alias("q"))
+    t = per.groupBy(key).agg(F.sum(F.least("p", "q")).cast("double").alias("c"), F.sum("p").cast("double").alias("p"),
+                             F.sum("q").cast("double").alias("q"))
+    score = F.when(F.col("q") == 0, F.when(F.col("p") == 0, 1.0).otherwise(0.0)).when(F.col("p") == 0, 0.0) \
+        .otherwise(_f1(F.col("c"), F.col("p"), F.col("q")))
+    return t.select(key, score.cast("double").alias("r_ngram"))
 
 
 def reward_total(df: DataFrame, weights: dict | None = None) -> DataFrame:

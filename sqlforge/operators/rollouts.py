@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ADV_EPS, CLIP_EPS, FLAT_EPS, GRAD_ACCUM, KL_BETA, LOG_EVERY
-from ..functions.prompts import reflection_prompt
-from .ranking import global_row_number
+from ..functions.prompts import reflection_flat, reflection_messages, reflection_prompt
+from .ranking import group_row_number
 
 
 def reflection_set(stage1: DataFrame, corpus: DataFrame, only_wrong: bool = True,
@@ -34,75 +34,85 @@ def reflection_set(stage1: DataFrame, corpus: DataFrame, only_wrong: bool = True
 
 
 def with_reflection_prompt(df: DataFrame) -> DataFrame:
-    """G3 on a table with question, schema, pred_sql, exec_result, exec_error, evidence."""
-    return df.withColumn("prompt", reflection_prompt(F.col("question"), F.col("schema"), F.col("pred_sql"),
-                                                     F.col("exec_result"), F.col("exec_error"), F.col("evidence")))
+    """G3 on a table with question, schema, pred_sql, exec_result, exec_error, evidence: the user text
+    (``prompt``), the chat form (``messages``) and the flat form (``flat``), both with the system text."""
+    df = df.withColumn("prompt", reflection_prompt(F.col("question"), F.col("schema"), F.col("pred_sql"),
+                                                   F.col("exec_result"), F.col("exec_error"), F.col("evidence")))
+    return df.withColumn("messages", reflection_messages("prompt")).withColumn("flat", reflection_flat("prompt"))
 
 
-def group_advantage(rollouts: DataFrame, group: str = "group_id", reward: str = "reward") -> DataFrame:
+def _keys(group: str | list[str]) -> list[str]:
+    return [group] if isinstance(group, str) else list(group)
+
+
+def group_advantage(rollouts: DataFrame, group: str | list[str] = "group_id", reward: str = "reward") -> DataFrame:
     """(r - mean) / (population std + 1e-8) inside each group."""
-    w = Window.partitionBy(group)
+    w = Window.partitionBy(*_keys(group))
     return rollouts.withColumn("advantage", (F.col(reward) - F.avg(reward).over(w)) /
                                (F.stddev_pop(reward).over(w) + F.lit(ADV_EPS)))
 
 
-def with_flat_flag(rollouts: DataFrame, group: str = "group_id", reward: str = "reward") -> DataFrame:
-    w = Window.partitionBy(group)
+def with_flat_flag(rollouts: DataFrame, group: str | list[str] = "group_id", reward: str = "reward") -> DataFrame:
+    w = Window.partitionBy(*_keys(group))
     return rollouts.withColumn("flat", (F.max(reward).over(w) - F.min(reward).over(w)) < F.lit(FLAT_EPS))
 
 
-def informative_groups(rollouts: DataFrame, group: str = "group_id") -> DataFrame:
+def informative_groups(rollouts: DataFrame, group: str | list[str] = "group_id") -> DataFrame:
     """Drop groups whose rewards are all equal (max - min < 1e-6), then rows with |advantage| < 1e-6."""
     r = group_advantage(with_flat_flag(rollouts, group), group)
     return r.filter(~F.col("flat") & (F.abs("advantage") >= F.lit(FLAT_EPS))).drop("flat")
 
 
 def clipped_objective(rollouts: DataFrame, eps: float = CLIP_EPS, beta: float = KL_BETA,
-                      group: str = "group_id") -> DataFrame:
+                      group: str | list[str] = "group_id") -> DataFrame:
     """Per non-flat group, sum over informative outputs of
     -min(ratio * A, clip(ratio, 1-eps, 1+eps) * A) + beta * (new - ref), divided by all outputs of the group."""
     r = group_advantage(with_flat_flag(rollouts, group), group)
-    n_all = F.count(F.lit(1)).over(Window.partitionBy(group))
+    n_all = F.count(F.lit(1)).over(Window.partitionBy(*_keys(group)))
     diff = F.col("logp_new") - F.col("logp_ref")
     ratio = F.exp(diff)
     clipped = F.least(F.greatest(ratio, F.lit(1.0 - eps)), F.lit(1.0 + eps))
     term = -F.least(ratio * F.col("advantage"), clipped * F.col("advantage")) + F.lit(beta) * diff
     r = r.withColumn("n_all", n_all).filter(~F.col("flat"))
-    return r.groupBy(group).agg(
+    return r.groupBy(*_keys(group)).agg(
         (F.sum(F.when(F.abs("advantage") >= F.lit(FLAT_EPS), term).otherwise(F.lit(0.0))) /
          F.first("n_all")).alias("loss"))
 
 
-def group_rewards(rollouts: DataFrame, group: str = "group_id", reward: str = "reward") -> DataFrame:
-    """Mean reward and flat flag per group."""
-    return rollouts.groupBy(group).agg(F.avg(reward).alias("mean_reward"),
-                                       ((F.max(reward) - F.min(reward)) < F.lit(FLAT_EPS)).alias("flat"))
+def group_rewards(rollouts: DataFrame, group: str | list[str] = "group_id", reward: str = "reward",
+                  keep: list[str] | None = None) -> DataFrame:
+    """Mean reward and flat flag per group; ``keep`` columns (constant in a group) stay."""
+    kept = [F.min(c).alias(c) for c in keep or [] if c not in _keys(group)]
+    return rollouts.groupBy(*_keys(group)).agg(F.avg(reward).alias("mean_reward"),
+                                               ((F.max(reward) - F.min(reward)) < F.lit(FLAT_EPS)).alias("flat"), *kept)
 
 
 def training_log(rollouts: DataFrame, order_cols: list[str] | None = None, group: str = "group_id",
-                 accum: int = GRAD_ACCUM, every: int = LOG_EVERY, epoch_col: str | None = None) -> DataFrame:
+                 accum: int = GRAD_ACCUM, every: int = LOG_EVERY, epoch_col: str | None = None,
+                 run_col: str | None = None) -> DataFrame:
     """Logging points of the update loop.
 
     Groups are visited in ``order_cols`` order (default: group id), one per
-    step; the step restarts per epoch, the update counter and the reward log
-    do not. An update happens where (step + 1) % accum == 0 and the group was
-    not skipped as flat; every ``every``-th update reports the mean of the last
+    step; a group that recurs in another epoch or run is a visit of its own. The step restarts per epoch, the
+    update counter and the reward log do not; runs are separate. An update happens where (step + 1) % accum
+    == 0 and the group was not skipped as flat; every ``every``-th update reports the mean of the last
     ``every`` group means (skipped groups included) and that step's loss.
     """
     order_cols = order_cols or [group]
-    per = group_rewards(rollouts, group).join(clipped_objective(rollouts, group=group), group, "left")
     if epoch_col is None:
-        per = per.withColumn("epoch", F.lit(0))
-        epoch_col = "epoch"
-    seq = global_row_number(per, [epoch_col] + order_cols, "seq")
-    first = seq.groupBy(epoch_col).agg(F.min("seq").alias("_s0"))
-    seq = seq.join(F.broadcast(first), epoch_col).withColumn("step", F.col("seq") - F.col("_s0")).drop("_s0")
+        rollouts, epoch_col = rollouts.withColumn("epoch", F.lit(0)), "epoch"
+    runs = [run_col] if run_col else []
+    keys = [*runs, epoch_col, group]
+    per = group_rewards(rollouts, keys, keep=order_cols).join(clipped_objective(rollouts, group=keys), keys, "left")
+    seq = group_row_number(per, runs, [epoch_col, *order_cols, group], "seq")
+    first = seq.groupBy(*runs, epoch_col).agg(F.min("seq").alias("_s0"))
+    seq = seq.join(first, [*runs, epoch_col]).withColumn("step", F.col("seq") - F.col("_s0")).drop("_s0")
     upd = seq.filter(~F.col("flat") & (((F.col("step") + 1) % accum) == 0))
-    upd = global_row_number(upd, ["seq"], "global_step")
+    upd = group_row_number(upd, runs, ["seq"], "global_step")
     logs = upd.filter(F.col("global_step") % every == 0)
-    window = logs.select("global_step", "seq", F.explode(F.sequence(F.col("seq") - (every - 1), F.col("seq"))).alias("s"))
-    past = seq.select(F.col("seq").alias("s"), F.col("mean_reward").alias("mr"))
-    avg = window.join(past, "s").groupBy("global_step").agg((F.sum("mr") / F.lit(float(every))).alias("avg_reward"))
-    return logs.join(avg, "global_step").select(
-        "global_step", epoch_col, "step", group, F.round("avg_reward", 9).alias("avg_reward"),
+    window = logs.select(*runs, "global_step", F.explode(F.sequence(F.col("seq") - (every - 1), F.col("seq"))).alias("s"))
+    past = seq.select(*runs, F.col("seq").alias("s"), F.col("mean_reward").alias("mr"))
+    avg = window.join(past, [*runs, "s"]).groupBy(*runs, "global_step").agg((F.sum("mr") / F.lit(float(every))).alias("avg_reward"))
+    return logs.join(avg, [*runs, "global_step"]).select(
+        *runs, "global_step", epoch_col, "step", group, F.round("avg_reward", 9).alias("avg_reward"),
         F.round("loss", 9).alias("loss"))

@@ -265,7 +265,7 @@ def q_ngram_counts(spark, sf):
 @register("reward_ngram")
 def q_reward_ngram(spark, sf):
     df = fixture(spark, sf, "pairs")
-    return df.select("sample_id", F.round(RW.reward_ngram(F.col("pred_sql"), F.col("gold_sql")), 9).alias("r_ngram"))
+    return RW.reward_ngram(df).select("sample_id", F.round("r_ngram", 9).alias("r_ngram"))
 
 
 @register("output_quality")
@@ -341,7 +341,7 @@ def _catalog(spark, sf):
 
 
 def _known(spark, sf):
-    return fixture(spark, sf, "questions").filter(F.col("db_id").isNotNull())
+    return fixture(spark, sf, "questions_placed")
 
 
 @register("bow_vectors")
@@ -459,6 +459,15 @@ def q_reflection_prompt(spark, sf):
     return p.select("sample_id", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
+@register("reflection_chat")
+def q_reflection_chat(spark, sf):
+    rows = fixture(spark, sf, "result_rows").filter(F.col("side") == "pred")
+    status = fixture(spark, sf, "result_status_err").filter(F.col("side") == "pred")
+    p = RO.with_reflection_prompt(_reflection(spark, sf).join(EX.exec_feedback(rows, status, key="sample_id"), "sample_id", "left"))
+    return p.select("sample_id", F.size("messages").alias("n_messages"), F.col("messages")[0]["role"].alias("first_role"),
+                    F.md5(F.col("messages")[1]["content"]).alias("user_md5"), F.md5("flat").alias("flat_md5"))
+
+
 @register("group_advantage")
 def q_group_advantage(spark, sf):
     r = RO.group_advantage(fixture(spark, sf, "rollouts"))
@@ -489,22 +498,21 @@ def q_training_log(spark, sf):
     return r.select("global_step", "epoch", "step", "group_id", "avg_reward", F.round("loss", 6).alias("loss"))
 
 
-def _syntax(spark, texts_df, col):
-    v = EX.sql_validity(spark, texts_df.select(F.col(col).alias("sql")))
-    return texts_df.withColumn("sql_id", EX.sql_id_col(col)).join(v, "sql_id", "left") \
-        .withColumn("r_syntax", F.coalesce("validity", F.lit(0.0))).drop("sql_id", "validity")
+def _syntax(spark, sf, texts_df, col, status):
+    """r_syntax from a status table (sample_id, planned), as a run leaves it."""
+    return texts_df.join(fixture(spark, sf, status), "sample_id", "left") \
+        .withColumn("r_syntax", EX.validity_of(col, "planned")).drop("planned")
 
 
 @register("reward_total")
 def q_reward_total(spark, sf):
     pairs = fixture(spark, sf, "pairs")
-    register_tables_for_sql(spark, sf)
     rows, status = _results(spark, sf)
     exec_r = RW.reward_execution(rows, status)
     outs = fixture(spark, sf, "model_outputs").select("sample_id", RW.reward_format(F.col("output")).alias("r_format"))
-    df = (_syntax(spark, pairs, "pred_sql")
+    df = (_syntax(spark, sf, pairs, "pred_sql", "pair_plans")
           .withColumn("r_schema", RW.reward_schema(F.col("pred_sql"), F.col("gold_sql")))
-          .withColumn("r_ngram", RW.reward_ngram(F.col("pred_sql"), F.col("gold_sql")))
+          .join(RW.reward_ngram(pairs), "sample_id")
           .join(exec_r, "sample_id").join(outs, "sample_id"))
     t = RW.reward_total(df)
     return t.select("sample_id", *[F.round(c, 9).alias(c) for c in
@@ -516,15 +524,14 @@ def q_rollout_rewards(spark, sf):
     """Reflection outputs -> answer (P6) -> rewards (W9) per output -> group advantage."""
     outs = fixture(spark, sf, "model_outputs")
     gold = fixture(spark, sf, "qa_corpus").select("sample_id", F.col("query").alias("gold_sql"))
-    register_tables_for_sql(spark, sf)
     rows, status = _results(spark, sf)
     exec_r = RW.reward_execution(rows, status)
     a = outs.select("sample_id", "output", CL.extract_reflection(F.col("output"))["answer"].alias("answer")) \
         .join(gold, "sample_id")
-    df = (_syntax(spark, a, "answer")
+    df = (_syntax(spark, sf, a, "answer", "answer_plans")
           .withColumn("r_format", RW.reward_format(F.col("output")))
           .withColumn("r_schema", RW.reward_schema(F.col("answer"), F.col("gold_sql")))
-          .withColumn("r_ngram", RW.reward_ngram(F.col("answer"), F.col("gold_sql")))
+          .join(RW.reward_ngram(a, "answer"), "sample_id")
           .join(exec_r, "sample_id"))
     t = RW.reward_total(df).select(F.floor(F.col("sample_id") / 8).cast("long").alias("group_id"),
                                    (F.col("sample_id") % 8).cast("int").alias("output_idx"),
@@ -534,10 +541,11 @@ def q_rollout_rewards(spark, sf):
                     F.round("advantage", 6).alias("advantage"))
 
 
-def register_tables_for_sql(spark, sf):
-    """Views the SQL texts of the fixtures refer to (for the dry run of W4)."""
-    from ..session import register_tables
-    register_tables(spark, sf, ("region", "nation", "customer", "orders"))
+@register("training_log_runs")
+def q_training_log_runs(spark, sf):
+    """G8 over three epochs of two runs; group ids recur in each."""
+    r = RO.training_log(fixture(spark, sf, "rollout_runs"), epoch_col="epoch", run_col="run_id")
+    return r.select("run_id", "global_step", "epoch", "step", "group_id", "avg_reward", F.round("loss", 6).alias("loss"))
 
 
 # ------------------------------------------------------------------ token features (F1)
@@ -575,6 +583,52 @@ def q_segment_profile(spark, sf):
     return TK.segment_profile(TK.segment_lengths(samples, _sft(spark, sf)))
 
 
+# ------------------------------------------------------------------ sources and sinks (round trips of whole tables)
+from ..session import shared_path  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+
+def _scratch(spark) -> str:
+    import uuid
+    return shared_path(spark, "round-trips", uuid.uuid4().hex)
+
+
+@register("source_qa_round_trip")
+def q_source_qa_round_trip(spark, sf):
+    """The corpus written as JSON Lines per source and read back; ids stay distinct across inputs."""
+    base, qa = _scratch(spark), fixture(spark, sf, "qa_corpus")
+    parts = []
+    for k, (source, knowledge) in enumerate((("plain", False), ("kb", True))):
+        raw = qa.filter(F.col("source") == source).select(
+            "db_id", "question", F.col("query").alias("SQL" if knowledge else "query"),
+            *([F.col("evidence"), F.col("difficulty")] if knowledge else []))
+        raw.write.json(f"{base}/{source}.jsonl")
+        parts.append(IO.read_qa_json(spark, f"{base}/{source}.jsonl", source, "train", knowledge, number=k))
+    u = C.unify_corpora(*parts)
+    return u.groupBy("source", "db_id", "question", "query", "evidence", "difficulty").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("n_ids"))
+
+
+@register("split_round_trip")
+def q_split_round_trip(spark, sf):
+    """The training set written per split and read back line by line."""
+    base = _scratch(spark)
+    IO.write_split(C.build_sft(_corpus_with_schema(spark, sf)), base)
+    parts = [IO.read_jsonl(spark, f"{base}/split={s}").withColumn("split", F.lit(s)) for s in ("train", "dev")]
+    return parts[0].unionByName(parts[1]).select(
+        "split", "system", F.col("conversations")[0]["content"].alias("user_text"),
+        F.col("conversations")[1]["content"].alias("assistant_text"), "db_id", "source", "query")
+
+
+@register("report_round_trip")
+def q_report_round_trip(spark, sf):
+    """The evaluation report written and read back."""
+    base, details = _scratch(spark), q_eval_details(spark, sf)
+    IO.write_eval_report(details, EV.eval_summary(details), base)
+    return IO.read_stage1(spark, base).select(F.col("detail_ord").alias("sample_id"), "db_id", "question", "evidence", "difficulty",
+                                              "gold_sql", "pred_sql", "ex", "em")
+
+
 # ------------------------------------------------------------------ user model surfaces (stub models)
 from ..operators import generate as GE  # noqa: E402
 

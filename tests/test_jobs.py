@@ -50,3 +50,30 @@ def test_evaluate_and_score_jobs(spark):
     assert r[1]["r_exec"] == 1.0 and r[1]["r_syntax"] == 1.0
     assert r[3]["r_exec"] == 0.0 and r[3]["r_syntax"] == 0.5
     assert r[2]["r_exec"] == 1.0  # pred ordered: lists differ, but the token F1 of equal rows is 1
+
+
+def test_report_feeds_reflection(spark, tmp_path):
+    """J4 writes the report that J6 reads."""
+    register_tables(spark, SF_SMALL, ("nation",))
+    samples = spark.createDataFrame([(1, "sales", "q1", "", "simple", "SELECT n_name FROM nation"), (2, "sales", "q2", "e", "hard", "SELECT 1"),
+                                     (3, "sales", "q3", "", "hard", "SELECT 2")],
+                                    "sample_id long, db_id string, question string, evidence string, difficulty string, query string")
+    preds = spark.createDataFrame([(1, "SELECT n_nam FROM nation"), (2, "SELECT 1"), (3, "SELECT id FROM range(50)")], "sample_id long, pred_sql string")
+    J.evaluate(spark, samples, preds, out=str(tmp_path / "report"))
+    got = {r["sample_id"]: r for r in J.reflection_inputs(spark, str(tmp_path / "report"), samples.withColumn("schema", F.lit("T"))).collect()}
+    assert set(got) == {1, 3}
+    assert "n_nam" in got[1]["exec_error"] and "n_name" in got[1]["prompt"]
+    assert got[3]["exec_result"] == "[" + ", ".join(f"({k},)" for k in range(10)) + "]"
+    assert [m["role"] for m in got[1]["messages"]] == ["system", "user"] and got[1]["flat"].endswith("Assistant:")
+
+
+def test_training_log_of_epochs_and_runs(spark):
+    rows = [(run, epoch, g, float((g * 7 + o * 3 + epoch) % 5), -0.1 * o, -0.2 * o)
+            for run in (0, 1) for epoch in range(3) for g in range(100) for o in range(4)]
+    df = spark.createDataFrame(rows, "run long, epoch int, group_id long, reward double, logp_new double, logp_ref double")
+    log = J.rollout_statistics(df, epoch_col="epoch", run_col="run")["log"].collect()
+    for run in (0, 1):
+        own = sorted((r for r in log if r["run"] == run), key=lambda r: r["global_step"])
+        assert [r["global_step"] for r in own] == [10, 20, 30]
+        assert all((r["step"] + 1) % 8 == 0 and r["step"] < 100 for r in own) and len({r["epoch"] for r in own}) == 3
+    assert J.rollout_statistics(df.filter("run = 0 AND epoch = 0"))["log"].count() == 1

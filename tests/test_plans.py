@@ -3,12 +3,13 @@ only in the user-model surfaces and the dense block scorer; filters and column p
 import pytest
 
 import __spark_entry__ as E
+from sqlforge.plans.queries import Q
 
 from conftest import SF_SMALL
 
 PYTHON_ALLOWED = {"batch_generate": "MapInPandas", "embed_questions": "ArrowEvalPython",
                   "fewshot_vectors": "MapInPandas"}
-NAMES = sorted(E.queries())
+NAMES = sorted(Q)
 
 
 def _plan(df) -> str:

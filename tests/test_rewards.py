@@ -24,11 +24,14 @@ def test_reward_schema_rules(spark):
 
 
 def test_reward_ngram_rules(spark):
-    assert one(spark, "", "", RW.reward_ngram) == 1.0
-    assert one(spark, "select a", "one", RW.reward_ngram) == 0.0   # gold has no bigram, pred has
-    assert one(spark, "x", "select a", RW.reward_ngram) == 0.0     # pred has none
-    r = one(spark, "select a from t", "select a from u", RW.reward_ngram)
-    assert abs(r - 2 / 3) < 1e-12  # 2 of 3 bigrams shared both ways
+    long = " ".join(f"w{k % 7000}" for k in range(20000))
+    df = spark.createDataFrame([
+        (1, "", ""), (2, "select a", "one"),    # gold has no bigram, pred has
+        (3, "x", "select a"),                   # pred has none
+        (4, "select a from t", "select a from u"),  # 2 of 3 bigrams shared both ways
+        (5, None, None), (6, "a a a a", "a a"), (7, long, long)], "sample_id long, pred_sql string, gold_sql string")
+    got = {r["sample_id"]: r["r_ngram"] for r in RW.reward_ngram(df).collect()}
+    assert {k: round(v, 12) for k, v in got.items()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: round(2 / 3, 12), 5: 1.0, 6: 0.5, 7: 1.0}
 
 
 def _rows(spark, rows):
