@@ -815,6 +815,23 @@ SELECT source, CAST(floor(n_total / 256) * 256 AS INT) AS bucket, count(*) AS n,
   round(avg(n_total), 9) AS avg_total, max(n_total) AS max_total
 FROM seg GROUP BY source, CAST(floor(n_total / 256) * 256 AS INT)"""
 
+ORACLES["segment_quantiles"] = _SEG + """,
+cnt AS (SELECT source, n_total, count(*) AS n FROM seg GROUP BY source, n_total),
+run AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY n_total) AS upto, sum(n) OVER (PARTITION BY source) AS whole FROM cnt)
+SELECT source, """ + ", ".join(f"CAST(min(n_total) FILTER (WHERE upto >= ceil({q} * whole)) AS INT) AS p{round(q * 100)}"
+                               for q in (0.5, 0.9, 0.95, 0.99)) + """, CAST(max(n_total) AS INT) AS longest
+FROM run GROUP BY source"""
+_UW = "list_transform(list_filter(string_split({}, ' '), lambda w: w <> ''), lambda w: 10 + length(w))"
+ORACLES["sft_features_user"] = _WITH_SCHEMA + f""", {_SFT_ROWS},
+enc AS (SELECT sample_id, {_UW.format('prompt')} AS p, list_append({_UW.format('full_text')}, 1)[1:128] AS ids FROM texts),
+lab AS (SELECT sample_id, len(p) AS np, len(ids) AS n, ids,
+          list_concat(list_transform(range(least(len(p), 128)), lambda x: -100), ids[least(len(p), 128) + 1:])[1:128] AS l FROM enc)
+SELECT sample_id, CAST(np AS INT) AS prompt_len, CAST(n AS INT) AS n_tokens,
+  md5(array_to_string(list_concat(ids, list_transform(range(128 - n), lambda x: 0)), ',')) AS ids_md5,
+  md5(array_to_string(list_concat(l, list_transform(range(128 - len(l)), lambda x: -100)), ',')) AS labels_md5,
+  CAST(n AS INT) AS n_mask
+FROM lab"""
+
 # ------------------------------------------------------------------ user model surfaces (stub models)
 ORACLES["batch_generate"] = _WITH_SCHEMA + f"""
 SELECT sample_id, '<summary>' || chr(10) || 'SELECT ' || CAST(length(p) AS VARCHAR) || chr(10) || '</summary>' AS output,

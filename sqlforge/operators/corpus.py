@@ -83,8 +83,8 @@ def attach_schema(samples: DataFrame, schema_text: DataFrame) -> DataFrame:
             .withColumn("schema", F.coalesce("_schema", F.lit(""))).drop("_schema"))
 
 
-def build_sft(samples: DataFrame, system: str = SYSTEM_TEXT) -> DataFrame:
-    """Drop rows with an empty question or query; emit system text, [user, assistant] turns."""
+def build_sft(samples: DataFrame, system: str = SYSTEM_TEXT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Drop rows with an empty question or query; emit system text, [user, assistant] turns (and ``keep`` columns)."""
     s = samples if "clauses" in samples.columns else with_clauses(samples)
     user = sft_user_text(F.col("schema"), F.col("evidence"), F.col("question"))
     assistant = clause_output(F.col("clauses"), F.col("query"))
@@ -93,7 +93,7 @@ def build_sft(samples: DataFrame, system: str = SYSTEM_TEXT) -> DataFrame:
                     F.array(F.struct(F.lit("user").alias("role"), user.alias("content")),
                             F.struct(F.lit("assistant").alias("role"), assistant.alias("content")))
                     .alias("conversations"),
-                    "db_id", "source", "query"))
+                    "db_id", "source", "query", *keep))
 
 
 def sft_counts(samples: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The default tokenizer is a regular expression (the 18 tags as single tokens,
 Unicode words, single other characters) with a vocabulary ranked by corpus
-frequency; a real tokenizer can be plugged in through :func:`hf_token_ids`
-(iterator pandas UDF, one load per Python worker).
+frequency; a real tokenizer is plugged in through :func:`tokenizer_features`
+(Arrow batches, one load per Python worker).
 
 Ids: 0 pad, 1 end of text, 2 unknown, 3..20 the 18 tags in fixed order,
 then corpus tokens from 21 by (count desc, token). Every sample keeps only its first
@@ -16,10 +16,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ALL_TAGS, CLAUSES, MAX_LENGTH, SYSTEM_TEXT
+from ..session import materialize
+from .corpus import build_sft
+from .generate import _loaded, model_name
 from .ranking import global_row_number
 
 TOKEN_RE = r"</?(?:clause_[a-z_]+|summary)>|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
@@ -39,7 +42,8 @@ def sft_texts(sft: DataFrame, system: str | None = None) -> DataFrame:
     user = F.col("conversations")[0]["content"]
     asst = F.col("conversations")[1]["content"]
     prompt = F.concat(sys_c, F.lit("\n\nUser: "), user, F.lit("\nAssistant:"))
-    return sft.select("sample_id", prompt.alias("prompt"), F.concat(prompt, asst).alias("full"))
+    carried = [c for c in ("source", "clauses", "query") if c in sft.columns]
+    return sft.select("sample_id", *carried, prompt.alias("prompt"), F.concat(prompt, asst).alias("full"))
 
 
 def build_vocab(texts: DataFrame, col: str = "full") -> DataFrame:
@@ -51,12 +55,16 @@ def build_vocab(texts: DataFrame, col: str = "full") -> DataFrame:
 
 
 def token_features(sft: DataFrame, vocab: DataFrame | None = None, max_length: int = MAX_LENGTH) -> DataFrame:
-    """input_ids, attention_mask, labels (prompt positions -100), truncated and padded to max_length."""
+    """input_ids, attention_mask, labels (prompt positions -100), truncated and padded to max_length.
+
+    The ids are a written table of known size: within Spark's broadcast threshold the token rows are
+    looked up where they are; beyond it the join is shuffled and adaptive execution splits hot tokens.
+    """
     texts = sft_texts(sft)
     vocab = vocab if vocab is not None else build_vocab(texts)
     spark = sft.sparkSession
     tags = spark.createDataFrame([(t, FIRST_TAG_ID + i) for i, t in enumerate(ALL_TAGS)], "token string, id int")
-    ids = vocab.select("token", "id").unionByName(tags)
+    ids = materialize(vocab.select("token", "id").unionByName(tags), "token-ids")
     # prompt length once per sample, before the explode (in the same select it
     # would be evaluated again for every token row)
     lens = texts.select("sample_id", "full", F.size(tokens("prompt")).alias("prompt_len"))
@@ -79,16 +87,30 @@ def token_features(sft: DataFrame, vocab: DataFrame | None = None, max_length: i
         F.concat(labels, F.array_repeat(F.lit(IGNORE), F.lit(max_length) - F.size(labels))).alias("labels"))
 
 
-def segment_lengths(samples: DataFrame, sft: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """C14: tokens in the prompt, in each clause, in the summary, in total, and the over-budget flag."""
-    texts = sft_texts(sft)
-    s = samples.select("sample_id", "source", "clauses", "query")
-    j = texts.join(s, "sample_id")
+def segment_lengths(samples: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
+    """C14: tokens in the prompt, in each clause, in the summary, in total, and the over-budget flag.
+
+    ``samples`` carry schema and clauses through :func:`corpus.build_sft`, so nothing is joined back.
+    """
+    texts = sft_texts(build_sft(samples, keep=("clauses",)))
     cols = [F.size(tokens(F.col("clauses")[c])).alias(f"n_{c}") for c in CLAUSES]
-    total = F.size(tokens("full")) + 1
-    return j.select("sample_id", "source", F.size(tokens("prompt")).alias("n_prompt"), *cols,
-                    F.size(tokens("query")).alias("n_summary"), total.alias("n_total"),
-                    (total > max_length).alias("over_budget"))
+    sized = texts.select("sample_id", "source", F.size(tokens("prompt")).alias("n_prompt"), *cols,
+                         F.size(tokens("query")).alias("n_summary"), (F.size(tokens("full")) + 1).alias("n_total"))
+    return sized.withColumn("over_budget", F.col("n_total") > max_length)
+
+
+def segment_quantiles(lengths: DataFrame, shares: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), col: str = "n_total") -> DataFrame:
+    """C14: exact quantiles per source: the least length that at least the given share of samples reaches.
+
+    Samples are first counted per (source, length); the running sum is over those counts, so a source of any
+    size is as many rows as it has different lengths.
+    """
+    per = lengths.groupBy("source", F.col(col).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("source")
+    run = per.withColumn("upto", F.sum("n").over(whole.orderBy("length"))).withColumn("all", F.sum("n").over(whole))
+    return run.groupBy("source").agg(
+        *[F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("all")), F.col("length"))).cast("int").alias(f"p{round(q * 100)}")
+          for q in shares], F.max("length").cast("int").alias("longest"))
 
 
 def segment_profile(lengths: DataFrame, bucket: int = 256) -> DataFrame:
@@ -98,16 +120,33 @@ def segment_profile(lengths: DataFrame, bucket: int = 256) -> DataFrame:
         F.round(F.avg("n_total"), 9).alias("avg_total"), F.max("n_total").alias("max_total"))
 
 
-def hf_token_ids(texts: DataFrame, col: str, load_tokenizer, max_length: int = MAX_LENGTH) -> DataFrame:
-    """Ids from a user tokenizer (``load_tokenizer()`` -> object with ``__call__(list[str])`` giving
-    ``{"input_ids": [[...]]}``), loaded once per Python worker, applied in Arrow batches."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<int>")
-    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tok = load_tokenizer()
-        for s in batches:
-            out = tok(list(s.fillna("")), truncation=True, max_length=max_length)["input_ids"]
-            yield pd.Series([list(map(int, x)) for x in out])
-
-    return texts.withColumn("token_ids", enc(F.col(col)))
+def tokenizer_features(sft: DataFrame, load_tokenizer, max_length: int = MAX_LENGTH, pad_id: int = PAD_ID,
+                       eos_id: int | None = EOS_ID, name: str | None = None) -> DataFrame:
+    """C13 with a user tokenizer: prompt_len, n_tokens, input_ids, attention_mask, labels (prompt positions -100).
+
+    ``load_tokenizer()`` gives ``fn(list[str]) -> list[list[int]]``; it is loaded once per Python worker.
+    ``eos_id`` (unless None) ends the text where it fits. Truncated and padded to ``max_length``.
+    """
+    name = model_name(load_tokenizer, name)
+    kind = dict(sft.dtypes)["sample_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = _loaded(load_tokenizer, name)
+        for df in batches:
+            rows = []
+            for sample, prompt, full in zip(df["sample_id"], encode(df["prompt"].tolist()), encode(df["full"].tolist())):
+                ids = [*full, eos_id][:max_length] if eos_id is not None else full[:max_length]
+                n, asked = len(ids), min(len(prompt), max_length)
+                labels = ([IGNORE] * asked + ids[asked:])[:max_length]
+                rows.append((sample, len(prompt), n, ids + [pad_id] * (max_length - n), [1] * n + [0] * (max_length - n),
+                             labels + [IGNORE] * (max_length - len(labels))))
+            yield pd.DataFrame(rows, columns=["sample_id", "prompt_len", "n_tokens", "input_ids", "attention_mask", "labels"])
+
+    return sft_texts(sft).select("sample_id", "prompt", "full").mapInPandas(
+        run, f"sample_id {kind}, prompt_len int, n_tokens int, input_ids array<int>, attention_mask array<int>, labels array<int>")
+
+
+# ---------------------------------------------------------------- stub for tests and checks
+def word_length_tokenizer():
+    """Stub tokenizer: a token per run of non-space characters, its id 10 plus the run's length."""
+    return lambda texts: [[10 + len(w) for w in t.split(" ") if w] for t in texts]

@@ -573,14 +573,26 @@ def q_sft_features(spark, sf):
 
 @register("segment_lengths")
 def q_segment_lengths(spark, sf):
-    samples = C.with_clauses(fixture(spark, sf, "qa_corpus"))
-    return TK.segment_lengths(samples, _sft(spark, sf))
+    return TK.segment_lengths(C.with_clauses(_corpus_with_schema(spark, sf)))
 
 
 @register("segment_profile")
 def q_segment_profile(spark, sf):
-    samples = C.with_clauses(fixture(spark, sf, "qa_corpus"))
-    return TK.segment_profile(TK.segment_lengths(samples, _sft(spark, sf)))
+    return TK.segment_profile(q_segment_lengths(spark, sf))
+
+
+@register("segment_quantiles")
+def q_segment_quantiles(spark, sf):
+    return TK.segment_quantiles(q_segment_lengths(spark, sf))
+
+
+@register("sft_features_user")
+def q_sft_features_user(spark, sf):
+    """C13 with a plugged-in tokenizer (a stub whose ids SQL can give too)."""
+    f = TK.tokenizer_features(_sft(spark, sf), TK.word_length_tokenizer, max_length=128)
+    return f.select("sample_id", "prompt_len", "n_tokens", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),
+                    F.md5(F.array_join("labels", ",")).alias("labels_md5"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_mask"))
 
 
 # ------------------------------------------------------------------ sources and sinks (round trips of whole tables)

@@ -3,9 +3,9 @@
 The reference has no stream; every step of output parsing and text scoring
 is a per-row column expression, so the same expressions apply unchanged to a
 Structured Streaming source (files landing in a folder, a message bus). No
-state is kept; each micro-batch is appended to a Parquet sink through
-``foreachBatch`` with a checkpoint in the shared folder, so a restarted query
-resumes where it stopped.
+state is kept. Micro-batches go to Spark's Parquet sink, whose log makes a
+replayed batch count once; every stream needs a checkpoint folder of its own, from which a restarted
+query resumes.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from ..functions.clauses import extract_reflection, format_score
 from ..operators.outputs import parse_outputs
-from ..session import shared_path
 
 OUTPUT_SCHEMA = T.StructType([T.StructField("sample_id", T.LongType()), T.StructField("output", T.StringType())])
 
@@ -28,15 +27,11 @@ def scored_outputs(stream: DataFrame, text: str = "output") -> DataFrame:
                     format_score(F.col(text)).alias("r_format"))
 
 
-def start_output_scoring(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str | None = None,
+def start_output_scoring(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                          fmt: str = "json", available_now: bool = True):
     """Read output files from ``source_dir`` as a stream, score them, append to Parquet at ``sink_dir``."""
     src = spark.readStream.schema(OUTPUT_SCHEMA).format(fmt).load(source_dir)
-    ckpt = checkpoint or shared_path(spark, "streams", "output_scoring")
-
-    def write(batch: DataFrame, epoch_id: int):
-        batch.write.mode("append").parquet(sink_dir)
-
-    w = scored_outputs(src).writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
+    w = scored_outputs(src).writeStream.format("parquet").outputMode("append") \
+        .option("path", sink_dir).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

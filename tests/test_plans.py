@@ -8,7 +8,7 @@ from sqlforge.plans.queries import Q
 from conftest import SF_SMALL
 
 PYTHON_ALLOWED = {"batch_generate": "MapInPandas", "embed_questions": "ArrowEvalPython",
-                  "fewshot_vectors": "MapInPandas"}
+                  "fewshot_vectors": "MapInPandas", "sft_features_user": "MapInPandas"}
 NAMES = sorted(Q)
 
 
