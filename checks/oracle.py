@@ -617,6 +617,11 @@ ORACLES["rag_link"] = (_RET + f", {_ROUTE}, {_CHOSEN}, {_rank_tables_sql('chosen
                        "\nSELECT c.q_id, c.db_id AS selected_db, r.routing, md5(c.context) AS context_md5"
                        " FROM ctx c JOIN routing r ON r.q_id = c.q_id")
 
+# The stub encoder counts the 26 letters, so its cosines are those of letter "words".
+for _name in ("rank_tables", "rag_link"):
+    ORACLES[f"{_name}_vectors"] = ORACLES[_name].replace(f"'{WORD}'", "'[a-z]'")
+ORACLES["route_vectors"] = ORACLES["route_topk"].replace(f"'{WORD}'", "'[a-z]'")
+
 _BULLETS = _schema_fk(False).split("SELECT t.db_id, CASE")[0].replace("WITH ", "", 1)
 ORACLES["schema_line_filter"] = cte("questions") + f""", {_KNOWN}, {_BULLETS.rstrip()},
 bullets AS (SELECT t.db_id, CASE WHEN f.fk IS NULL THEN t.s ELSE t.s || chr(10) || chr(10) || 'Foreign Keys:' || chr(10) || f.fk END AS schema

@@ -332,6 +332,7 @@ def q_exec_feedback(spark, sf):
 
 
 # ------------------------------------------------------------------ retrieval
+from ..operators import generate as GE  # noqa: E402
 from ..operators import retrieval as R  # noqa: E402
 from ..operators.corpus import serialize_schema  # noqa: E402
 
@@ -399,6 +400,29 @@ def q_fewshot_vectors(spark, sf):
     return r.select("q_id", "vec_id", "sim", F.col("rank").cast("int").alias("rank"))
 
 
+@register("route_vectors")
+def q_route_vectors(spark, sf):
+    """R6 with encoder vectors (the stub encoder of R3)."""
+    reg = R.build_registry(_catalog(spark, sf))
+    r = R.route(fixture(spark, sf, "questions"), reg, encoder=GE.letter_encoder)
+    return r.select("q_id", "db_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+@register("rank_tables_vectors")
+def q_rank_tables_vectors(spark, sf):
+    r = R.rank_tables(_known(spark, sf), _catalog(spark, sf), encoder=GE.letter_encoder)
+    return r.select("q_id", "db_id", "table_name", "table_score", F.col("table_rank").cast("int").alias("table_rank"))
+
+
+@register("rag_link_vectors")
+def q_rag_link_vectors(spark, sf):
+    """R11 with encoder vectors in routing, tables, columns and examples."""
+    cat = _catalog(spark, sf)
+    out = R.link(fixture(spark, sf, "questions"), R.build_registry(cat), cat, fixture(spark, sf, "history"), encoder=GE.letter_encoder)
+    routing = F.array_join(F.transform("routing", lambda x: F.concat(x["db_id"], F.lit(":"), F.format_number(x["score"], 9))), ";")
+    return out.select("q_id", "selected_db", routing.alias("routing"), F.md5("context").alias("context_md5"))
+
+
 @register("cosine_pairs")
 def q_cosine_pairs(spark, sf):
     e = fixture(spark, sf, "vec_history")
@@ -642,8 +666,6 @@ def q_report_round_trip(spark, sf):
 
 
 # ------------------------------------------------------------------ user model surfaces (stub models)
-from ..operators import generate as GE  # noqa: E402
-
 
 @register("batch_generate")
 def q_batch_generate(spark, sf):
