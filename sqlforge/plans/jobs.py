@@ -19,7 +19,6 @@ from ..operators import rollouts as RO
 from ..operators.outputs import output_quality, parse_outputs
 from ..operators.retrieval import build_registry, link
 from ..sources import catalog as CAT
-from ..session import safe_planning
 from ..sources import io as IO
 
 
@@ -67,7 +66,6 @@ def evaluate(spark: SparkSession, samples: DataFrame, preds: DataFrame, timeout:
     ``preds``: sample_id, pred_sql. With ``catalog_root`` each sample runs on its own database
     (``<catalog_root>/<db_id>/<table>.parquet``); without it tables must be registered in this session.
     """
-    safe_planning(spark)
     pairs = samples.select("sample_id", "db_id", F.col("query").alias("gold_sql")).join(
         preds.select("sample_id", "pred_sql"), "sample_id", "left").fillna("", subset=["pred_sql"])
     status, rows = _run_pairs(spark, pairs, timeout, catalog_root)
@@ -85,7 +83,6 @@ def score(spark: SparkSession, scored: DataFrame, timeout: float = REWARD_TIMEOU
 
     The syntax part is what the run says of planning, so no text is planned twice.
     """
-    safe_planning(spark)
     pairs = scored.select("sample_id", *[c for c in ("db_id",) if c in scored.columns], "pred_sql", "gold_sql")
     status, rows = _run_pairs(spark, pairs, timeout, catalog_root)
     rw, st = EV.pair_results(pairs, status, rows)
@@ -106,7 +103,6 @@ def reflection_inputs(spark: SparkSession, stage1_path: str, corpus: DataFrame,
 
     Only the rows that the feedback shows are taken from each query.
     """
-    safe_planning(spark)
     details = IO.read_stage1(spark, stage1_path).withColumnRenamed("detail_ord", "sample_id")
     refl = RO.reflection_set(details, corpus, only_wrong)
     status, rows = EX.run_sql_batch(spark, refl, "pred_sql", timeout=timeout, db_col="db_id", max_rows=FEEDBACK_ROWS,

@@ -38,17 +38,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
-    safe_planning(spark)
     return spark
 
 
-def safe_planning(spark: SparkSession) -> None:
-    """Turn off union output partitioning: with it, a union of two projections of
-    one hash-partitioned table reports that partitioning while having twice the
-    partitions, and a later join on the key fails to zip (8 vs 16 partitions)."""
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
