@@ -131,21 +131,22 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: complete copies first, then the part of the document at the boundary.
+    """The mix as documents with all their columns: complete copies, then the part of the document at the boundary.
 
     Documents of which nothing is taken go; documents without words are never taken.
     """
-    names = docs.columns
-    rows = keyed(docs, keep=[])
-    plan = plan_mix(materialize(rows, "mix-keys"))
-    out = mix(keyed(docs), plan).filter(F.col("taken") > 0)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", "source")
+    plan = plan_mix(materialize(keyed(docs, keep=[]), "mix-keys"))
+    out = mix(keyed(whole, keep=["_doc"]), plan).filter(F.col("taken") > 0)
     full, rest = F.floor(F.col("taken") / F.col("size")), F.pmod(F.col("taken"), F.col("size"))
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")),
                       F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     out = out.withColumn("_part", F.explode(copies))
-    return out.withColumn("text", F.when(F.col("_part") < 0, F.col("text")).otherwise(first_words("text", F.col("_part")))) \
-        .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
-        .select(*names)
+    cut = first_words("_doc.text", F.col("_part"))
+    part = F.col("_doc").withField("text", cut)
+    if "n_chars" in {c.lower() for c in docs.columns}:
+        part = part.withField("n_chars", F.length(cut).cast(docs.schema["n_chars"].dataType))
+    return out.select(F.when(F.col("_part") < 0, F.col("_doc")).otherwise(part).alias("_doc")).select("_doc.*")
 
 
 def first_words(col: str, n: Column) -> Column:

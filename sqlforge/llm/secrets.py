@@ -123,10 +123,11 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None, owner: list[str
 
 
 def redacted(docs: DataFrame, owner: list[str] = ("source",), repository: list[str] = ("source", "lang")) -> DataFrame:
-    """The documents with the values of secrets replaced; widely copied examples stay as they are."""
-    names = docs.columns
-    rows = marked(docs, names, list(owner), list(repository))
-    out = rows.join(judged(rows), "_row", "left")
+    """The documents with the values of secrets replaced; widely copied examples and other columns stay as they are."""
+    names = {c.lower() for c in docs.columns}
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), *dict.fromkeys(["text", *owner, *repository]))
+    rows = marked(whole, ["_doc"], list(owner), list(repository))
+    out = rows.join(judged(rows), "_row", "left").withColumn("text", F.col("_doc.text"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
@@ -136,9 +137,10 @@ def redacted(docs: DataFrame, owner: list[str] = ("source",), repository: list[s
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("_redact", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
     out = out.withColumn("_clean", F.when(F.size("_redact") > 0, clean))
+    changed = F.col("_doc").withField("text", F.col("_clean"))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_clean").isNotNull(), F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("text", F.coalesce("_clean", "text")).select(*names)
+        changed = changed.withField("n_chars", F.length("_clean").cast(docs.schema["n_chars"].dataType))
+    return out.select(F.when(F.col("_clean").isNotNull(), changed).otherwise(F.col("_doc")).alias("_doc")).select("_doc.*")
 
 
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

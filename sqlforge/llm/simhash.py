@@ -203,13 +203,13 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
-    """One document of each component: the smallest id, among equal ids the first row."""
-    names = docs.columns
-    rows = materialize(fingerprints(docs, shingle).withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
+    """One document of each component, all its columns: the smallest id, among equal ids the first row."""
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    rows = materialize(fingerprints(whole, shingle, keep=["_doc"]).withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
+    first = F.struct(F.col("_doc.doc_id").isNull().alias("n"), F.col("_doc.doc_id").alias("doc_id"), "_row")
     per = rows.groupBy("_fp").agg(F.min(first).alias("_first")).join(component_table(rows, most), "_fp")
     kept = per.groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*names)
+    return rows.join(kept, "_row", "left_semi").select("_doc.*")
 
 
 QUERIES = {"op9_simhash_golay": op9_simhash_golay}

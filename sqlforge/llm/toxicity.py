@@ -173,21 +173,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int =
     return Model(np.frombuffer(model["weight"], dtype=np.float32), model["bias"])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with score and predicted."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns of ``docs`` (all by default; score and predicted are replaced) with score and predicted."""
     weight = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
-    cols = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    cols = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")]
 
     def run(batches):
         import pyarrow as pa
         m = Model(*weight.value)
         for b in batches:
-            s = [m.score(t or "") for t in b.column("text").to_pylist()]
+            s = [m.score(t or "") for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(s, pa.float64()),
                                               pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*cols, "score", "predicted"])
 
-    rows = docs.select(*cols)
-    kind = rows.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    rows = docs.select(*cols, F.col("text").alias("_text"))
+    kind = docs.select(*cols).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     return rows.mapInArrow(run, kind)
 
 
@@ -198,8 +198,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic."""
-    return score(docs, fit(docs, labels)).filter(F.col("predicted") == 0).select(*docs.columns)
+    """The documents that are not predicted toxic, with all their columns as they were."""
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    return score(whole, fit(docs, labels), keep=["_doc"]).filter(F.col("predicted") == 0).select("_doc.*")
 
 
 QUERIES = {"op6_toxicity": op6_toxicity}

@@ -31,6 +31,16 @@ def test_stages_take_awkward_documents(spark, make):
     assert (docs.count() > 0) == (make is awkward)
 
 
+def test_extra_columns_stay_whatever_their_names(spark):
+    extra = ("score", "predicted", "_fp", "_row", "spans", "_spans", "size", "taken", "_key", "_src", "_part", "_doc", "_text")
+    docs = awkward(spark, clash=extra)
+    for _, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, SF_SMALL).cache()
+        assert docs.columns[-len(extra):] == list(extra)
+        assert all(r[c] == "other" for r in docs.collect() for c in extra)
+    assert C.STAGES[-1][1](spark, docs, SF_SMALL).count() > 0
+
+
 def test_decisions_take_effect(spark, tmp_path):
     toxic = [(k, prose(k, 60) + " grumbolt grumbolting fizzlegrumbolt", "en", "s", 0) for k in range(200, 280)]
     clean = [(k, prose(k, 60), "en", f"s{k % 4}", 0) for k in range(80)]
