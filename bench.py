@@ -21,10 +21,11 @@ HEADLINE = [
     "final_sql", "extract_reflection", "output_quality",
     # evaluation and rewards
     "exact_match_rate", "execution_match", "reward_execution", "eval_summary", "reward_ngram", "reward_schema",
+    "reward_total", "rollout_rewards",
     # guarded execution of SQL text
     "sql_batch_rows",
     # retrieval
-    "route_topk", "rank_tables", "prune_columns", "fewshot_topk", "fewshot_vectors", "rag_link",
+    "route_topk", "rank_tables", "prune_columns", "fewshot_topk", "fewshot_vectors", "rag_link", "rag_link_vectors",
     # reflection and rollout groups
     "reflection_prompt", "group_advantage", "clipped_objective", "training_log",
 ]
