@@ -47,6 +47,7 @@ STEPS = 6
 TAIL_Z = 4.75
 BLOCK_ROWS = 512
 LEAST_GROUP = 100
+SKETCH = 500             # accuracy of the quartiles that one start begins with
 BINS_PER_OCTAVE = 8
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -204,7 +205,7 @@ FITS = "g string, mean0 binary, scatter0 binary, mean1 binary, scatter1 binary,
 def first_fits(held: DataFrame, stats_g: DataFrame) -> DataFrame:
     """Start 0: mean and covariance. Start 1: median and quartile range."""
     sums = _partial_sums(held, None)
-    quart = stats_g.groupBy("g").agg(*[F.percentile_approx(f"x{k}", [0.25, 0.5, 0.75], 10000).alias(f"q{k}") for k in range(DIM)])
+    quart = stats_g.groupBy("g").agg(*[F.percentile_approx(f"x{k}", [0.25, 0.5, 0.75], SKETCH).alias(f"q{k}") for k in range(DIM)])
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         v = df[[c for c in df.columns if re.fullmatch(r"v\d+", c)]].sum().to_numpy()
