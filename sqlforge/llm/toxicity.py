@@ -30,7 +30,7 @@ from .common import documents, materialize, read_table, sized, whole_text
 BUCKETS = 1 << 18
 DIM = 4
 GRAMS = (3, 4, 5)
-SAMPLE_ROWS = 4000       # labelled documents per class that the model is fitted on
+SAMPLE_ROWS = 2500       # labelled documents per class that the model is fitted on
 EPOCHS = 8
 STEPS = 150              # mini-batches at least, however few documents are labelled
 SEEN = 3                 # units in fewer documents of the sample keep the weight 0
@@ -38,7 +38,7 @@ REST = 200               # units without weight that every text holds besides it
 BATCH = 64
 RATE = 2.0
 FOLDS = 5                # labels of documents with crc32(id) mod 5 = 0 are held out
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000    # words kept by a task; later ones are looked up each time
 LONG_WORD = 200          # longer words are cut into stretches of this length
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -76,9 +76,7 @@ class Model:
         if found is None:
             u = units(word)
             found = (float(self.weight[u].sum()) if u else 0.0, len(u))
-            if len(word) <= LONG_WORD:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
+            if len(word) <= LONG_WORD and len(self.words) < CACHE_WORDS:
                 self.words[word] = found
         return found
 
@@ -93,6 +91,11 @@ class Model:
 
 
 def train(texts: list[str], labels: list[int], base_odds: float = 0.0, epochs: int = EPOCHS, seed: int = 6) -> Model:
+    return train_bags([bag(t) for t in texts], labels, base_odds, epochs, seed)
+
+
+def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], base_odds: float = 0.0, epochs: int = EPOCHS,
+               seed: int = 6) -> Model:
     """Joint training of embeddings and softmax by AdaGrad over mini-batches of whole documents.
 
     Classes weigh alike in the loss; ``base_odds`` is added to the bias afterwards.
@@ -101,11 +104,13 @@ def train(texts: list[str], labels: list[int], base_odds: float = 0.0, epochs: i
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    bags = [bag(t) for t in texts]
     seen = np.zeros(BUCKETS, np.int32)
     for index, _ in bags:
         seen[index] += 1
-    bags = [(i[seen[i] >= SEEN], s[seen[i] >= SEEN]) for i, s in bags]
+    bags = list(bags)
+    for r, (index, share) in enumerate(bags):
+        often = seen[index] >= SEEN
+        bags[r] = index[often], share[often]
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -158,13 +163,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int =
 
     def run(batches):
         import pyarrow as pa
-        ids, texts, labels = [], [], []
-        for b in batches:
+        ids, bags, labels = [], [], []
+        for b in batches:          # texts leave at once; a bag has at most BUCKETS units
             ids += b.column("doc_id").to_pylist()
-            texts += b.column("text").to_pylist()
+            bags += [bag(t.as_py()) for t in b.column("text")]
             labels += b.column("_toxic").to_pylist()
         order = sorted(range(len(ids)), key=ids.__getitem__)
-        m = train([texts[k] for k in order], [labels[k] for k in order], seed=seed)
+        m = train_bags([bags[k] for k in order], [labels[k] for k in order], seed=seed)
         yield pa.RecordBatch.from_pydict({"weight": [m.weight.tobytes()], "bias": [m.bias]})
 
     model = materialize(sample.coalesce(1).mapInArrow(run, "weight binary, bias double"), "toxicity-model").first()
