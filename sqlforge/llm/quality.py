@@ -13,8 +13,12 @@ size adds up from partial sums and nothing is gathered. The estimate with the sm
 A statistic that is constant for most documents (no symbols at all) would make the scatter
 singular; ``FLOORS`` are the least standard deviations, so distances never rest on less.
 
-Vectors lie in blocks of about ``BLOCK_ROWS`` documents of a group, which deals a hot source out
-evenly. Groups under ``LEAST_GROUP`` documents are fitted together.
+Every group with a document that passes the base rules has a fit of its own, whatever its size. A few documents don't
+fix a scatter, so each step's estimate of a group of n documents is ``n / (n + SHRINK)`` its own and for
+the rest that of its language, which is fitted first by the same steps (a minimum regularized covariance determinant with the
+language as its target). The share has no threshold in n, and no group sees another language's documents.
+
+Vectors lie in blocks of about ``BLOCK_ROWS`` documents of a group, which deals a hot source out evenly.
 
 Defined results: null and empty texts have no words and fail the base rules; null languages and
 sources are a name of their own; rows that repeat are judged each; an empty table gives an empty result;
@@ -46,7 +50,7 @@ SUPPORT = 0.75
 STEPS = 6
 TAIL_Z = 4.75
 BLOCK_ROWS = 512
-LEAST_GROUP = 100
+SHRINK = 100             # a group of so many documents counts half, its language the other half
 SKETCH = 500             # accuracy of the quartiles that one start begins with
 BINS_PER_OCTAVE = 8
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
@@ -109,28 +113,27 @@ def statistics(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, vec binary")
 
 
-def blocks(stats: DataFrame, block_rows: int = BLOCK_ROWS, least_group: int = LEAST_GROUP) -> DataFrame:
-    """Rows of a group in blocks: g (group), part and lists of all columns."""
+def blocks(stats: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows of a group in blocks: g (group), over (its language), part and lists of all columns."""
+    def name(*cols):
+        return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+
     sizes = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n"))
-    name = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
-    small = F.col("_n") < least_group
-    # A pooled group's size isn't known here; its many small members are dealt by their own hash.
-    sizes = materialize(sizes.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.when(small, F.lit("")).otherwise(name).alias("g"),
-                                     F.when(small, F.lit(1)).otherwise(F.ceil(F.col("_n") / block_rows)).cast("int").alias("_parts"),
-                                     F.when(small, F.xxhash64("lang", "source")).otherwise(F.lit(0)).alias("_first")).coalesce(1), "quality-groups")
+    sizes = materialize(sizes.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), name("lang", "source").alias("g"), name("lang").alias("over"),
+                                     F.ceil(F.col("_n") / block_rows).cast("int").alias("_parts")).coalesce(1), "quality-groups")
     keyed = stats.join(sizes, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))) \
-        .withColumn("part", F.col("_first") + F.pmod(F.xxhash64("doc_id", "vec", *COUNTS), F.col("_parts"))) \
-        .select("g", "part", "doc_id", *COUNTS, "base_failed", "vec")
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", "vec", *COUNTS), F.col("_parts"))) \
+        .select("g", "over", "part", "doc_id", *COUNTS, "base_failed", "vec")
 
     def gather(key, table):
         import pyarrow as pa
         cols = {c: [table.column(c).to_pylist()] for c in ("doc_id", *COUNTS, "base_failed")}
         vec = b"".join(table.column("vec").to_pylist())
-        return pa.table({"g": [key[0].as_py()], "vec": pa.array([vec], pa.binary())} |
+        return pa.table({"g": [key[0].as_py()], "over": [key[1].as_py()], "vec": pa.array([vec], pa.binary())} |
                         {c: pa.array(v, pa.list_(pa.bool_() if c == "base_failed" else pa.int64())) for c, v in cols.items()})
 
     lists = ", ".join(f"{c} array<bigint>" for c in ("doc_id", *COUNTS))
-    return keyed.groupBy("g", "part").applyInArrow(gather, f"g string, vec binary, {lists}, base_failed array<boolean>")
+    return keyed.groupBy("g", "over", "part").applyInArrow(gather, f"g string, over string, vec binary, {lists}, base_failed array<boolean>")
 
 
 def _decode(mean: bytes, scatter: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +205,25 @@ def _partial_sums(held: DataFrame, fits: DataFrame | None) -> DataFrame:
 FITS = "g string, mean0 binary, scatter0 binary, mean1 binary, scatter1 binary, edge0 double, edge1 double, median0 double, median1 double"
 
 
-def first_fits(held: DataFrame, stats_g: DataFrame) -> DataFrame:
+def _shrunk(df: pd.DataFrame, n: float, mean: np.ndarray, scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An estimate from a group of n documents, drawn towards the target that stands beside its sums, if any."""
+    if "t_mean" not in df:
+        return mean, scatter
+    own, (t_mean, t_scatter) = n / (n + SHRINK), _decode(df["t_mean"].iloc[0], df["t_scatter"].iloc[0])
+    return own * mean + (1 - own) * t_mean, own * scatter + (1 - own) * t_scatter
+
+
+def targets(held: DataFrame, fits: DataFrame) -> DataFrame:
+    """The language's estimate beside each group: g, t_mean, t_scatter."""
+    named = fits.select(F.col("g").alias("over"), *[F.col(c).alias(f"t_{c}") for c in fits.columns if c != "g"])
+    return materialize(held.select("g", "over").distinct().join(named, "over").drop("over").coalesce(1), "quality-targets")
+
+
+def _beside(sums: DataFrame, towards: DataFrame | None) -> DataFrame:
+    return sums if towards is None else sums.join(towards, "g")
+
+
+def first_fits(held: DataFrame, stats_g: DataFrame, towards: DataFrame | None = None) -> DataFrame:
     """Start 0: mean and covariance. Start 1: median and quartile range."""
     sums = _partial_sums(held, None)
     quart = stats_g.groupBy("g").agg(*[F.percentile_approx(f"x{k}", [0.25, 0.5, 0.75], SKETCH).alias(f"q{k}") for k in range(DIM)])
@@ -212,13 +233,13 @@ def first_fits(held: DataFrame, stats_g: DataFrame) -> DataFrame:
         mean, scatter = estimate(v[0], v[1:1 + DIM], v[1 + DIM:])
         q = np.array([df[f"q{k}"].iloc[0] for k in range(DIM)], dtype=float)
         wide = np.diag(np.square((q[:, 2] - q[:, 0]) / 1.349) + np.square(list(FLOORS.values())))
-        return pd.DataFrame([[df["g"].iloc[0], mean.tobytes(), scatter.tobytes(), q[:, 1].copy().tobytes(), wide.tobytes(), 0.0, 0.0, 0.0, 0.0]],
-                            columns=[x.split()[0] for x in FITS.split(", ")])
+        starts = [x.tobytes() for m, s in ((mean, scatter), (q[:, 1], wide)) for x in _shrunk(df, v[0], m, s)]
+        return pd.DataFrame([[df["g"].iloc[0], *starts, 0.0, 0.0, 0.0, 0.0]], columns=[x.split()[0] for x in FITS.split(", ")])
 
-    return sums.join(quart, "g").groupBy("g").applyInPandas(run, FITS)
+    return _beside(sums.join(quart, "g"), towards).groupBy("g").applyInPandas(run, FITS)
 
 
-def concentrate(held: DataFrame, fits: DataFrame, support: float = SUPPORT) -> DataFrame:
+def concentrate(held: DataFrame, fits: DataFrame, towards: DataFrame | None = None, support: float = SUPPORT) -> DataFrame:
     """One concentration step for both starts of every group."""
     def run(df: pd.DataFrame) -> pd.DataFrame:
         row = {"g": df["g"].iloc[0]}
@@ -228,20 +249,20 @@ def concentrate(held: DataFrame, fits: DataFrame, support: float = SUPPORT) -> D
             upto = np.cumsum(v[:, 0])
             k = int(np.searchsorted(upto, support * upto[-1] - 1e-9))
             v_in = v[:k + 1].sum(axis=0)
-            mean, scatter = estimate(v_in[0], v_in[1:1 + DIM], v_in[1 + DIM:])
+            mean, scatter = _shrunk(df, upto[-1], *estimate(v_in[0], v_in[1:1 + DIM], v_in[1 + DIM:]))
             row |= {f"mean{start}": mean.tobytes(), f"scatter{start}": scatter.tobytes(), f"edge{start}": bin_edge(own["bin"].iloc[k]),
                     f"median{start}": bin_edge(own["bin"].iloc[int(np.searchsorted(upto, 0.5 * upto[-1] - 1e-9))])}
         return pd.DataFrame([row])[[x.split()[0] for x in FITS.split(", ")]]
 
-    return _partial_sums(held, fits).groupBy("g").applyInPandas(run, FITS)
+    return _beside(_partial_sums(held, fits), towards).groupBy("g").applyInPandas(run, FITS)
 
 
-def fit(held: DataFrame, steps: int = STEPS) -> DataFrame:
+def fit(held: DataFrame, steps: int = STEPS, towards: DataFrame | None = None) -> DataFrame:
     """(g, mean, scatter): the estimate with the smaller determinant, widened until half of the group lies inside the chi-square median."""
     spread = held.select("g", F.explode(_rows_of("vec", "base_failed")).alias("x")).select("g", *[F.col("x")[k].alias(f"x{k}") for k in range(DIM)])
-    fits = materialize(first_fits(held, spread), "quality-fits")
+    fits = materialize(first_fits(held, spread, towards), "quality-fits")
     for _ in range(steps):
-        fits = materialize(concentrate(held, fits), "quality-fits")
+        fits = materialize(concentrate(held, fits, towards), "quality-fits")
 
     def best(batches):
         import pyarrow as pa
@@ -268,7 +289,8 @@ def _rows_of(vec: str, failed: str):
 def judge(docs: DataFrame, tail_z: float = TAIL_Z) -> DataFrame:
     """doc_id, the counts, base_failed, kept and distance (squared; null where nothing was fitted) of each document."""
     held = materialize(blocks(materialize(statistics(docs), "quality-stats")), "quality-blocks")
-    best, most = fit(held), chi_square(tail_z)
+    languages = fit(held.withColumn("g", F.col("over")))
+    best, most = fit(held, towards=targets(held, languages)), chi_square(tail_z)
 
     def run(batches):
         import pyarrow as pa

@@ -85,3 +85,33 @@ def test_query_keeps_clean_documents(spark):
     clean = [kept[d].kept for d, q in labels.items() if q == 1 and not kept[d].base_failed]
     junk = [kept[d].kept for d, q in labels.items() if q == 0 and not kept[d].base_failed]
     assert np.mean(clean) > 0.99 and np.mean(junk) < 0.1
+
+
+def fits_of_groups(spark, rows):
+    stats = Q.statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    held = Q.blocks(stats).cache()
+    languages = Q.fit(held.withColumn("g", held.over))
+    return {r.g: Q._decode(r.mean, r.scatter) for r in Q.fit(held, towards=Q.targets(held, languages)).collect()}
+
+
+def test_small_groups_are_fitted_on_their_own_and_never_across_languages(spark):
+    """Other languages' documents change nothing; a group of 99 and one of 100 documents differ by little."""
+    rows = [(k, prose(k, 60 + k % 50), "en", f"s{k % 4}") for k in range(160)]
+    other = [(1000 + k, " ".join(w.upper() * 3 for w in prose(9000 + k, 80).split()), "de", f"s{k % 4}") for k in range(160)]
+    alone, both = fits_of_groups(spark, rows), fits_of_groups(spark, rows + other)
+    assert len(alone) == 4 and len(both) == 8
+    for g, (mean, scatter) in alone.items():
+        assert np.allclose(mean, both[g][0]) and np.allclose(scatter, both[g][1])
+    more = [(k, prose(k, 60 + k % 50), "en", "s") for k in range(100)] + [(500 + k, prose(500 + k, 60 + k % 50), "en", "t") for k in range(300)]
+    g = '{"lang":"en","source":"s"}'
+    (a, s), (b, t) = fits_of_groups(spark, more[1:])[g], fits_of_groups(spark, more)[g]
+    assert Q.distances(b[None], a, s)[0] < 0.1 and abs(np.linalg.slogdet(s)[1] - np.linalg.slogdet(t)[1]) < 1.0
+
+
+def test_every_group_of_the_table_has_its_own_fit(spark):
+    from sqlforge.llm.common import documents
+    held = Q.blocks(Q.statistics(documents(spark, SF_SMALL.replace("0.001", "0.1")))).cache()
+    languages = Q.fit(held.withColumn("g", held.over))
+    got = Q.fit(held, towards=Q.targets(held, languages))
+    assert languages.count() == held.select("over").distinct().count() == 4
+    assert got.count() == held.select("g").distinct().count() == 80
