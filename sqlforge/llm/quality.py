@@ -2,16 +2,16 @@
 
 Each text has a few counts and, from them, a vector of transformed statistics. For every language and source the
 minimum-covariance-determinant estimate of centre and scatter is fitted to the vectors of the
-documents that pass the base rules, and a document is rejected if its squared Mahalanobis distance passes a
-chi-square quantile (``TAIL_Z`` standard normal deviations out).
+documents that pass the base rules, and a document is rejected if its squared Mahalanobis distance passes the
+0.999 quantile of its group's distances, extrapolated from their median and upper quartile (``cut_off``).
 
 The fit covers all documents. It starts from two estimates (mean and covariance; median and quartile
 range) and repeats concentration steps: the distances to the last estimate, their histogram in bins of an eighth
 of an octave, the least bin edge below which ``SUPPORT`` of the group lies, and the mean and
-covariance of those. A step is one pass that gives, per bin, a count, sums and sums of products, so a group of any
+covariance of those. The best estimate is then taken again from all documents within the 0.999 quantile. A step is one pass that gives, per bin, a count, sums and sums of products, so a group of any
 size adds up from partial sums and nothing is gathered. The estimate with the smaller determinant wins.
 A statistic that is constant for most documents (no symbols at all) would make the scatter
-singular; ``FLOORS`` are the least standard deviations, so distances never rest on less.
+singular; ``FLOORS`` are the least standard deviations in such directions, and change nothing where the group spreads more.
 
 Every group with a document that passes the base rules has a fit of its own, whatever its size. A few documents don't
 fix a scatter, so each step's estimate of a group of n documents is ``n / (n + SHRINK)`` its own and for
@@ -43,12 +43,13 @@ SYMBOLS = "#*$%&|<>"
 LETTERS = re.compile(r"[^\W\d_]+")
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 # Statistic -> least standard deviation. All but the first two are shares.
-FLOORS = {"word_length": 0.06, "variety": 0.03, "symbols": 0.006, "repeated_lines": 0.12, "repeated_words": 0.15,
-          "digits": 0.04, "capitals": 0.02, "other_marks": 0.04}
+FLOORS = {"word_length": 0.005, "variety": 0.002, "symbols": 0.006, "repeated_lines": 0.04, "repeated_words": 0.04,
+          "digits": 0.02, "capitals": 0.001, "other_marks": 0.001}
 DIM = len(FLOORS)
 SUPPORT = 0.75
 STEPS = 6
-TAIL_Z = 4.75
+TAIL_Z = 3.0902          # the 0.999 quantile
+UPPER_Z = 0.6745         # the upper quartile
 BLOCK_ROWS = 512
 SHRINK = 100             # a group of so many documents counts half, its language the other half
 SKETCH = 500             # accuracy of the quartiles that one start begins with
@@ -155,18 +156,51 @@ def bin_edge(b) -> float:
 
 
 def estimate(n: float, sums: np.ndarray, prods: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance with the least standard deviations added."""
+    """Mean and covariance, the latter raised to the least standard deviations where it has less."""
     mean = sums / n
     cov = np.zeros((DIM, DIM))
     for (i, j), v in zip(PAIRS, prods / n):
         cov[i, j] = cov[j, i] = v - mean[i] * mean[j]
-    return mean, cov + np.diag(np.square(list(FLOORS.values())))
+    return mean, raised(cov)
 
 
-def _partial_sums(held: DataFrame, fits: DataFrame | None) -> DataFrame:
+def raised(cov: np.ndarray) -> np.ndarray:
+    """A covariance with no less variance in any direction than ``FLOORS`` have."""
+    floors = np.array(list(FLOORS.values()))
+    unit = np.outer(floors, floors)
+    size, direction = np.linalg.eigh(cov / unit)
+    return cov if size[0] >= 1 else (direction * np.maximum(size, 1.0)) @ direction.T * unit
+
+
+def quantile(bin_no: np.ndarray, count: np.ndarray, share: float) -> float:
+    """Quantile of distances from their histogram (bins ascending), evenly spread on the log scale inside a bin."""
+    upto = np.cumsum(count)
+    k = int(np.searchsorted(upto, share * upto[-1] - 1e-9))
+    inside = (share * upto[-1] - (upto[k] - count[k])) / count[k]
+    return bin_edge(bin_no[k] - 1 + min(max(inside, 0.0), 1.0))
+
+
+def scale(median: float, upper: float) -> float:
+    """By how much distances exceed chi-square in their lower three quarters, 1 at least."""
+    return max(1.0, median / chi_square(0.0), upper / chi_square(UPPER_Z))
+
+
+def cut_off(median: float, upper: float, tail_z: float = TAIL_Z) -> float:
+    """Distance of the upper tail: the step from the median to the upper quartile carried on, on the log scale, as
+    chi-square's goes on; chi-square's own quantile at least.
+
+    It rests on the nearer three quarters of the documents. The step is at most that of one degree of freedom, so that a
+    group that is half copies of one text has a finite cut-off.
+    """
+    step = min(math.log(upper / median), math.log(chi_square(UPPER_Z, 1) / chi_square(0.0, 1)))
+    further = math.log(chi_square(tail_z) / chi_square(UPPER_Z)) / math.log(chi_square(UPPER_Z) / chi_square(0.0))
+    return max(chi_square(tail_z), upper * math.exp(step * further))
+
+
+def _partial_sums(held: DataFrame, fits: DataFrame | None, starts: int = 2) -> DataFrame:
     """Per group, start and distance bin: n, sums and products, as columns v0, v1, ..."""
     names = [f"v{k}" for k in range(1 + DIM + len(PAIRS))]
-    starts = 0 if fits is None else 2
+    starts = 0 if fits is None else starts
 
     def run(batches):
         import pyarrow as pa
@@ -202,7 +236,7 @@ def _partial_sums(held: DataFrame, fits: DataFrame | None) -> DataFrame:
         .groupBy("g", "start", "bin").agg(*[F.sum(n).alias(n) for n in names])
 
 
-FITS = "g string, mean0 binary, scatter0 binary, mean1 binary, scatter1 binary, edge0 double, edge1 double, median0 double, median1 double"
+FITS = "g string, mean0 binary, scatter0 binary, mean1 binary, scatter1 binary"
 
 
 def _shrunk(df: pd.DataFrame, n: float, mean: np.ndarray, scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,9 +266,9 @@ def first_fits(held: DataFrame, stats_g: DataFrame, towards: DataFrame | None =
         v = df[[c for c in df.columns if re.fullmatch(r"v\d+", c)]].sum().to_numpy()
         mean, scatter = estimate(v[0], v[1:1 + DIM], v[1 + DIM:])
         q = np.array([df[f"q{k}"].iloc[0] for k in range(DIM)], dtype=float)
-        wide = np.diag(np.square((q[:, 2] - q[:, 0]) / 1.349) + np.square(list(FLOORS.values())))
+        wide = raised(np.diag(np.square((q[:, 2] - q[:, 0]) / 1.349)))
         starts = [x.tobytes() for m, s in ((mean, scatter), (q[:, 1], wide)) for x in _shrunk(df, v[0], m, s)]
-        return pd.DataFrame([[df["g"].iloc[0], *starts, 0.0, 0.0, 0.0, 0.0]], columns=[x.split()[0] for x in FITS.split(", ")])
+        return pd.DataFrame([[df["g"].iloc[0], *starts]], columns=[x.split()[0] for x in FITS.split(", ")])
 
     return _beside(sums.join(quart, "g"), towards).groupBy("g").applyInPandas(run, FITS)
 
@@ -250,15 +284,14 @@ def concentrate(held: DataFrame, fits: DataFrame, towards: DataFrame | None = No
             k = int(np.searchsorted(upto, support * upto[-1] - 1e-9))
             v_in = v[:k + 1].sum(axis=0)
             mean, scatter = _shrunk(df, upto[-1], *estimate(v_in[0], v_in[1:1 + DIM], v_in[1 + DIM:]))
-            row |= {f"mean{start}": mean.tobytes(), f"scatter{start}": scatter.tobytes(), f"edge{start}": bin_edge(own["bin"].iloc[k]),
-                    f"median{start}": bin_edge(own["bin"].iloc[int(np.searchsorted(upto, 0.5 * upto[-1] - 1e-9))])}
+            row |= {f"mean{start}": mean.tobytes(), f"scatter{start}": scatter.tobytes()}
         return pd.DataFrame([row])[[x.split()[0] for x in FITS.split(", ")]]
 
     return _beside(_partial_sums(held, fits), towards).groupBy("g").applyInPandas(run, FITS)
 
 
 def fit(held: DataFrame, steps: int = STEPS, towards: DataFrame | None = None) -> DataFrame:
-    """(g, mean, scatter): the estimate with the smaller determinant, widened until half of the group lies inside the chi-square median."""
+    """(g, mean, scatter): the estimate with the smaller determinant."""
     spread = held.select("g", F.explode(_rows_of("vec", "base_failed")).alias("x")).select("g", *[F.col("x")[k].alias(f"x{k}") for k in range(DIM)])
     fits = materialize(first_fits(held, spread, towards), "quality-fits")
     for _ in range(steps):
@@ -271,14 +304,52 @@ def fit(held: DataFrame, steps: int = STEPS, towards: DataFrame | None = None) -
             for r in b.to_pylist():
                 fitted = [_decode(r[f"mean{s}"], r[f"scatter{s}"]) for s in (0, 1)]
                 s = int(np.linalg.slogdet(fitted[1][1])[1] < np.linalg.slogdet(fitted[0][1])[1])
-                widen = max(1.0, r[f"median{s}"] / chi_square(0.0))
-                out.append((r["g"], fitted[s][0].tobytes(), (fitted[s][1] * widen).tobytes()))
+                out.append((r["g"], fitted[s][0].tobytes(), fitted[s][1].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2))],
                                              names=["g", "mean", "scatter"])
 
     return materialize(fits.mapInArrow(best, "g string, mean binary, scatter binary"), "quality-best")
 
 
+def reweighted(held: DataFrame, best: DataFrame, towards: DataFrame | None = None) -> DataFrame:
+    """(g, mean, scatter, scale, cut): the estimate from all documents within the 0.999 quantile of ``best``, and its cut-off."""
+    def first(fits):
+        return fits.select("g", F.col("mean").alias("mean0"), F.col("scatter").alias("scatter0"))
+
+    def histogram(df):
+        own = df.sort_values("bin")
+        at, v = own["bin"].to_numpy(), own[[c for c in own.columns if re.fullmatch(r"v\d+", c)]].to_numpy()
+        return at, v, quantile(at, v[:, 0], 0.5), quantile(at, v[:, 0], 0.75)
+
+    def own_share(df, n):
+        return n / (n + SHRINK) if "t_mean" in df else 1.0
+
+    def again(df: pd.DataFrame) -> pd.DataFrame:
+        at, v, median, upper = histogram(df)
+        n, wide = v[:, 0].sum(), scale(median, upper)
+        own = own_share(df, n)
+        wide = wide if own == 1.0 else own * wide + (1 - own) * df["t_scale"].iloc[0]
+        near = v[bin_edge(at) <= wide * chi_square(TAIL_Z)].sum(axis=0)
+        if near[0]:
+            mean, scatter = _shrunk(df, n, *estimate(near[0], near[1:1 + DIM], near[1 + DIM:]))
+        else:              # few documents, all far from their language
+            mean, scatter = _decode(df["t_mean"].iloc[0], df["t_scatter"].iloc[0])
+        return pd.DataFrame({"g": [df["g"].iloc[0]], "mean": [mean.tobytes()], "scatter": [scatter.tobytes()]})
+
+    def calibrate(df: pd.DataFrame) -> pd.DataFrame:
+        _, v, median, upper = histogram(df)
+        own, wide, cut = own_share(df, v[:, 0].sum()), scale(median, upper), cut_off(median, upper)
+        if own < 1.0:
+            wide = own * wide + (1 - own) * df["t_scale"].iloc[0]
+            cut = math.exp(own * math.log(cut) + (1 - own) * math.log(df["t_cut"].iloc[0]))
+        return pd.DataFrame({"g": [df["g"].iloc[0]], "scale": [wide], "cut": [cut]})
+
+    fits = _beside(_partial_sums(held, first(best), 1), towards).groupBy("g").applyInPandas(again, "g string, mean binary, scatter binary")
+    fits = materialize(fits, "quality-fits")
+    tails = _beside(_partial_sums(held, first(fits), 1), towards).groupBy("g").applyInPandas(calibrate, "g string, scale double, cut double")
+    return materialize(fits.join(tails, "g"), "quality-best")
+
+
 def _rows_of(vec: str, failed: str):
     @F.pandas_udf("array<array<double>>")
     def rows(v: pd.Series, bad: pd.Series) -> pd.Series:
@@ -286,11 +357,12 @@ def _rows_of(vec: str, failed: str):
     return rows(F.col(vec), F.col(failed))
 
 
-def judge(docs: DataFrame, tail_z: float = TAIL_Z) -> DataFrame:
+def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and distance (squared; null where nothing was fitted) of each document."""
     held = materialize(blocks(materialize(statistics(docs), "quality-stats")), "quality-blocks")
-    languages = fit(held.withColumn("g", F.col("over")))
-    best, most = fit(held, towards=targets(held, languages)), chi_square(tail_z)
+    of_language = held.withColumn("g", F.col("over"))
+    languages = fit(of_language)
+    best = reweighted(held, fit(held, towards=targets(held, languages)), targets(held, reweighted(of_language, languages)))
 
     def run(batches):
         import pyarrow as pa
@@ -301,7 +373,7 @@ def judge(docs: DataFrame, tail_z: float = TAIL_Z) -> DataFrame:
                 if r["mean"] is not None:
                     d2 = distances(np.frombuffer(r["vec"]).reshape(-1, DIM), *_decode(r["mean"], r["scatter"]))
                 yield pa.RecordBatch.from_arrays([*(pa.array(r[c], pa.int64()) for c in ("doc_id", *COUNTS)), pa.array(bad),
-                                                  pa.array(~bad & ~(d2 > most)), pa.array(d2, from_pandas=True)],
+                                                  pa.array(~bad & ~(d2 > (r["cut"] or 0))), pa.array(d2, from_pandas=True)],
                                                  names=["doc_id", *COUNTS, "base_failed", "kept", "distance"])
 
     return held.join(best, "g", "left").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, distance double")

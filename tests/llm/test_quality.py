@@ -115,3 +115,31 @@ def test_every_group_of_the_table_has_its_own_fit(spark):
     got = Q.fit(held, towards=Q.targets(held, languages))
     assert languages.count() == held.select("over").distinct().count() == 4
     assert got.count() == held.select("g").distinct().count() == 80
+
+
+def test_repetition_that_passes_the_base_rules_is_an_outlier(spark):
+    """45 % duplicate lines, 40 to 50 % repeated words, or both, where no other document repeats."""
+    def lines(k, copies):
+        own = [prose(100 * k + j, 12) for j in range(11)]
+        return "\n".join(own + [own[0]] * copies)
+
+    clean = [(k, lines(k, 0), "en", "s") for k in range(300)]
+    words = [(1000 + k, prose(70_000 + k, 60) + " " + prose(80_000, 5) + " " + " ".join(["once more now then"] * 12), "en", "s") for k in range(8)]
+    both = [(2000 + k, "\n".join([x for x in lines(900 + k, 0).split("\n")][:11] + ["on and on it goes"] * 9 + ["it ends"]), "en", "s") for k in range(8)]
+    df = spark.createDataFrame(clean + words + both, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in Q.judge(df).collect()}
+    assert not any(got[r[0]].base_failed for r in clean + words + both)
+    assert all(got[r[0]].n_repeat_words / got[r[0]].n_words < 0.5 for r in words + both)
+    assert not any(got[r[0]].kept for r in words + both)
+    assert np.mean([got[r[0]].kept for r in clean]) > 0.99
+
+
+def test_cut_off_follows_chi_square_and_the_bulk():
+    assert Q.cut_off(Q.chi_square(0.0), Q.chi_square(Q.UPPER_Z)) == pytest.approx(Q.chi_square(Q.TAIL_Z))
+    assert Q.cut_off(3.2, 7.3) > 40 and Q.cut_off(1e-3, 5.0) < 150      # heavier tails; half of a group alike
+    cov = np.diag(np.square(list(Q.FLOORS.values()))) * 4
+    assert np.allclose(Q.raised(cov), cov) and np.allclose(Q.raised(cov * 0), cov / 4)
+    r = np.random.default_rng(1)
+    d = r.chisquare(8, 100_000)
+    at, n = np.unique(Q.bins(d), return_counts=True)
+    assert Q.quantile(at, n, 0.75) == pytest.approx(np.quantile(d, 0.75), rel=0.01)
