@@ -2,7 +2,9 @@
 
 A page is read into a tree of elements in page order. Elements that are never part of an article
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) are left out by tag,
-role or class. Every block of text then earns points for its length and its commas, and passes
+role or class. A name only leaves out what is not the article itself: an element around the page's largest
+article or main element stays, as does, on a page without these, one that holds most of the unlinked text; and a result that is empty or a
+small share of the paragraphs is made again without the names. Every block of text then earns points for its length and its commas, and passes
 them to its container in full, to the next ancestor by half and to further ones by less; an
 ancestor's sum is discounted by the share of its text that stands in links. The best container
 (widened to the article element around it) and those siblings that score like it or read
@@ -45,6 +47,9 @@ menu breadcrumb breadcrumbs sidebar side aside footer masthead header topbar too
 reply replies notice cookie cookies consent gdpr banner popup modal overlay alert newsletter subscribe subscription signup login
 share sharing social related recommended recommendations widget pagination pager skip""".split())
 SEMANTIC_DROP_WORDS = frozenset("comment comments ad ads advert advertisement sponsored promo related reply".split())
+MODIFIERS = frozenset("has no not with without hide show".split())   # a name's words behind these are not its own
+MOST, MOST_SEMANTIC = 0.5, 0.9   # share of the unlinked text from which a named element is the article
+SMALL = 0.25                     # share of the paragraphs below which a result is made again without names
 START = {"div": 5.0, "article": 10.0, "main": 8.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0,
          "ul": -3.0, "ol": -3.0, "dl": -3.0, "th": -5.0}
 SHARES = (1.0, 0.5, 1 / 6, 1 / 9)   # of a block's points, from its container upward
@@ -56,21 +61,28 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
-def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
+def _dropped(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether tag, role or style say that an element is no part of an article; whether its names do (1, or 2 for ``SEMANTIC_DROP_WORDS``)."""
     if tag in DROP_TAGS or tag == "header" and not in_article:
-        return True
+        return True, 0
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, 0
     words = set()
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
-            return True
+            return True, 0
         if name == "role" and value.strip().lower() in DROP_ROLES:
-            return True
+            return True, 0
         if name in ("class", "id"):
-            words |= {w.lower() for w in WORDS.findall(value)}
-    return not words.isdisjoint(SEMANTIC_DROP_WORDS if tag in ("article", "main", "header") else DROP_WORDS)
+            for part in value.split():
+                for w in WORDS.findall(part):
+                    if (w := w.lower()) in MODIFIERS:
+                        break
+                    words.add(w)
+    if not words.isdisjoint(SEMANTIC_DROP_WORDS):
+        return False, 2
+    return False, int(tag not in ("article", "main", "header") and not words.isdisjoint(DROP_WORDS))
 
 
 class Page:
@@ -78,6 +90,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.end, self.drop = ["#page"], [-1], [0], [False]
+        self.named = [0]
         self.blocks: list[tuple[int, str, int]] = []   # container, text, characters in links
         self.links: list[int] = []                     # links, ascending
         self._stack, self._open, self._text = [0], {}, []
@@ -103,7 +116,9 @@ class Page:
         self.tag.append(tag)
         self.parent.append(up)
         self.end.append(0)
-        self.drop.append(self.drop[up] or _dropped(tag, attributes, self._articles > 0))
+        drop, named = _dropped(tag, attributes, self._articles > 0)
+        self.drop.append(self.drop[up] or drop)
+        self.named.append(named)
         self._stack.append(len(self.tag) - 1)
         self._open[tag] = self._open.get(tag, 0) + 1
         if tag == "a":
@@ -178,11 +193,53 @@ class Page:
         while self._stack:
             self.end[self._stack.pop()] = len(self.tag)
 
+    def _of_article(self) -> list[int]:
+        """``named``, 0 for the elements that are or hold the article."""
+        n = len(self.tag)
+        chars = [0] * n                       # not in links
+        for node, text, in_links in self.blocks:
+            if not self.drop[node]:
+                chars[node] += len(text) - in_links
+        for node in range(n - 1, 0, -1):
+            chars[self.parent[node]] += chars[node]
+        articles = [i for i in range(n) if self.tag[i] in ("article", "main") and not self.drop[i] and self.named[i] < 2 and chars[i]]
+        if articles:
+            up, around = max(articles, key=lambda i: (chars[i], -i)), set()
+            while up >= 0:
+                around.add(up)
+                up = self.parent[up]
+            return [k and (0 if i in around and (k == 1 or chars[i] > MOST * chars[0]) else k) for i, k in enumerate(self.named)]
+        return [k and (0 if chars[i] > (MOST if k == 1 else MOST_SEMANTIC) * chars[0] else k) for i, k in enumerate(self.named)]
+
     def main_text(self) -> str:
+        if not any(self.named):
+            return "\n".join(text for _, text, _ in self._best(self._blocks_without(None)))
+        named, found = self._of_article(), []
+        for least in (1, 2, 3):               # all names, the semantic ones, none
+            blocks = self._blocks_without([k >= least for k in named])
+            paragraphs = sum(len(text) - links for _, text, links in blocks if len(text) >= PARAGRAPH)
+            kept = sum(len(text) - links for _, text, links in found if len(text) >= PARAGRAPH)
+            # Comments may outweigh an article: semantic names fall only where nothing else is left.
+            if not found or least == 2 and kept < SMALL * paragraphs:
+                again = self._best(blocks)
+                if sum(len(text) for _, text, _ in again) > sum(len(text) for _, text, _ in found):
+                    found = again
+        return "\n".join(text for _, text, _ in found)
+
+    def _blocks_without(self, named: list[bool] | None) -> list[tuple[int, str, int]]:
+        """Blocks outside what is left out, by names too."""
+        drop = self.drop
+        if named is not None:
+            drop = list(drop)
+            for node in range(1, len(drop)):
+                drop[node] = drop[node] or named[node] or drop[self.parent[node]]
+        return [b for b in self.blocks if not drop[b[0]]]
+
+    def _best(self, blocks: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+        """The blocks of the best container and of what reads like it."""
         n = len(self.tag)
-        blocks = [b for b in self.blocks if not self.drop[b[0]]]
         if not blocks:
-            return ""
+            return []
         own, linked = [0] * n, [0] * n
         score = [START.get(t, 0.0) for t in self.tag]
         scored = [False] * n
@@ -231,7 +288,7 @@ class Page:
             if kept[node] and self.tag[node] in kinds and density[node] > 0.8 and \
                     bisect_left(self.links, self.end[node]) - bisect_left(self.links, node) >= least:
                 kept[node:self.end[node]] = bytes(self.end[node] - node)
-        return "\n".join(text for node, text, _ in blocks if kept[node])
+        return [b for b in blocks if kept[b[0]]]
 
 
 def main_text(source: str | None) -> str:

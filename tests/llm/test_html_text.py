@@ -76,3 +76,22 @@ def test_query(spark):
         body = re.search(r"<article>(.*?)(</article>|<footer>|$)", pages[r.page_id].html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[a-z/][^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", body)]
         assert r.text == "\n".join(x for x in blocks if x) and r.url == pages[r.page_id].url and r.n_chars == len(r.text)
+
+
+def test_names_on_the_articles_own_wrappers():
+    """Layout words around or on the article leave it whole; what they name beside it still goes."""
+    for wrap in ("<div class='has-sidebar'>%s</div>", "<div class='content-with-sidebar'>%s</div>", "<div class='elementor-widget-container'>%s</div>",
+                 "<div class='widget Blog'>%s</div>", "<div id='page-header-wrap'><div>%s</div></div>", "<div class=skip-wrap><main>%s</main></div>",
+                 "<div class='widget Blog'><article>%s</article></div>", "<article class='post has-comments'>%s</article>"):
+        assert H.main_text(AROUND % (wrap % (ARTICLE + ARTICLE))).split("\n") == ["Title", W1, W2] * 2, wrap
+        assert H.main_text(f"<body>{wrap % ARTICLE}</body>").split("\n") == ["Title", W1, W2], wrap
+    parts = "".join(f"<div class=elementor-widget-container><p>{P2}</p></div>" for _ in range(6))
+    assert H.main_text(f"<body><div><p>{P1}</p>{parts}</div></body>") == "\n".join([W1] + [W2] * 6)
+    assert H.main_text(f"<body><div class=comments-open>{ARTICLE}</div></body>") == f"Title\n{W1}\n{W2}"
+
+
+def test_long_comments_and_teasers_stay_out():
+    more = f"<p>{P2}</p>" * 12
+    assert H.main_text(f"<body><div>{ARTICLE}</div><div class=comments>{more}</div></body>").split("\n") == ["Title", W1, W2]
+    assert H.main_text(f"<body><article>{ARTICLE}</article><div class=related-posts><article><p>{P1}</article></div></body>").split("\n") == ["Title", W1, W2]
+    assert H.main_text(f"<body><div>{ARTICLE}</div><div class=comments><article class=comment>{more}</article></div></body>").split("\n") == ["Title", W1, W2]
