@@ -3,9 +3,11 @@
 Every text is searched whole for candidates: three base kinds (assignments, access keys, hex runs)
 and two that the method adds (keys with a vendor's prefix, random-looking tokens). The hash of a candidate's
 value is then counted over the corpus by distinct owners and repositories. A value that at least
-``EXAMPLE_OWNERS`` owners hold is a widely copied example; one that a single owner holds, and that looks
-random, is a live-looking credential of that owner. Spans of kind ``live`` mark the values of
-the latter and stand beside the base spans, which all stay.
+``EXAMPLE_OWNERS`` owners or ``EXAMPLE_REPOSITORIES`` repositories hold is a widely copied example; one that a single
+repository of a single owner holds, and that looks random, is a live-looking credential of that owner. Spans of kind ``live`` mark the values of
+the latter and stand beside the base spans, which all stay. What lies between is shared: too common to be called live, too rare for an
+example. It is treated as a secret; its values of the two added kinds, which no base span shows, get spans of kind ``shared``
+if they look random.
 
 ``documents`` names no owner: a source counts as an owner and each of its languages as a repository;
 both are parameters.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, whole_text
 
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 4
 REDACTED = "<secret>"
 # Kind -> (pattern, group of the value, condition on the value). The first three are the base kinds, as given.
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -88,14 +91,18 @@ def ownership(rows: DataFrame) -> DataFrame:
         .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
 
 
-def judged(rows: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Per row with candidates: ``_live`` and ``_redact``, arrays of (start, end) of values."""
+def judged(rows: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """Per row with candidates: ``_live``, ``_shared`` and ``_redact``, arrays of (start, end) of values."""
     cands = rows.select("_row", F.explode("_spans").alias("s")).select("_row", "s.*")
     held = cands.join(ownership(rows), "hash")
-    live = (F.col("owners") == 1) & F.col("random")
-    secret = (F.col("owners") < example_owners) & ((F.col("kind") < BASE) | live)
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    single = (F.col("owners") == 1) & (F.col("repositories") == 1)
+    live = ~example & single & F.col("random")
+    shared = ~example & ~single & F.col("random") & (F.col("kind") >= BASE)
+    secret = ~example & ((F.col("kind") < BASE) | live | shared)
     place = F.struct(F.col("value_at").alias("start"), "end")
     return held.groupBy("_row").agg(F.array_sort(F.collect_set(F.when(live, place))).alias("_live"),
+                                    F.array_sort(F.collect_set(F.when(shared, place))).alias("_shared"),
                                     F.array_sort(F.collect_set(F.when(secret, place))).alias("_redact"))
 
 
@@ -112,14 +119,18 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None, owner: list[str
         return F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])
 
     none = F.array().cast("array<struct<start:int,end:int>>")
-    live = F.transform(F.coalesce("_live", none), lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end"),
-                                                                     F.concat_ws(":", F.lit("live"), s["start"], s["end"]).alias("text")))
+
+    def judged_spans(verdict: str, kind: int) -> Column:
+        return F.transform(F.coalesce(f"_{verdict}", none), lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"),
+                                                                               F.concat_ws(":", F.lit(verdict), s["start"], s["end"]).alias("text")))
+
+    live, shared = judged_spans("live", len(KINDS)), judged_spans("shared", len(KINDS) + 1)
     shown = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), written(s).alias("text")))
     out = rows.join(judged(rows), "_row", "left")
     kinds = F.transform("_spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k][0]}") for k in range(BASE)]
     return out.select(*keep, *counts, F.sha2(F.concat_ws(",", F.transform(base, written)), 256).alias("base_sha256"),
-                      F.concat_ws(",", F.transform(F.array_sort(F.concat(shown, live)), lambda s: s["text"])).alias("spans"))
+                      F.concat_ws(",", F.transform(F.array_sort(F.concat(shown, live, shared)), lambda s: s["text"])).alias("spans"))
 
 
 def redacted(docs: DataFrame, owner: list[str] = ("source",), repository: list[str] = ("source", "lang")) -> DataFrame:

@@ -65,3 +65,17 @@ def test_no_python(spark):
     df = S.op3_secret_ownership(spark, SF_SMALL)
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
     check(df.collect(), {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()})
+
+
+def test_repositories_count_beside_owners(spark):
+    """One owner: a single repository is live, two are shared, four make an example. Two owners of a vendor's key: shared."""
+    key = {n: f"AKIAQWERTYUIOPASDF{n:02d}" for n in (1, 2, 4)}
+    vendor, example = "ghp_abcDEF0123456789xyzQ", "glpat-abcDEF0123456789xyzQ"
+    rows = [(10 * n + k, key[n], f"l{k}", "hot") for n in (1, 2, 4) for k in range(n) for _ in range(3)]
+    rows += [(100 + k, f"é {vendor}", "en", f"s{k}") for k in range(2)] + [(200 + k, example, "en", f"s{k}") for k in range(3)]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", "text", "lang", "source", "n_chars")
+    got = {r.doc_id: r.spans for r in S.find_secrets(df).collect()}
+    assert got[10] == "access:0:20,live:0:20" and got[20] == got[21] == "access:0:20" and {got[40 + k] for k in range(4)} == {"access:0:20"}
+    assert got[100] == got[101] == "shared:2:26" and got[200] == ""
+    clean = {r.doc_id: r.text for r in S.redacted(df).collect()}
+    assert clean[10] == clean[20] == "<secret>" and clean[40] == key[4] and clean[100] == "é <secret>" and clean[200] == example
