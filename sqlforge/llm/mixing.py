@@ -87,7 +87,8 @@ def plan_mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     per = rows.groupBy(*src).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     t = targets(per, weights, share, most)
     size = F.col("source_size")
-    epochs = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(F.lit(0)).cast("long")
+    # The rounded target: half a word below a whole epoch is that epoch, so the budget is always less than the source.
+    epochs = F.when(size > 0, F.floor(F.round("target") / size)).otherwise(F.lit(0)).cast("long")
     t = t.withColumn("_epochs", epochs) \
         .withColumn("_budget", F.greatest(F.round("target").cast("long") - F.col("_epochs") * size, F.lit(0).cast("long"))) \
         .withColumn("_buckets", F.ceil(F.col("_n") / F.lit(bucket_rows)))
@@ -116,7 +117,7 @@ def plan_mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 def mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Add source_size, target and taken to keyed rows."""
     key, cut = F.struct("_key", "_tie"), F.struct(F.col("_cut_key"), F.col("_cut_tie"))
-    # No boundary: the budget is all of the source's words (or it has none).
+    # No boundary: the source has no words.
     part = F.when(F.col("_cut_key").isNull(), F.lit(0).cast("long")) \
         .when(key < cut, F.col("size")).when(key == cut, F.col("_cut_words")).otherwise(F.lit(0).cast("long"))
     rows = rows.drop(*[c for c in rows.columns if c.lower() in ("source_size", "target", "taken")])

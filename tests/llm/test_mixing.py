@@ -93,3 +93,15 @@ def test_empty(spark):
     assert run(empty(spark)).count() == 0 and M.mixed_documents(empty(spark)).count() == 0
     only = awkward(spark).filter("doc_id in (4, 5, 6)")
     assert {r["taken"] for r in run(only).collect()} == {0}
+
+
+def test_a_target_that_rounds_to_a_whole_epoch_takes_it(spark):
+    """Sources of 4 and 3 words: the first's target is 7.5 words, 8 when rounded, two epochs."""
+    import duckdb
+    rows = [(1, "a b", "one"), (2, "c d", "one"), (3, "e f g", "two")]
+    got = {r.doc_id: (r["size"], r.source_size, r.target, r.taken) for r in run(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    assert got == {r[0]: r[1:] for r in con.execute(M.ORACLE).fetchall()}
+    assert got[1][3] + got[2][3] == 8
