@@ -76,3 +76,7 @@ def test_held_out_accuracy_on_documents(spark, tmp_path):
     got = T.op6_toxicity(spark, str(tmp_path)).filter(F.col("held_out")).collect()
     truth = {k: y for k, _, y in rows}
     assert len(got) > 200 and np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.95
+
+
+def test_the_model_is_fitted_on_4000_documents_a_class():
+    assert T.SAMPLE_ROWS == 4000
