@@ -15,7 +15,7 @@ def test_oracles(spark, name):
 
 
 def test_registered():
-    assert {f"op{k}" for k in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{k}" for k in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
 
 
