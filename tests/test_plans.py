@@ -1,5 +1,5 @@
 """Scale check: no cartesian product or nested-loop join anywhere, Python evaluation
-only in the user-model surfaces and the dense block scorer; filters and column pruning reach the scans."""
+only in the user-model surfaces and the two block scorers (dense and sparse); filters and column pruning reach the scans."""
 import pytest
 
 import __spark_entry__ as E
@@ -7,7 +7,8 @@ from sqlforge.plans.queries import Q
 
 from conftest import SF_SMALL
 
-PYTHON_ALLOWED = {"route_vectors": ("ArrowEvalPython", "MapInPandas"), "rank_tables_vectors": ("ArrowEvalPython", "MapInPandas"),
+SPARSE = ("rank_tables", "prune_columns", "fewshot_topk", "route_topk", "prompt_context", "rag_link")   # FlatMapGroupsInArrow: the list scorer
+PYTHON_ALLOWED = {**dict.fromkeys(SPARSE, "FlatMapGroupsInArrow"), "route_vectors": ("ArrowEvalPython", "MapInPandas"), "rank_tables_vectors": ("ArrowEvalPython", "MapInPandas"),
                   "rag_link_vectors": ("ArrowEvalPython", "MapInPandas"),
                   "batch_generate": "MapInPandas", "embed_questions": "ArrowEvalPython",
                   "fewshot_vectors": "MapInPandas", "sft_features_user": "MapInPandas"}
@@ -26,7 +27,7 @@ def test_plan_shape(spark, name):
     # A nested-loop join may only appear with the small side broadcast: the per-database
     # schema table (size-checked) when the fixture's db_id is a constant and the key folds away.
     assert "BroadcastNestedLoopJoin BuildLeft" not in plan, name
-    for op in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
+    for op in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "MapInArrow", "FlatMapGroupsInArrow"):
         if op in plan:
             assert op in PYTHON_ALLOWED.get(name, ()), (name, op)
 
