@@ -8,7 +8,8 @@ Model-written SQL is never passed to ``spark.sql`` bare:
 3. its relations must be names of the session: paths (``parquet.`/x` ``) are refused;
 4. it is analysed only as ``SELECT * FROM (\\n<text>\\n)``, so DDL and DML inside it are parse
    errors and never execute; an analysis error keeps its whole message;
-5. the analysed plan must not call Java by reflection;
+5. every source in the analysed plan must be a view or table of the session (names may be computed:
+   ``IDENTIFIER('parquet.`/x`')``), and it must not call Java by reflection;
 6. the job runs in its own job group; a timer that started before step 2 cancels the group at the limit.
 
 A text belongs to a database and runs in that database's session, so two databases may hold tables of one
@@ -27,6 +28,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +52,7 @@ ROWS_SCHEMA = T.StructType([
     T.StructField("row_str", T.StringType()),
     T.StructField("row_key", T.StringType()),
 ])
+OWN_SOURCES = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef", "EmptyRelation")
 REFLECTION = ("CallMethodViaReflection", "TryReflect")
 STATUS_BATCH = 500      # finished texts whose statuses are appended at once
 
@@ -85,12 +88,14 @@ def _seq(items):
         yield it.next()
 
 
-def _nodes(plan):
-    """Every plan node and expression below a JVM plan, subqueries and CTE definitions included."""
+def _nodes(plan, below_views: bool = True):
+    """Every plan node and expression below a JVM plan, subqueries and CTE definitions included; on demand without what views stand for."""
     todo = [plan]
     while todo:
         node = todo.pop()
         yield node
+        if not below_views and _kind(node) == "View":
+            continue
         todo.extend(_seq(node.children()))
         todo.extend(x for x in _seq(node.innerChildren()) if hasattr(x, "children"))
         for name in ("expressions", "subqueries"):
@@ -121,6 +126,23 @@ def _refusal(spark: SparkSession, parsed) -> str | None:
     return None
 
 
+def _foreign_source(spark: SparkSession, analysed) -> str | None:
+    """Why an analysed plan must not run: a source that is neither a view nor a table of the session.
+
+    Names in a text can be computed (``IDENTIFIER``), so this looks at what they became. Below a view anything may
+    stand; elsewhere a plan may only end in literal rows, ranges, references to its own CTEs and catalog tables.
+    """
+    plan_class = "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"
+    for node in _nodes(analysed, below_views=False):
+        kind = _kind(node)
+        if kind in ("View", *OWN_SOURCES) or not node.children().isEmpty() or not is_instance_of(spark._sc._gateway, node, plan_class):
+            continue
+        if kind == "HiveTableRelation" or kind == "LogicalRelation" and node.catalogTable().isDefined():
+            continue
+        return f"{kind} is not a table of this database"
+    return None
+
+
 def guard(spark: SparkSession, text: str):
     """Return (DataFrame, None) when the text is a single query that plans, else (None, error)."""
     t = prepare_sql(text)
@@ -132,7 +154,11 @@ def guard(spark: SparkSession, text: str):
         if why:
             return None, why
         df = spark.sql("SELECT * FROM (\n" + t + "\n)")
-        for node in _nodes(df._jdf.queryExecution().analyzed()):
+        analysed = df._jdf.queryExecution().analyzed()
+        why = _foreign_source(spark, analysed)
+        if why:
+            return None, why
+        for node in _nodes(analysed):
             if _kind(node) in REFLECTION:
                 return None, "calls by reflection are not allowed"
     except Exception as e:  # parse errors, DDL/DML inside the wrapper, analysis errors

@@ -69,9 +69,13 @@ def test_unsafe_texts_are_refused(spark):
            "SELECT try_reflect('java.lang.Integer', 'toString', 7)", f"SELECT * FROM parquet.`{path}`",
            f"SELECT (SELECT count(*) FROM parquet.`{path}`) AS n", f"WITH t AS (SELECT * FROM parquet.`{path}`) SELECT * FROM t",
            "SELECT c_custkey FROM customer WHERE c_name = (SELECT max(reflect('java.lang.Integer', 'toString', c_custkey)) FROM customer)",
+           f"SELECT * FROM IDENTIFIER('parquet.`{path}`')", f"SELECT (SELECT count(*) FROM IDENTIFIER('parquet.`{path}`')) AS n",
+           f"WITH t AS (SELECT * FROM IDENTIFIER('parquet.`{path}`')) SELECT * FROM t", f"SELECT * FROM IDENTIFIER(concat('parquet', '.`{path}`'))",
+           f"SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM IDENTIFIER('csv.`{path}`'))",
            "SELECT 1) UNION ALL (SELECT 2", "SET spark.sql.shuffle.partitions=1", "SHOW TABLES", "CACHE TABLE customer"]
     good = ["SELECT 'reflect(1)' AS t, 'parquet.`/x`' AS p", "WITH t AS (SELECT c_custkey FROM customer) SELECT count(*) FROM t",
-            "VALUES (1), (2)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT max(c_custkey) FROM customer)"]
+            "VALUES (1), (2)", "SELECT id FROM range(3)", "SELECT count(*) FROM IDENTIFIER('customer')",
+            "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 3) SELECT * FROM t", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT max(c_custkey) FROM customer)"]
     status, _ = _run(spark, bad + good)
     got = {r["sql"]: r["status"] for r in status.collect()}
     assert {t: got[t] for t in bad} == {t: "error" for t in bad}
