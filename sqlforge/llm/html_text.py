@@ -3,17 +3,20 @@
 A page is read into a tree of elements in page order. Elements that are never part of an article
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) are left out by tag,
 role or class. A name only leaves out what is not the article itself: an element around the page's largest
-article or main element stays, as does, on a page without these, one that holds most of the unlinked text; and a result that is empty or a
-small share of the paragraphs is made again without the names. Every block of text then earns points for its length and its commas, and passes
+article or main element stays, as does, on a page without these, one that holds most of the unlinked text; paragraphs, headings, list items
+and cells stay whatever their names; and a result that is empty or a
+small share of the paragraphs is made again without the names. Inside a block, inline elements go by tag, role, style or a name that says
+advert. Every block of text then earns points for its length and its commas, and passes
 them to its container in full, to the next ancestor by half and to further ones by less; an
 ancestor's sum is discounted by the share of its text that stands in links. The best container
-(widened to the article element around it) and those siblings that score like it or read
-like its paragraphs are kept, and their blocks leave in page order.
+(widened to the article element around it), the text elements and sections that lie next to it without a break, and those siblings that
+score like it or read like its paragraphs are kept, and their blocks leave in page order. Inside an article element nothing is judged by its links.
 
 Pages are independent, so the work is one Arrow-batched pass without a shuffle.
 
 Defined results: null or empty html gives an empty text; a page without tags is one block; unclosed
-and stray tags are repaired as browsers do; a tag left open at the end of the page is text; other
+and stray tags are repaired as browsers do; a tag left open at the end of the page is text; where a quoted
+value isn't closed before the page ends, quotes count as other characters from there on; the time grows with the length of the page alone; other
 columns are not read; null page_id or url stay null; rows that repeat are extracted each.
 """
 
@@ -40,13 +43,17 @@ CLOSES = {  # an open element (key's value) ends where the key begins, up to the
     "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "body": ({"head"}, {"html"}),
 }
 # What is no part of an article.
-DROP_TAGS = frozenset("nav footer aside form dialog menu fieldset button head search".split())
+DROP_TAGS = frozenset("nav footer aside form dialog menu fieldset button label head search".split())
 DROP_ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
 DROP_WORDS = frozenset("""ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation
 menu breadcrumb breadcrumbs sidebar side aside footer masthead header topbar toolbar comment comments disqus discussion respond
 reply replies notice cookie cookies consent gdpr banner popup modal overlay alert newsletter subscribe subscription signup login
 share sharing social related recommended recommendations widget pagination pager skip""".split())
 SEMANTIC_DROP_WORDS = frozenset("comment comments ad ads advert advertisement sponsored promo related reply".split())
+INLINE_DROP_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr tbody thead caption figcaption summary".split())   # names don't count on these
+BESIDE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure section".split())   # kept next to the best container
+RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
 MODIFIERS = frozenset("has no not with without hide show".split())   # a name's words behind these are not its own
 MOST, MOST_SEMANTIC = 0.5, 0.9   # share of the unlinked text from which a named element is the article
 SMALL = 0.25                     # share of the paragraphs below which a result is made again without names
@@ -54,8 +61,9 @@ START = {"div": 5.0, "article": 10.0, "main": 8.0, "section": 5.0, "pre": 3.0, "
          "ul": -3.0, "ol": -3.0, "dl": -3.0, "th": -5.0}
 SHARES = (1.0, 0.5, 1 / 6, 1 / 9)   # of a block's points, from its container upward
 PARAGRAPH = 25                      # characters from which a block earns a point for itself
-TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</[^a-zA-Z][^>]*>""",
-                 re.S)
+_OTHER = r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>|</[^a-zA-Z][^>]*>"
+TAG = re.compile(_OTHER + r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>""", re.S)
+PLAIN_TAG = re.compile(_OTHER + r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)      # quotes don't hide a >
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -80,6 +88,10 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
                     if (w := w.lower()) in MODIFIERS:
                         break
                     words.add(w)
+    if tag not in BLOCK:
+        return not words.isdisjoint(INLINE_DROP_WORDS), 0
+    if tag in TEXT_TAGS:
+        return False, 0
     if not words.isdisjoint(SEMANTIC_DROP_WORDS):
         return False, 2
     return False, int(tag not in ("article", "main", "header") and not words.isdisjoint(DROP_WORDS))
@@ -94,6 +106,7 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []   # container, text, characters in links
         self.links: list[int] = []                     # links, ascending
         self._stack, self._open, self._text = [0], {}, []
+        self._block = [0]                              # nearest block element of each element, itself included
         self._in_link = self._articles = 0
         self._read(source)
 
@@ -101,15 +114,20 @@ class Page:
         if not self._text:
             return
         pieces, self._text = self._text, []
+        here = self._block[self._stack[-1]]
+        if not self.drop[here]:                        # else the block goes as a whole, later
+            pieces = [(x, link) for x, link, dropped in pieces if not dropped]
+        else:
+            pieces = [(x, link) for x, link, _ in pieces]
         raw = "".join(x for x, _ in pieces)
         text = " ".join((_html.unescape(raw) if "&" in raw else raw).split())
         if not text:
             return
         linked = sum(len(" ".join((_html.unescape(x)).split())) for x, link in pieces if link)
-        node = self._stack[-1]
-        while node and self.tag[node] not in BLOCK:
-            node = self.parent[node]
-        self.blocks.append((node, text, min(linked, len(text))))
+        self.blocks.append((here, text, min(linked, len(text))))
+
+    def _say(self, text: str) -> None:
+        self._text.append((text, self._in_link > 0, self.drop[self._stack[-1]]))
 
     def _push(self, tag: str, attributes: str) -> None:
         up = self._stack[-1]
@@ -119,8 +137,9 @@ class Page:
         drop, named = _dropped(tag, attributes, self._articles > 0)
         self.drop.append(self.drop[up] or drop)
         self.named.append(named)
+        self._block.append(len(self.tag) - 1 if tag in BLOCK else self._block[up])
+        self._open.setdefault(tag, []).append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
-        self._open[tag] = self._open.get(tag, 0) + 1
         if tag == "a":
             self._in_link += 1
             self.links.append(len(self.tag) - 1)
@@ -131,7 +150,7 @@ class Page:
         node = self._stack.pop()
         tag = self.tag[node]
         self.end[node] = len(self.tag)
-        self._open[tag] -= 1
+        self._open[tag].pop()
         if tag == "a":
             self._in_link -= 1
         elif tag in ("article", "main"):
@@ -140,24 +159,28 @@ class Page:
 
     def _close(self, tags: set, stop: set) -> None:
         """End the nearest open element of ``tags``, unless one of ``stop`` is nearer."""
-        for k in range(len(self._stack) - 1, 0, -1):
-            tag = self.tag[self._stack[k]]
-            if tag in tags:
-                while len(self._stack) > k:
-                    self._pop()
-                return
-            if tag in stop:
-                return
+        at = max((self._open[t][-1] for t in tags if self._open.get(t)), default=0)
+        if at and at > max((self._open[t][-1] for t in stop if self._open.get(t)), default=0):
+            while len(self._stack) > at:
+                self._pop()
 
     def _read(self, source: str) -> None:
-        pos, size = 0, len(source)
+        pos, size, last, pattern = 0, len(source), source.rfind(">") + 1, TAG
         while pos < size:
-            m = TAG.search(source, pos)
-            if m is None:
-                self._text.append((source[pos:], self._in_link > 0))
+            at = source.find("<", pos)
+            if at < 0 or at >= last and not source.startswith("<!--", at):     # no tag ends behind the last >
+                self._say(source[pos:])
                 break
-            if m.start() > pos:
-                self._text.append((source[pos:m.start()], self._in_link > 0))
+            m = pattern.match(source, at)
+            if m is None and pattern is TAG and source[at + 1:at + 2].isalpha() and source[at + 1].isascii():
+                pattern = PLAIN_TAG         # a quote isn't closed: looked for once, not from every tag
+                m = pattern.match(source, at)
+            if m is None:
+                self._say(source[pos:at + 1])
+                pos = at + 1
+                continue
+            if at > pos:
+                self._say(source[pos:at])
             pos = m.end()
             tag = m[2]
             if tag is None:
@@ -165,12 +188,12 @@ class Page:
             tag, closing = tag.lower(), bool(m[1])
             if tag in RAW:
                 if not closing and not m[3].endswith("/"):
-                    done = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, pos)
+                    done = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, pos, last)
                     pos = done.end() if done else size
-                self._text.append((" ", False))
+                self._say(" ")
                 continue
             if tag in VOID:
-                self._text.append((" ", False)) if tag != "hr" else self._flush()
+                self._say(" ") if tag != "hr" else self._flush()
                 continue
             if tag in BLOCK:
                 self._flush()
@@ -268,25 +291,36 @@ class Page:
                 best = up
                 break
             up = self.parent[up]
+        in_article = self.tag[best] in ("article", "main")
         keep = [(best, self.end[best])]
         if best and self.tag[best] not in ("body", "html"):
             least = max(10.0, 0.2 * value[best])
-            node, stop = self.parent[best] + 1, self.end[self.parent[best]]
-            while node < stop:
+            children, node = [], self.parent[best] + 1
+            while node < self.end[self.parent[best]]:
+                children.append(node)
+                node = self.end[node]
+            here, beside = children.index(best), set()
+            if not in_article:
+                rights = {node for node, text, _ in blocks if RIGHTS.match(text)}
+                for way in (children[here + 1:], children[:here][::-1]):
+                    for node in way:
+                        if own[node]:
+                            if self.tag[node] not in BESIDE or density[node] >= 0.25 or node in rights:
+                                break
+                            beside.add(node)
+            for node in children:
                 if node != best and own[node] and (
-                        value[node] >= least and self.tag[node] == self.tag[best]
+                        node in beside or value[node] >= least and self.tag[node] == self.tag[best]
                         or self.tag[node] == "p" and (own[node] > 80 and density[node] < 0.25)):
                     keep.append((node, self.end[node]))
-                node = self.end[node]
         kept = bytearray(n)
         for a, b in keep:
             kept[a:b] = b"\1" * (b - a)
-        # What holds little but links goes: lists of three or more, outside an article also other containers of two.
-        least, kinds = (3, ("ul", "ol", "dl")) if self.tag[best] in ("article", "main") else \
-            (2, ("ul", "ol", "dl", "div", "section", "table", "p", "center"))
-        for node in range(best + 1, n):
+        # Outside an article element, containers that hold little but two or more links go.
+        kinds = ("ul", "ol", "dl", "div", "section", "table", "p", "center")
+        for node in range(best + 1, n if not in_article else 0):
             if kept[node] and self.tag[node] in kinds and density[node] > 0.8 and \
-                    bisect_left(self.links, self.end[node]) - bisect_left(self.links, node) >= least:
+                    bisect_left(self.links, self.end[node]) - bisect_left(self.links, node) >= 2:
                 kept[node:self.end[node]] = bytes(self.end[node] - node)
         return [b for b in blocks if kept[b[0]]]
 
