@@ -851,5 +851,9 @@ ORACLES["embed_questions"] = cte("questions") + "\nSELECT q_id, concat_ws(',', "
 ORACLES["source_qa_round_trip"] = cte("qa_corpus") + """
 SELECT source, db_id, question, query, evidence, difficulty, count(*) AS n, count(*) AS n_ids
 FROM qa_corpus GROUP BY source, db_id, question, query, evidence, difficulty"""
+ORACLES["source_array_round_trip"] = cte("qa_corpus") + """
+SELECT source, db_id, question, query, count(*) AS n, count(*) AS n_ids FROM qa_corpus WHERE source = 'plain' GROUP BY source, db_id, question, query"""
+ORACLES["missing_source"] = cte("qa_corpus") + """
+SELECT 'there' AS source, db_id, count(*) AS n, CAST(sum(length(question)) AS BIGINT) AS question_chars FROM qa_corpus GROUP BY db_id"""
 ORACLES["split_round_trip"] = f"SELECT * EXCLUDE (sample_id) FROM ({ORACLES['sft_build']}) s"
 ORACLES["report_round_trip"] = ORACLES["eval_details"]

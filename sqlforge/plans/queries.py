@@ -629,6 +629,9 @@ def _scratch(spark) -> str:
     return shared_path(spark, "round-trips", uuid.uuid4().hex)
 
 
+ARRAY_FILES = 4
+
+
 @register("source_qa_round_trip")
 def q_source_qa_round_trip(spark, sf):
     """The corpus written as JSON Lines per source and read back; ids stay distinct across inputs."""
@@ -645,6 +648,29 @@ def q_source_qa_round_trip(spark, sf):
         F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("n_ids"))
 
 
+@register("source_array_round_trip")
+def q_source_array_round_trip(spark, sf):
+    """The corpus written as pretty-printed JSON arrays and read back in splits; every sample has an id of its own."""
+    base = _scratch(spark)
+    qa = fixture(spark, sf, "qa_corpus").filter(F.col("source") == "plain").select("db_id", "question", "query")
+    # Arrays of a few hundred samples; a file holds several, one after another.
+    arrays = qa.groupBy(F.pmod(F.xxhash64("question"), F.lit(ARRAY_FILES)).alias("_f"), F.pmod(F.xxhash64("query"), F.lit(64)).alias("_a")) \
+        .agg(F.to_json(F.collect_list(F.struct("db_id", "question", "query")), {"pretty": "true"}).alias("value"))
+    arrays.repartition(ARRAY_FILES, "_f").select("value").write.text(f"{base}/arrays")
+    got = IO.read_qa_json(spark, f"{base}/arrays", "plain", "train", number=0)
+    return got.groupBy("source", "db_id", "question", "query").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("n_ids"))
+
+
+@register("missing_source")
+def q_missing_source(spark, sf):
+    """A corpus of two inputs of which one is missing has the rows of the other, under the same columns."""
+    base = _scratch(spark)
+    qa = fixture(spark, sf, "qa_corpus").select("db_id", "question", "query")
+    qa.write.json(f"{base}/there.jsonl")
+    both = C.unify_corpora(*(IO.read_qa_json(spark, f"{base}/{n}.jsonl", n, "train", number=k) for k, n in enumerate(("there", "absent"))))
+    return both.groupBy("source", "db_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("question")).alias("question_chars"))
+
+
 @register("split_round_trip")
 def q_split_round_trip(spark, sf):
     """The training set written per split and read back line by line."""

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_array import read_json_array
+
 log = logging.getLogger(__name__)
 
 QA_RAW_SCHEMA = T.StructType([
@@ -50,11 +52,7 @@ DETAIL_SCHEMA = T.StructType([
     T.StructField("ex", T.BooleanType()),
     T.StructField("em", T.BooleanType()),
 ])
-REPORT_SCHEMA = T.StructType([
-    T.StructField("ex", T.DoubleType()),
-    T.StructField("em", T.DoubleType()),
-    T.StructField("details", T.ArrayType(DETAIL_SCHEMA)),
-])
+
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -82,7 +80,7 @@ def _input_number(source: str, split: str, path: str) -> int:
 
 def read_qa_json(spark: SparkSession, path: str, source: str, split: str = "train",
                  with_evidence: bool = False, number: int | None = None) -> DataFrame:
-    """A JSON array of samples, or JSON Lines (``.jsonl``, which Spark splits) -> rows of SAMPLE_SCHEMA.
+    """A JSON array of samples, or JSON Lines (``.jsonl``), both read in splits -> rows of SAMPLE_SCHEMA.
 
     The SQL text is taken from ``SQL``, else ``query``, else ''. Evidence and
     difficulty default to ''. ``sample_id`` keeps the file order below a prefix that names the input, so
@@ -92,12 +90,14 @@ def read_qa_json(spark: SparkSession, path: str, source: str, split: str = "trai
     first = (_input_number(source, split, path) if number is None else number) << _ID_BITS
 
     def reader(p):
-        lines = p.rstrip("/").endswith((".jsonl", ".jsonl.gz"))
-        raw = spark.read.option("multiLine", not lines).schema(QA_RAW_SCHEMA).json(p)
+        if p.rstrip("/").endswith((".jsonl", ".jsonl.gz")):
+            raw = spark.read.schema(QA_RAW_SCHEMA).json(p).withColumn("record", F.monotonically_increasing_id())
+        else:
+            raw = read_json_array(spark, p, QA_RAW_SCHEMA)
         sql = F.coalesce(F.col("SQL"), F.col("query"), F.lit("")) if with_evidence \
             else F.coalesce(F.col("query"), F.lit(""))
         return raw.select(
-            (F.lit(first) + F.monotonically_increasing_id()).alias("sample_id"),
+            (F.lit(first) + F.col("record")).alias("sample_id"),
             F.lit(source).alias("source"), F.lit(split).alias("split"),
             F.coalesce("db_id", F.lit("")).alias("db_id"),
             F.coalesce("question", F.lit("")).alias("question"),
@@ -140,10 +140,10 @@ def read_stage1(spark: SparkSession, path: str) -> DataFrame:
         lines = spark.read.schema(T.StructType([T.StructField("sample_id", T.LongType())] + DETAIL_SCHEMA.fields)).json(folder)
         return lines.select(F.coalesce("sample_id", F.monotonically_increasing_id()).alias("detail_ord"),
                             *[f.name for f in DETAIL_SCHEMA.fields])
-    report = spark.read.option("multiLine", True).schema(REPORT_SCHEMA).json(path)
-    if report.filter(F.col("details").isNull()).limit(1).count() or not report.limit(1).count():
+    # Details are the objects in an array of the one report object; the reader takes them from any split.
+    if spark.read.option("lineSep", "{").text(path).filter(F.col("value").rlike(r'"details"\s*:\s*\[')).isEmpty():
         raise ValueError(f"{path} holds no evaluation report: neither a details folder nor a document with details")
-    return report.select(F.posexplode("details").alias("detail_ord", "d")).select(F.col("detail_ord").cast("long"), "d.*")
+    return read_json_array(spark, path, DETAIL_SCHEMA, depth=1, in_array=True).withColumnRenamed("record", "detail_ord")
 
 
 def write_eval_report(details: DataFrame, summary: DataFrame, out: str, fmt: str = "json") -> None:
