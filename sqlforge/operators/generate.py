@@ -7,7 +7,7 @@ on fixed-size batches, as the reference's batch size of 16 prescribes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -60,20 +60,22 @@ def batch_generate(df: DataFrame, load_generator: Callable, prompt_col: str = "p
 def embed(df: DataFrame, load_encoder: Callable, text_col: str = "question", out_col: str = "embedding",
           batch_size: int = 64, name: str | None = None) -> DataFrame:
     """Dense vectors from a user encoder (``load_encoder()`` -> ``fn(list[str]) -> 2-d array``)."""
-    from pyspark.sql.functions import pandas_udf
     name = model_name(load_encoder, name)
+    cols = [c for c in df.columns if c != out_col]
 
-    @pandas_udf("array<float>")
-    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def enc(batches):
+        import pyarrow as pa
         fn = _loaded(load_encoder, name)
-        for s in batches:
-            texts = s.fillna("").tolist()
-            parts = [np.asarray(fn(texts[i:i + batch_size]), dtype=np.float32)
-                     for i in range(0, len(texts), batch_size)]
-            mat = np.concatenate(parts) if parts else np.zeros((0, 0), dtype=np.float32)
-            yield pd.Series([row.tolist() for row in mat])
-
-    return df.withColumn(out_col, enc(F.col(text_col)))
+        for b in batches:
+            texts = ["" if t is None else t for t in b.column(text_col).to_pylist()]
+            parts = [np.asarray(fn(texts[i:i + batch_size]), dtype=np.float32) for i in range(0, len(texts), batch_size)]
+            mat = np.concatenate(parts) if parts else np.zeros((0, 1), dtype=np.float32)
+            # One flat buffer of the batch: the vectors are never Python lists.
+            vecs = pa.FixedSizeListArray.from_arrays(pa.array(mat.reshape(-1)), mat.shape[1]).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), vecs], names=[*cols, out_col])
+
+    kind = df.select(*cols).withColumn(out_col, F.array().cast("array<float>")).schema
+    return df.select(*cols).mapInArrow(enc, kind)
 
 
 # ---------------------------------------------------------------- stubs for tests and checks

@@ -8,10 +8,9 @@ from sqlforge.plans.queries import Q
 from conftest import SF_SMALL
 
 SPARSE = ("rank_tables", "prune_columns", "fewshot_topk", "route_topk", "prompt_context", "rag_link")   # FlatMapGroupsInArrow: the list scorer
-PYTHON_ALLOWED = {**dict.fromkeys(SPARSE, "FlatMapGroupsInArrow"), "route_vectors": ("ArrowEvalPython", "MapInPandas"), "rank_tables_vectors": ("ArrowEvalPython", "MapInPandas"),
-                  "rag_link_vectors": ("ArrowEvalPython", "MapInPandas"),
-                  "batch_generate": "MapInPandas", "embed_questions": "ArrowEvalPython",
-                  "fewshot_vectors": "MapInPandas", "sft_features_user": "MapInPandas"}
+VECTORS = ("route_vectors", "rank_tables_vectors", "rag_link_vectors", "fewshot_vectors")       # the encoder and the block scorer
+PYTHON_ALLOWED = {**dict.fromkeys(SPARSE, "FlatMapGroupsInArrow"), **dict.fromkeys(VECTORS, ("MapInArrow", "FlatMapGroupsInArrow", "FlatMapCoGroupsInArrow")),
+                  "batch_generate": "MapInPandas", "embed_questions": "MapInArrow", "sft_features_user": "MapInPandas"}
 NAMES = sorted(Q)
 
 
@@ -27,7 +26,7 @@ def test_plan_shape(spark, name):
     # A nested-loop join may only appear with the small side broadcast: the per-database
     # schema table (size-checked) when the fixture's db_id is a constant and the key folds away.
     assert "BroadcastNestedLoopJoin BuildLeft" not in plan, name
-    for op in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "MapInArrow", "FlatMapGroupsInArrow"):
+    for op in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "MapInArrow", "FlatMapGroupsInArrow", "FlatMapCoGroupsInArrow"):
         if op in plan:
             assert op in PYTHON_ALLOWED.get(name, ()), (name, op)
 
