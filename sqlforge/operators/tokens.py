@@ -7,8 +7,7 @@ frequency; a real tokenizer is plugged in through :func:`tokenizer_features`
 
 Ids: 0 pad, 1 end of text, 2 unknown, 3..20 the 18 tags in fixed order,
 then corpus tokens from 21 by (count desc, token). Every sample keeps only its first
-``max_length`` token rows before ids are gathered, so a sample's list is
-bounded by the token budget.
+``max_length`` tokens, so a sample's list is bounded by the token budget.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ TOKEN_RE = r"</?(?:clause_[a-z_]+|summary)>|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 PAD_ID, EOS_ID, UNK_ID, FIRST_TAG_ID = 0, 1, 2, 3
 FIRST_WORD_ID = FIRST_TAG_ID + len(ALL_TAGS)
 IGNORE = -100
+TOKEN_BLOCK = 512     # texts that share a dictionary
 
 
 def tokens(c) -> Column:
@@ -48,32 +48,73 @@ def sft_texts(sft: DataFrame, system: str | None = None) -> DataFrame:
 
 def build_vocab(texts: DataFrame, col: str = "full") -> DataFrame:
     """(token, n, id): corpus tokens by frequency; tags keep their fixed ids and are not listed."""
-    toks = texts.select(F.explode(tokens(col)).alias("token"))
-    counts = toks.filter(~F.col("token").isin(*ALL_TAGS)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return _ranked(texts.select(F.explode(tokens(col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _ranked(counts: DataFrame) -> DataFrame:
+    counts = counts.filter(~F.col("token").isin(*ALL_TAGS))
     ranked = global_row_number(counts, [F.col("n").desc(), F.col("token").asc()], "rank")
     return ranked.select("token", "n", (F.col("rank") + FIRST_WORD_ID - 1).cast("int").alias("id"))
 
 
+def encoded(texts: DataFrame, max_length: int = MAX_LENGTH, block: int = TOKEN_BLOCK) -> DataFrame:
+    """Texts with dictionary-encoded tokens, in blocks of at most ``block`` texts of one input partition.
+
+    Rows are of two kinds: (blk, sample_id, prompt_len, codes) for a text, its first ``max_length`` tokens as places in the block's
+    dictionary, and (blk, token, n) for the dictionary, its tokens and how often the block's whole texts hold each.
+    """
+    kind = dict(texts.dtypes)["sample_id"]
+    rows = texts.select("sample_id", F.size(tokens("prompt")).alias("prompt_len"), tokens("full").alias("toks")).filter(F.size("toks") > 0)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+        part, made = TaskContext.get().partitionId() << 33, 0
+        for b in batches:
+            for first in range(0, b.num_rows, block):
+                some = b.slice(first, block)
+                toks = some.column("toks")
+                flat = toks.flatten().dictionary_encode()
+                codes, ends = flat.indices.to_numpy(), np.cumsum(toks.value_lengths().to_numpy())
+                starts = np.concatenate([[0], ends[:-1]])
+                n, size = some.num_rows, np.minimum(ends - starts, max_length)
+                kept = np.concatenate([codes[a:a + m] for a, m in zip(starts, size)])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(kept, pa.int32()))
+                count = np.bincount(codes, minlength=len(flat.dictionary))
+                name = pa.array([part + made] * (n + 1), pa.int64())
+                made += 1
+                yield pa.RecordBatch.from_arrays(
+                    [name, pa.concat_arrays([some.column("sample_id"), pa.nulls(1, some.column("sample_id").type)]),
+                     pa.concat_arrays([some.column("prompt_len"), pa.nulls(1, pa.int32())]), pa.concat_arrays([lists, pa.nulls(1, lists.type)]),
+                     pa.array([None] * n + [flat.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([None] * n + [count.tolist()], pa.list_(pa.int64()))],
+                    names=["blk", "sample_id", "prompt_len", "codes", "token", "n"])
+
+    return rows.mapInArrow(run, f"blk long, sample_id {kind}, prompt_len int, codes array<int>, token array<string>, n array<long>")
+
+
 def token_features(sft: DataFrame, vocab: DataFrame | None = None, max_length: int = MAX_LENGTH) -> DataFrame:
     """input_ids, attention_mask, labels (prompt positions -100), truncated and padded to max_length.
 
-    The ids are a written table of known size: within Spark's broadcast threshold the token rows are
-    looked up where they are; beyond it the join is shuffled and adaptive execution splits hot tokens.
+    Tokens are never rows. Texts are encoded in blocks against a dictionary of the block (:func:`encoded`); only the dictionaries'
+    entries, each token once a block, are counted for the vocabulary and looked up in it. A block's ids then come back as one array by
+    which each text's codes are replaced where they are. A token of all texts is one row per block on either way.
     """
     texts = sft_texts(sft)
-    vocab = vocab if vocab is not None else build_vocab(texts)
     spark = sft.sparkSession
+    enc = materialize(encoded(texts, max_length), "sft-encoded")
+    entries = enc.filter(F.col("token").isNotNull()).select("blk", F.posexplode(F.arrays_zip("token", "n")).alias("code", "e")) \
+        .select("blk", "code", "e.token", "e.n")
+    if vocab is None:
+        vocab = _ranked(entries.groupBy("token").agg(F.sum("n").alias("n")))
     tags = spark.createDataFrame([(t, FIRST_TAG_ID + i) for i, t in enumerate(ALL_TAGS)], "token string, id int")
     ids = materialize(vocab.select("token", "id").unionByName(tags), "token-ids")
-    # prompt length once per sample, before the explode (in the same select it
-    # would be evaluated again for every token row)
-    lens = texts.select("sample_id", "full", F.size(tokens("prompt")).alias("prompt_len"))
-    rows = (lens.select("sample_id", "prompt_len", F.posexplode(tokens("full")).alias("pos", "token"))
-            .filter(F.col("pos") < max_length))
-    looked = rows.join(ids, "token", "left").select("sample_id", "prompt_len", "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
-    per = looked.groupBy("sample_id").agg(F.first("prompt_len").alias("prompt_len"),
-                                          F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("p"))
-    full_ids = F.slice(F.concat(F.transform("p", lambda x: x["id"]), F.array(F.lit(EOS_ID))), 1, max_length)
+    looked = entries.join(ids, "token", "left").groupBy("blk") \
+        .agg(F.array_sort(F.collect_list(F.struct("code", F.coalesce("id", F.lit(UNK_ID)).alias("id")))).alias("d")) \
+        .select("blk", F.col("d.id").alias("_ids"))
+    per = enc.filter(F.col("token").isNull()).select("blk", "sample_id", "prompt_len", "codes").join(looked, "blk") \
+        .select("sample_id", "prompt_len", F.transform("codes", lambda c: F.get("_ids", c)).alias("p"))
+    full_ids = F.slice(F.concat("p", F.array(F.lit(EOS_ID))), 1, max_length)
     per = per.select("sample_id", "prompt_len", full_ids.alias("ids"))
     n = F.size("ids")
     pad = F.lit(max_length) - n
