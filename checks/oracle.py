@@ -745,6 +745,7 @@ _ROUND_ALL = ("round(r_exec, 9) AS r_exec, round(r_format, 9) AS r_format, round
 # Dry-run validity of the F3 texts, decided by hand from the fixture: blank texts score 0; the only
 # texts that do not plan are those naming the renamed column c_phone (it does not exist); the rest plan.
 _SYN_F3 = "CAST(CASE WHEN trim(pred_sql) = '' THEN 0.0 WHEN contains(pred_sql, 'c_phone') THEN 0.5 ELSE 1.0 END AS DOUBLE)"
+ORACLES["corpus_validity"] = cte("pairs") + f"\nSELECT sample_id, {_SYN_F3} AS r_syntax FROM pairs"
 ORACLES["reward_total"] = (cte("pairs", "model_outputs", "result_rows", "result_status")
                            + f", {_REX}, {_rs_cte('pred_sql', 'gold_sql', 'pairs')}, {_rn_cte('pred_sql', 'gold_sql', 'pairs')}" + f""",
 parts AS (

@@ -250,16 +250,6 @@ SELECT CAST(floor(l_orderkey / 6) AS BIGINT) AS group_id, CAST(l_orderkey % 3 AS
 FROM lineitem
 """
 
-# ---------------------------------------------------------------- F3, F2 plan states
-# What a run would say of planning (W4), decided from the fixture: of the F3 texts those that name the
-# renamed column c_phone don't plan; of the F2 answers those that still begin with a tag.
-F3_PAIR_PLANS = f"""
-SELECT sample_id, NOT (pred_sql LIKE '%c_phone%') AS planned FROM ({F3_PAIRS}) p
-"""
-F2_ANSWER_PLANS = f"""
-SELECT sample_id, sample_id % 5 = 4 AS planned FROM ({F2_MODEL_OUTPUTS}) p
-"""
-
 # ---------------------------------------------------------------- F10 eval rows
 F10_EVAL_ROWS = """
 SELECT CAST(o_orderkey AS BIGINT) AS sample_id,
@@ -280,8 +270,6 @@ FIXTURES = {
     "sql_pairs": (None, ("customer", "orders")),
     "questions": (F6_QUESTIONS, ("customer", "conversations")),
     "questions_placed": (F6_QUESTIONS_PLACED, ("customer", "conversations")),
-    "pair_plans": (F3_PAIR_PLANS, ("customer",)),
-    "answer_plans": (F2_ANSWER_PLANS, ("customer",)),
     "rollout_runs": (F9_ROLLOUT_RUNS, ("lineitem",)),
     "history": (F7_HISTORY, ("conversations",)),
     "vec_queries": (F8_VEC_QUERIES, ("embeddings",)),

@@ -522,10 +522,18 @@ def q_training_log(spark, sf):
     return r.select("global_step", "epoch", "step", "group_id", "avg_reward", F.round("loss", 6).alias("loss"))
 
 
-def _syntax(spark, sf, texts_df, col, status):
-    """r_syntax from a status table (sample_id, planned), as a run leaves it."""
-    return texts_df.join(fixture(spark, sf, status), "sample_id", "left") \
-        .withColumn("r_syntax", EX.validity_of(col, "planned")).drop("planned")
+def _syntax(spark, sf, texts_df, col):
+    """r_syntax (W4) of a text column: the texts' shapes are planned against the tables they name."""
+    register_tables(spark, sf, ("customer", "orders", "nation", "region"))
+    states = EX.sql_validity(spark, texts_df.select(F.col(col).alias("sql")))
+    return texts_df.withColumn("sql_id", EX.sql_id_col(col)).join(states, "sql_id", "left") \
+        .withColumn("r_syntax", F.coalesce("validity", F.lit(0.0))).drop("sql_id", "validity")
+
+
+@register("corpus_validity")
+def q_corpus_validity(spark, sf):
+    """W4 over all predicted texts of the corpus."""
+    return _syntax(spark, sf, fixture(spark, sf, "pairs"), "pred_sql").select("sample_id", "r_syntax")
 
 
 @register("reward_total")
@@ -534,7 +542,7 @@ def q_reward_total(spark, sf):
     rows, status = _results(spark, sf)
     exec_r = RW.reward_execution(rows, status)
     outs = fixture(spark, sf, "model_outputs").select("sample_id", RW.reward_format(F.col("output")).alias("r_format"))
-    df = (_syntax(spark, sf, pairs, "pred_sql", "pair_plans")
+    df = (_syntax(spark, sf, pairs, "pred_sql")
           .withColumn("r_schema", RW.reward_schema(F.col("pred_sql"), F.col("gold_sql")))
           .join(RW.reward_ngram(pairs), "sample_id")
           .join(exec_r, "sample_id").join(outs, "sample_id"))
@@ -552,7 +560,7 @@ def q_rollout_rewards(spark, sf):
     exec_r = RW.reward_execution(rows, status)
     a = outs.select("sample_id", "output", CL.extract_reflection(F.col("output"))["answer"].alias("answer")) \
         .join(gold, "sample_id")
-    df = (_syntax(spark, sf, a, "answer", "answer_plans")
+    df = (_syntax(spark, sf, a, "answer")
           .withColumn("r_format", RW.reward_format(F.col("output")))
           .withColumn("r_schema", RW.reward_schema(F.col("answer"), F.col("gold_sql")))
           .join(RW.reward_ngram(a, "answer"), "sample_id")
@@ -620,7 +628,7 @@ def q_sft_features_user(spark, sf):
 
 
 # ------------------------------------------------------------------ sources and sinks (round trips of whole tables)
-from ..session import shared_path  # noqa: E402
+from ..session import register_tables, shared_path  # noqa: E402
 from ..sources import io as IO  # noqa: E402
 
 

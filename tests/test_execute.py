@@ -133,3 +133,24 @@ def test_validity_and_feedback(spark):
     assert ok["exec_result"] == "[" + ", ".join(f"({i},)" for i in range(10)) + "]" and ok["exec_error"] == ""
     bad = fb[EX.sql_id_of("SELECT c_nme FROM customer")]
     assert bad["exec_result"] == "" and bad["exec_error"] != ""
+
+
+def test_shapes_keep_what_can_decide_planning(spark):
+    alike = [("SELECT a FROM t WHERE b = 12 AND c <> 'x' LIMIT 5", "SELECT a FROM t WHERE b = 7 AND c <> 'yy' LIMIT 90"), ("SELECT 1 WHERE a >=3", "SELECT 1 WHERE a >=44")]
+    apart = [("SELECT a FROM t ORDER BY 1", "SELECT a FROM t ORDER BY 9"), ("SELECT 1 WHERE a = 1", "SELECT 1 WHERE a = 1.5"), ("SELECT DATE '2020-01-01'", "SELECT DATE 'x'"),
+             ("SELECT CAST(a AS DECIMAL(9,2))", "SELECT CAST(a AS DECIMAL(99,2))"), ("SELECT 1 WHERE a = 1", "SELECT 1 WHERE a = 12345678901"),
+             ("SELECT 1 LIMIT 1", "SELECT 1 LIMIT -1"), ("SELECT ntile(0) OVER (ORDER BY a) FROM t", "SELECT ntile(2) OVER (ORDER BY a) FROM t"),
+             ("SELECT 1 WHERE a = 'it''s 1'", "SELECT 1 WHERE a = 'it''s 2'"), ("SELECT 1 WHERE a = 2x", "SELECT 1 WHERE a = 3x")]
+    df = spark.createDataFrame([(k, i, t) for k, p in enumerate(alike + apart) for i, t in enumerate(p)], "k int, i int, t string")
+    shapes = {(r.k, r.i): r.s for r in df.select("k", "i", EX.plan_shape("t").alias("s")).collect()}
+    for k in range(len(alike + apart)):
+        assert (shapes[k, 0] == shapes[k, 1]) == (k < len(alike)), (alike + apart)[k]
+
+
+def test_validity_by_shape_equals_planning_every_text(spark):
+    register_tables(spark, SF_SMALL, ("customer", "orders"))
+    texts = [f"SELECT c_name FROM customer WHERE c_custkey = {k}" for k in range(30)] + [f"SELECT c_nothing FROM customer WHERE c_custkey = {k}" for k in range(30)] + [
+        "", " ; ", "SELECT c_name FROM customer ORDER BY 1", "SELECT c_name FROM customer ORDER BY 5", "DROP TABLE customer", "SELECT 1 WHERE 1 = DATE 'x'"]
+    got = {r.sql_id: r.validity for r in EX.sql_validity(spark, spark.createDataFrame([(t,) for t in texts], "sql string")).collect()}
+    want = {EX.sql_id_of(t): 0.0 if not EX.prepare_sql(t) else 1.0 if EX.guard(spark, t)[0] is not None else 0.5 for t in texts}
+    assert got == want
