@@ -40,4 +40,16 @@ def sized(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.coalesce(1), name)
 
 
-__all__ = ["WORD", "documents", "materialize", "n_words", "read_table", "sized", "uniform", "whole_text"]
+# What a Python worker keeps from one task to the next, by name. A worker outlives a query, so a task
+# that needs memory of its own empties these first.
+WORKER_CACHES: dict = {}
+
+
+def release_caches() -> None:
+    if WORKER_CACHES:
+        import gc
+        WORKER_CACHES.clear()
+        gc.collect()
+
+
+__all__ = ["WORD", "WORKER_CACHES", "documents", "materialize", "n_words", "read_table", "release_caches", "sized", "uniform", "whole_text"]

@@ -12,6 +12,8 @@ import unicodedata
 
 import numpy as np
 
+from .common import WORKER_CACHES
+
 CACHE_PIECES = 600_000   # pieces kept by a worker; later ones are encoded each time
 LONG_PIECE = 64          # longer pieces aren't kept
 TAIL = ".,;:!?#$%&*"     # marks that both kinds of tokenizer cut off from the letters before them
@@ -126,11 +128,8 @@ class SpaceFree:
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_LOADED: dict = {}
-
-
 def encoder(kind: type, path: str):
     """The encoder of this worker for a tokenizer file."""
-    if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = kind(path)
-    return _LOADED[kind, path]
+    if (kind, path) not in WORKER_CACHES:
+        WORKER_CACHES[kind, path] = kind(path)
+    return WORKER_CACHES[kind, path]

@@ -6,7 +6,8 @@ hundred times is said once); a linear softmax on it gives the score. Embeddings
 misspelling that was never seen shares the vectors of the n-grams it kept.
 
 The model is fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled documents of each class,
-those with the smallest hash of their id, whole texts. One task trains it; its scoring form is one
+those with the smallest hash of their id, whole texts. Bags are made where the texts lie, units that fewer than ``SEEN`` of them
+hold are counted and left out there, and one task trains on what is left, 6 bytes a unit; the scoring form is one
 number per bucket (the embedding row times the difference of the softmax columns), 4 * BUCKETS bytes,
 which goes to the tasks that score all documents in one pass without a shuffle.
 
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, read_table, sized, whole_text
+from .common import documents, materialize, read_table, release_caches, sized, whole_text
 
 BUCKETS = 1 << 18
 DIM = 4
@@ -55,14 +56,14 @@ def units(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) % BUCKETS for x in found]
 
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct units of a text and their shares of all its units."""
+def bag(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct units of a text, how often each occurs (65,535 at most), and how many units there are."""
     got: Counter = Counter()
     for word in set(text.lower().split()):
         got.update(units(word))
     index = np.fromiter(got, dtype=np.int32, count=len(got))
-    share = np.fromiter(got.values(), dtype=np.float32, count=len(got))
-    return index, share / (REST + float(share.sum()))
+    count = np.fromiter(got.values(), dtype=np.int64, count=len(got))
+    return index, np.minimum(count, 65_535).astype(np.uint16), int(count.sum())
 
 
 class Model:
@@ -90,41 +91,63 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(odds, -60, 60))))
 
 
+class Bags:
+    """Bags of many texts in three flat arrays: those of text r are index[start[r]:start[r + 1]] with their counts, of ``total[r]`` units."""
+
+    def __init__(self, start: np.ndarray, index: np.ndarray, count: np.ndarray, total: np.ndarray):
+        self.start, self.index, self.count, self.total = start, index, count, total
+
+    def rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units and shares of the given texts one after another, and how many each has."""
+        sizes = self.start[rows + 1] - self.start[rows]
+        at = np.repeat(self.start[rows] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        share = self.count[at] / np.repeat(REST + self.total[rows], sizes).astype(np.float32)
+        return self.index[at], share, sizes
+
+
+def gathered(parts: list[tuple[np.ndarray, np.ndarray]], total: list[int]) -> Bags:
+    """One set of arrays from many bags; ``parts`` is emptied on the way."""
+    start = np.concatenate([[0], np.cumsum([len(i) for i, _ in parts], dtype=np.int64)]).astype(np.int64)
+    index, count = np.empty(start[-1], np.int32), np.empty(start[-1], np.uint16)
+    for r in range(len(parts)):
+        index[start[r]:start[r + 1]], count[start[r]:start[r + 1]] = parts[r]
+        parts[r] = None
+    return Bags(start, index, count, np.asarray(total, np.float64))
+
+
 def train(texts: list[str], labels: list[int], base_odds: float = 0.0, epochs: int = EPOCHS, seed: int = 6) -> Model:
-    return train_bags([bag(t) for t in texts], labels, base_odds, epochs, seed)
+    bags = [bag(t) for t in texts]
+    seen = np.zeros(BUCKETS, np.int32)
+    for index, _, _ in bags:
+        seen[index] += 1
+    parts = [(i[seen[i] >= SEEN], c[seen[i] >= SEEN]) for i, c, _ in bags]
+    return train_bags(gathered(parts, [n for *_, n in bags]), labels, base_odds, epochs, seed)
 
 
-def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], base_odds: float = 0.0, epochs: int = EPOCHS,
-               seed: int = 6) -> Model:
+def train_bags(bags: Bags, labels: list[int], base_odds: float = 0.0, epochs: int = EPOCHS, seed: int = 6) -> Model:
     """Joint training of embeddings and softmax by AdaGrad over mini-batches of whole documents.
 
-    Classes weigh alike in the loss; ``base_odds`` is added to the bias afterwards.
+    Bags hold no rare units. Classes weigh alike in the loss; ``base_odds`` is added to the bias afterwards.
     """
     y = np.asarray(labels, dtype=np.int64)
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    seen = np.zeros(BUCKETS, np.int32)
-    for index, _ in bags:
-        seen[index] += 1
-    bags = list(bags)
-    for r, (index, share) in enumerate(bags):
-        often = seen[index] >= SEEN
-        bags[r] = index[often], share[often]
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     s_emb, s_out, s_bias = np.full(BUCKETS, 1e-4, np.float32), np.full((DIM, 2), 1e-4, np.float32), np.full(2, 1e-4, np.float32)
     weigh = (len(y) / (2.0 * np.bincount(y, minlength=2))).astype(np.float32)
+    full = np.diff(bags.start) > 0
     for _ in range(max(epochs, -(-STEPS * BATCH // len(y)))):
         order = rng.permutation(len(y))
         for k in range(0, len(y), BATCH):
-            rows = [r for r in order[k:k + BATCH] if len(bags[r][0])]
-            if not rows:
+            rows = order[k:k + BATCH]
+            rows = rows[full[rows]]
+            if not len(rows):
                 continue
-            sizes = np.array([len(bags[r][0]) for r in rows])
-            index = np.concatenate([bags[r][0] for r in rows])
-            share = np.concatenate([bags[r][1] for r in rows])[:, None]
+            index, share, sizes = bags.rows(rows)
+            share = share[:, None]
             x = np.add.reduceat(emb[index] * share, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
             z = x @ out + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -144,7 +167,9 @@ def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], bas
             out -= 0.1 * g_out / np.sqrt(s_out)
             s_bias += g_bias ** 2
             bias -= 0.1 * g_bias / np.sqrt(s_bias)
-    emb[seen < SEEN] = 0
+    used = np.zeros(BUCKETS, np.bool_)
+    used[bags.index] = True
+    emb[~used] = 0
     return Model((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]) + base_odds)
 
 
@@ -161,23 +186,67 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int =
     sample = docs.select("doc_id", whole_text().alias("text")).join(ids, "doc_id") \
         .groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))
 
+    bags = materialize(sample.mapInArrow(_bags, "doc_id long, toxic int, total long, units binary, counts binary"), "toxicity-bags")
+    often = bags.select("units").mapInArrow(_unit_counts, "unit int, n long").groupBy("unit").agg(F.sum("n").alias("n")).filter(F.col("n") >= SEEN)
+    kept = np.zeros(BUCKETS, np.bool_)          # at most BUCKETS numbers reach the driver, however large the sample
+    kept[often.select("unit").toPandas()["unit"].to_numpy(np.int64)] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(kept).tobytes())
+
+    def only_kept(batches):
+        import pyarrow as pa
+        keep = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(np.bool_)
+        for b in batches:
+            units, counts = [], []
+            for u, c in zip(b.column("units"), b.column("counts")):
+                u, c = np.frombuffer(u.as_py(), "<i4"), np.frombuffer(c.as_py(), "<u2")
+                k = keep[u]
+                units.append(u[k].tobytes())
+                counts.append(c[k].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("total"), pa.array(units, pa.binary()), pa.array(counts, pa.binary())],
+                                             names=["doc_id", "toxic", "total", "units", "counts"])
+
     def run(batches):
         import pyarrow as pa
-        ids, bags, labels = [], [], []
-        for b in batches:          # texts leave at once; a bag has at most BUCKETS units
+        ids, labels, total, parts = [], [], [], []
+        for b in batches:
             ids += b.column("doc_id").to_pylist()
-            bags += [bag(t.as_py()) for t in b.column("text")]
-            labels += b.column("_toxic").to_pylist()
+            labels += b.column("toxic").to_pylist()
+            total += b.column("total").to_pylist()
+            parts += [(np.frombuffer(u.as_py(), "<i4"), np.frombuffer(c.as_py(), "<u2")) for u, c in zip(b.column("units"), b.column("counts"))]
         order = sorted(range(len(ids)), key=ids.__getitem__)
-        m = train_bags([bags[k] for k in order], [labels[k] for k in order], seed=seed)
+        parts = [parts[k] for k in order]
+        m = train_bags(gathered(parts, [total[k] for k in order]), [labels[k] for k in order], seed=seed)
         yield pa.RecordBatch.from_pydict({"weight": [m.weight.tobytes()], "bias": [m.bias]})
 
-    model = materialize(sample.coalesce(1).mapInArrow(run, "weight binary, bias double"), "toxicity-model").first()
+    plain = "doc_id long, toxic int, total long, units binary, counts binary"
+    model = materialize(bags.mapInArrow(only_kept, plain).repartition(1).mapInArrow(run, "weight binary, bias double"), "toxicity-model").first()
     if model is None:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     return Model(np.frombuffer(model["weight"], dtype=np.float32), model["bias"])
 
 
+def _bags(batches):
+    """Bags of sampled texts, made where the texts lie."""
+    import pyarrow as pa
+    release_caches()
+    for b in batches:
+        got = [bag(t.as_py()) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("_toxic"), pa.array([n for *_, n in got], pa.int64()), pa.array([i.astype("<i4").tobytes() for i, *_ in got], pa.binary()),
+             pa.array([c.astype("<u2").tobytes() for _, c, _ in got], pa.binary())], names=["doc_id", "toxic", "total", "units", "counts"])
+
+
+def _unit_counts(batches):
+    """In how many bags of a partition each unit is."""
+    import pyarrow as pa
+    n = np.zeros(BUCKETS, np.int64)
+    for b in batches:
+        for u in b.column("units"):
+            n[np.frombuffer(u.as_py(), "<i4")] += 1
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["unit", "n"])
+
+
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (all by default; score and predicted are replaced) with score and predicted."""
     weight = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
@@ -185,13 +254,15 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     def run(batches):
         import pyarrow as pa
+        release_caches()
         m = Model(*weight.value)
         for b in batches:
-            s = [m.score(t or "") for t in b.column("_text").to_pylist()]
+            s = [m.score(t.as_py() or "") for t in b.column(text)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(s, pa.float64()),
                                               pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*cols, "score", "predicted"])
 
-    rows = docs.select(*cols, F.col("text").alias("_text"))
+    text = "text" if "text" in cols else "_text"
+    rows = docs.select(*cols) if text == "text" else docs.select(*cols, F.col("text").alias("_text"))
     kind = docs.select(*cols).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     return rows.mapInArrow(run, kind)
 
@@ -204,8 +275,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns as they were."""
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
-    return score(whole, fit(docs, labels), keep=["_doc"]).filter(F.col("predicted") == 0).select("_doc.*")
+    others = [c for c in docs.columns if c != "text"]       # the text goes to the task once
+    whole = docs.select(F.struct(*others).alias("_rest"), "text")
+    kept = score(whole, fit(docs, labels), keep=["_rest", "text"]).filter(F.col("predicted") == 0)
+    return kept.select(*(F.col("text") if c == "text" else F.col("_rest").getField(c).alias(c) for c in docs.columns))
 
 
 QUERIES = {"op6_toxicity": op6_toxicity}

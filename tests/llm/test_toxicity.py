@@ -78,5 +78,57 @@ def test_held_out_accuracy_on_documents(spark, tmp_path):
     assert len(got) > 200 and np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.95
 
 
-def test_the_model_is_fitted_on_4000_documents_a_class():
-    assert T.SAMPLE_ROWS == 4000
+def plain_training(texts, labels, epochs, seed=6):
+    """The same steps one document and one unit at a time."""
+    bags = [T.bag(t) for t in texts]
+    seen = np.zeros(T.BUCKETS, int)
+    for i, *_ in bags:
+        seen[i] += 1
+    y = np.array(labels)
+    rng = np.random.default_rng(seed)
+    emb, out, bias = rng.normal(0, 0.1, (T.BUCKETS, T.DIM)), rng.normal(0, 0.1, (T.DIM, 2)), np.zeros(2)
+    s_emb, s_out, s_bias = np.full(T.BUCKETS, 1e-4), np.full((T.DIM, 2), 1e-4), np.full(2, 1e-4)
+    weigh = len(y) / (2.0 * np.bincount(y, minlength=2))
+    for _ in range(max(epochs, -(-T.STEPS * T.BATCH // len(y)))):
+        order = rng.permutation(len(y))
+        for k in range(0, len(y), T.BATCH):
+            g_emb, g_out, g_bias = {}, np.zeros((T.DIM, 2)), np.zeros(2)
+            for r in order[k:k + T.BATCH]:
+                own = [(u, c / (T.REST + bags[r][2])) for u, c in zip(*bags[r][:2]) if seen[u] >= T.SEEN]
+                if not own:
+                    continue
+                x = sum(emb[u] * s for u, s in own)
+                z = x @ out + bias
+                p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+                p[y[r]] -= 1
+                p *= weigh[y[r]]
+                g_out += np.outer(x, p)
+                g_bias += p
+                for u, s in own:
+                    g_emb[u] = g_emb.get(u, 0) + s * (out @ p)
+            for u, g in g_emb.items():
+                s_emb[u] += (g ** 2).mean()
+                emb[u] -= T.RATE * g / np.sqrt(s_emb[u])
+            s_out += g_out ** 2
+            out = out - 0.1 * g_out / np.sqrt(s_out)
+            s_bias += g_bias ** 2
+            bias = bias - 0.1 * g_bias / np.sqrt(s_bias)
+    emb[seen < T.SEEN] = 0
+    return emb @ (out[:, 1] - out[:, 0]), bias[1] - bias[0]
+
+
+def test_training_against_plain_steps(monkeypatch):
+    monkeypatch.setattr(T, "STEPS", 4)
+    texts, labels = zip(*[(t[:200], y) for t, y in corpus(70, 8, False)])
+    m = T.train(list(texts) + [""], list(labels) + [0], epochs=2)
+    weight, bias = plain_training(list(texts) + [""], list(labels) + [0], 2)
+    assert abs(m.bias - bias) < 1e-3 and np.abs(m.weight - weight).max() < 2e-3 and np.abs(weight).max() > 0.05
+
+
+def test_distributed_bags_give_the_same_model(spark):
+    rows = [(k, t, y) for k, (t, y) in enumerate(corpus(120, 9, False))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    want = T.train([r[1] for r in used], [r[2] for r in used])
+    got = T.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert abs(got.bias - want.bias) < 1e-4 and np.abs(got.weight - want.weight).max() < 1e-4
