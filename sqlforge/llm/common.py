@@ -40,6 +40,12 @@ def sized(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.coalesce(1), name)
 
 
+def spread() -> dict[str, Column]:
+    """Columns behind doc_id in a range partitioning, so that rows of one id, or without one, are several ranges:
+    a hash of the text, and a number of the row for rows that are equal in both."""
+    return {"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()}
+
+
 # What a Python worker keeps from one task to the next, by name. A worker outlives a query, so a task
 # that needs memory of its own empties these first.
 WORKER_CACHES: dict = {}
@@ -52,4 +58,4 @@ def release_caches() -> None:
         gc.collect()
 
 
-__all__ = ["WORD", "WORKER_CACHES", "documents", "materialize", "n_words", "read_table", "release_caches", "sized", "uniform", "whole_text"]
+__all__ = ["WORD", "WORKER_CACHES", "documents", "materialize", "n_words", "read_table", "release_caches", "sized", "spread", "uniform", "whole_text"]

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, whole_text
+from .common import documents, spread, whole_text
 from .tokenize import SpaceFree, encoder, load_tokenizer, vocabulary
 
 WINDOW = 4096
@@ -186,7 +186,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, str
 
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")) \
-        .repartitionByRange(size // PART_BYTES + 1, "doc_id").sortWithinPartitions("doc_id", "text")
+        .withColumns(spread())
+    rows = rows.repartitionByRange(size // PART_BYTES + 1, "doc_id", *spread()).sortWithinPartitions("doc_id", *spread()).select("doc_id", "text")
     return rows.mapInArrow(run, PIECES)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from .common import documents, materialize, whole_text
+from .common import documents, materialize, spread, whole_text
 from .tokenize import SpaceLed, encoder, vocabulary
 
 FRAME_IDS = 1 << 17
@@ -160,7 +160,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, fram
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [n_docs], "n_tokens": [n_ids]})
 
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")) \
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        .withColumns(spread())
+    rows = rows.repartitionByRange("doc_id", *spread()).sortWithinPartitions("doc_id", *spread()).select("doc_id", "text")
     return rows.mapInArrow(write, "part long, path string, n_docs long, n_tokens long")
 
 

@@ -29,9 +29,13 @@ def load_tokenizer(path: str):
     import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True   # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
+
+
+def special_strings(tokenizer) -> re.Pattern:
+    """Strings of the tokenizer's special tokens. The library takes them for the tokens wherever they stand, so a text
+    that holds one is never cut into pieces."""
+    return re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
 
 
 class _Pieces(dict):
@@ -104,12 +108,13 @@ class SpaceLed:
 
     def __init__(self, path: str):
         t = load_tokenizer(path)
+        self.special = special_strings(t)
         self.first, self.rest, self.runs = (_Pieces(t, lead, _byte_spelling) for lead in ("", " ", ""))
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.OTHER.search(text):
+        if self.OTHER.search(text) or self.special.search(text):
             return self.first.encode(text)
         if self.DOUBLE.search(text):
             return b"".join(map(self.runs.__getitem__, self.RUNS.findall(text)))
@@ -121,10 +126,14 @@ class SpaceFree:
     """For tokenizers that drop white space: any ASCII space or newline is a place to cut."""
 
     def __init__(self, path: str):
-        self.pieces = _Pieces(load_tokenizer(path), "", _lower_byte_spelling)
+        t = load_tokenizer(path)
+        self.special = special_strings(t)
+        self.pieces = _Pieces(t, "", _lower_byte_spelling)
         self.pieces[""] = b""
 
     def __call__(self, text: str) -> bytes:
+        if self.special.search(text):
+            return self.pieces.encode(text)
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 

@@ -22,7 +22,9 @@ def test_pieces_give_the_ids_of_whole_texts(kind, name, monkeypatch):
     r = random.Random(4)
     parts = list("ab Zé  \n\n\t.,'sİΣσ字́\xa0\x1c\x85ë!?#&1٣_-") + ["I'm ", "don't", "  ", "<|endoftext|>", " \n \n", "straße ", "ΟΔΟΣ ", "Å", "ǅ", "word. "]
     texts = [x[1] or "" for x in awkward_rows()] + ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(3000)]
-    tokenizer, encode = Z.load_tokenizer(Z.vocabulary(name)), kind(Z.vocabulary(name))
+    from tokenizers import Tokenizer
+    tokenizer, encode = Tokenizer.from_file(Z.vocabulary(name)), kind(Z.vocabulary(name))      # untouched
+    texts += ["I'm <|endoftext|> OK", "<|startoftext|>a <|endoftext|>", "x<|endoftext|", "word <|endoftext|>" * 3]
     for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(encode(text), "<u4").tolist() == want.ids, repr(text)
 
@@ -96,3 +98,18 @@ def test_query(spark):
         ids = np.array([*e.ids, 0], "<u4")
         assert tuple(got[d.doc_id]) == (d.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_rows_without_ids_spread_over_files(spark):
+    docs = spark.range(0, 20_000).selectExpr("cast(null as long) doc_id", "concat('word ', id % 5000) text").union(spark.range(0, 50).selectExpr("id", "'same'"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = shared_path(spark, "tokens", uuid.uuid4().hex)
+        files = T.materialize(T.write_tokens(docs, folder, BYTE, 0), "manifest")
+        assert files.count() >= 6 and files.agg({"n_docs": "max"}).first()[0] < 6000
+        got = T.read_digests(files, folder).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == [None] * 20_000 + list(range(50))
