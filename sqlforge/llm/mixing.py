@@ -25,20 +25,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, n_words, sized, uniform, whole_text
+from ..functions.text import let
+from .common import WORD, documents, materialize, n_words, sized, uniform, whole_text
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5        # all targets together, as a share of all sizes
 MOST = 2.0         # a target is at most so many times its source's size
 BUCKET_ROWS = 4096
 SEED = "mix-8"
-LETTERS = r"[A-Za-z\x{00C0}-\x{024F}]+"
+NO_LETTER = r"[^\p{L}\p{M}]+"      # letters and marks of any script
+HALF_LENGTH = 40.0                  # words of a text whose length counts half
+LEAST_WEIGHT = 0.05
 
 
 def quality_weight(size: Column, text: Column) -> Column:
-    """Between 0.5 and 1: half the weight is the share of words that hold a letter run at all."""
-    runs = F.regexp_count(text, F.lit(LETTERS)).cast("double")
-    return F.lit(0.5) + F.lit(0.5) * F.least(F.lit(1.0), F.when(size > 0, runs / size).otherwise(0.0))
+    """Between ``LEAST_WEIGHT`` and 1, from what a text is like, in any script: the product of
+
+    - its share of letters among the characters of its words (symbols, digits and marks lower it);
+    - its variety, ln(1 + different words) / ln(1 + words) (repetition lowers it);
+    - its length, words / (words + ``HALF_LENGTH``).
+    """
+    def weigh(words):
+        # Several uses of one list: bound once per row.
+        chars = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)).cast("double")
+        variety = F.log(F.size(F.array_distinct(words)) + F.lit(1.0)) / F.log(F.size(words) + F.lit(1.0))
+        return F.struct(chars.alias("chars"), variety.alias("variety"))
+
+    seen = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), weigh)
+    letters = F.length(F.regexp_replace(text, NO_LETTER, "")).cast("double")
+    value = let(seen, lambda s: letters / s["chars"] * s["variety"] * (size / (size + F.lit(HALF_LENGTH))))
+    return F.when(size > 0, F.lit(LEAST_WEIGHT) + F.lit(1 - LEAST_WEIGHT) * value).otherwise(F.lit(LEAST_WEIGHT))
 
 
 def keyed(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text",
@@ -160,12 +176,14 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NOT NULL AS has_src,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         len(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{024F}]+'))::DOUBLE AS runs,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         length(regexp_replace(coalesce(text, ''), '[^\p{L}\p{M}]+', '', 'g'))::DOUBLE AS letters,
          'mix-8|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS tie
   FROM documents),
 k AS (
   SELECT *, -ln((('0x' || substr(md5(tie), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-            / (0.5 + 0.5 * least(1.0::DOUBLE, CASE WHEN size > 0 THEN runs / size ELSE 0.0 END)) AS key FROM d),
+            / CASE WHEN size > 0 THEN 0.05::DOUBLE + 0.95::DOUBLE * (letters / list_sum(list_transform(words, lambda w: length(w)))::DOUBLE
+                * (ln(len(list_distinct(words)) + 1.0::DOUBLE) / ln(size + 1.0::DOUBLE)) * (size / (size + 40.0::DOUBLE))) ELSE 0.05::DOUBLE END AS key FROM d),
 s AS (
   SELECT src, has_src, sum(size)::BIGINT AS source_size,
          [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY has_src DESC, src) - 1) % 3 + 1)::INT] AS w

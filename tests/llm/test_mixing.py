@@ -2,7 +2,7 @@
 import math
 
 import pytest
-from helpers import SPACE, awkward, awkward_rows, empty
+from helpers import SF_SMALL, SPACE, awkward, awkward_rows, empty, prose
 from pyspark.sql import functions as F
 
 from sqlforge.llm import mixing as M
@@ -105,3 +105,21 @@ def test_a_target_that_rounds_to_a_whole_epoch_takes_it(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
     assert got == {r[0]: r[1:] for r in con.execute(M.ORACLE).fetchall()}
     assert got[1][3] + got[2][3] == 8
+
+
+def weights(spark, texts):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    return [r.q for r in df.select("k", M.quality_weight(M.n_words("text"), M.whole_text("text")).alias("q")).orderBy("k").collect()]
+
+
+def test_quality_weights_spread_and_know_no_script(spark):
+    import math
+    latin, greek, cyrillic, arabic, chinese = ("word other thing again", "λόγος άλλο πράγμα ξανά", "слово другое снова вещь", "كلمة اخرى شيء مرة", "文字 其他 東西 再次")
+    same = weights(spark, [latin, greek, cyrillic, arabic, chinese])
+    assert max(same) - min(same) < 1e-12
+    plain, marked, repeated, long, none, void = weights(spark, [latin, "wo%d ot&er th*ng ag$in", "word word word word", latin + " " + prose(1, 300), None, " \n"])
+    assert void == none == M.LEAST_WEIGHT < repeated < plain < long < 1 and marked < plain
+    n, chars, letters = 4, 19, 19
+    assert abs(plain - (0.05 + 0.95 * (letters / chars) * (math.log(5) / math.log(5)) * (n / (n + 40)))) < 1e-12
+    got = [r.q for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(M.quality_weight(M.n_words("text"), M.whole_text("text")).alias("q")).collect()]
+    assert max(got.count(x) for x in set(got)) < len(got) / 3 and max(got) - min(got) > 0.3
