@@ -23,6 +23,13 @@ SCHEMA_STOPWORDS = [
     "else", "end", "union", "all", "exists", "asc", "desc", "with",
 ]
 
+# --- fixed values: keyword pattern of the clause split (one optional join word) ----------
+KEYWORD_RE = r"(?i)\b(SELECT|FROM|(?:LEFT\s+|RIGHT\s+|INNER\s+|OUTER\s+|FULL\s+)?JOIN|WHERE|GROUP\s+BY|HAVING|ORDER\s+BY|LIMIT)\b"
+
+# --- fixed values: marks of schema texts: primary key, and the lines that the line filter always keeps ----------
+KEY_MARK = " [PK]"
+KEPT_LINES = ("Table", "Foreign")
+
 # --- fixed values: reward weights (exec, format, syntax, schema, ngram) ----
 REWARD_WEIGHTS = {"exec": 1.0, "format": 0.1, "syntax": 0.1, "schema": 0.2, "ngram": 0.1}
 

@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import ALL_TAGS, CLAUSES
+from ..constants import ALL_TAGS, CLAUSES, KEYWORD_RE
 from .text import _c, let, py_strip, rstrip_chars
 
-# Keyword pattern of the clause split: SELECT, FROM, one optional join word +
-# JOIN, WHERE, GROUP BY, HAVING, ORDER BY, LIMIT (case-insensitive, whole words).
-KEYWORD_RE = (r"(?i)\b(SELECT|FROM|(?:LEFT\s+|RIGHT\s+|INNER\s+|OUTER\s+|FULL\s+)?JOIN"
-              r"|WHERE|GROUP\s+BY|HAVING|ORDER\s+BY|LIMIT)\b")
 _MARK, _SEP = "\u0001", "\u0002"
 
 # Processed keyword text -> clause (JOIN is matched by containment instead).

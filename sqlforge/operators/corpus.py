@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CLAUSES, SYSTEM_TEXT
+from ..constants import CLAUSES, KEY_MARK, SYSTEM_TEXT
 from ..functions.clauses import clause_output, split_clauses
 from ..functions.prompts import chat_messages, sft_user_text
 from ..session import materialize
@@ -45,7 +45,7 @@ def serialize_schema_typed(catalog: DataFrame) -> DataFrame:
 
 def serialize_schema(catalog: DataFrame, fks: DataFrame | None = None, compact: bool = False) -> DataFrame:
     """C4: compact 't(c1 [PK], c2)' lines or 'Table t:' with '  - col' bullets; then the foreign-key block."""
-    col_text = F.concat(F.col("col_name"), F.when(F.col("is_pk"), F.lit(" [PK]")).otherwise(F.lit("")))
+    col_text = F.concat(F.col("col_name"), F.when(F.col("is_pk"), F.lit(KEY_MARK)).otherwise(F.lit("")))
     per_table = catalog.groupBy("db_id", "table_ord", "table_name").agg(
         F.array_sort(F.collect_list(F.struct("col_ord", col_text.alias("t")))).alias("cols"))
     names = F.transform("cols", lambda c: c["t"])
