@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_order_by, normalize_sql
+from ..session import materialize
 from .ranking import group_row_number
 
 
@@ -68,15 +69,34 @@ def _mixed_match(rows: DataFrame, flags: DataFrame) -> DataFrame:
     return _equal_lists(numbered, F.when(F.col("ordered"), F.col("row_no").cast("long")).otherwise(F.col("sorted_no")))
 
 
+def fingerprint_match(rows: DataFrame) -> DataFrame:
+    """(sample_id, maybe): False where the two sides can't hold the same rows.
+
+    The fingerprint of a side is the number of its rows and the sums of both halves of their hashes, which don't depend on the
+    order. Sides with equal lists have equal fingerprints, so different ones settle a mismatch for good, in any order; only
+    equal ones are left to compare. One aggregate with map-side combine: a result of any size is three numbers a task.
+    """
+    h = F.xxhash64("row_key")
+    sign = F.when(F.col("side") == "pred", F.lit(1)).otherwise(F.lit(-1)).cast("long")
+    parts = [sign, sign * h.bitwiseAND(F.lit(0xFFFFFFFF)), sign * F.shiftrightunsigned(h, 32)]
+    sums = _keyed(rows).groupBy("sample_id").agg(*(F.sum(p.cast("decimal(20,0)")).alias(f"s{k}") for k, p in enumerate(parts)))
+    return sums.select("sample_id", ((F.col("s0") == 0) & (F.col("s1") == 0) & (F.col("s2") == 0)).alias("maybe"))
+
+
 def _row_match(rows: DataFrame, sides: DataFrame, pred_flag: str, gold_flag: str) -> DataFrame:
-    """Match per sample; sides flagged ordered keep row order, others are sorted."""
-    flags = sides.select("sample_id", F.col(pred_flag).alias("po"), F.col(gold_flag).alias("go"))
+    """Match per sample; sides flagged ordered keep row order, others are sorted.
+
+    Rows are compared only where the fingerprints of both sides agree (:func:`fingerprint_match`).
+    """
+    first = materialize(fingerprint_match(rows), "row-fingerprints")
+    flags = sides.select("sample_id", F.col(pred_flag).alias("po"), F.col(gold_flag).alias("go")) \
+        .join(first.filter("maybe").select("sample_id"), "sample_id")
+    settled = first.filter(~F.col("maybe")).select("sample_id", F.lit(False).alias("same"))
     alike = _same_order_match(rows, flags.filter(F.col("po") == F.col("go")).select("sample_id", F.col("po").alias("ordered")))
     if pred_flag == gold_flag:
-        return alike
+        return settled.unionByName(alike)
     mixed = _mixed_match(rows, flags.filter(F.col("po") != F.col("go")))
-    return flags.select("sample_id").join(alike, "sample_id", "left").join(mixed.withColumnRenamed("same", "_mixed"), "sample_id", "left") \
-        .select("sample_id", F.coalesce("same", "_mixed").alias("same")).filter(F.col("same").isNotNull())
+    return settled.unionByName(alike).unionByName(mixed)
 
 
 def execution_match(rows: DataFrame, status: DataFrame) -> DataFrame:
