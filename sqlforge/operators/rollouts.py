@@ -14,19 +14,40 @@ from pyspark.sql import functions as F
 
 from ..constants import ADV_EPS, CLIP_EPS, FLAT_EPS, GRAD_ACCUM, KL_BETA, LOG_EVERY
 from ..functions.prompts import reflection_flat, reflection_messages, reflection_prompt
+from ..session import materialize
 from .ranking import group_row_number
 
+MAP_BUCKETS = 256      # of 32,768 bits each
+
+
+def may_match(rows: DataFrame, wanted: DataFrame, col: str) -> DataFrame:
+    """The rows whose ``col`` may be a value of ``wanted``: all that are, and few others.
+
+    The values set bits of a map of ``MAP_BUCKETS`` x 32,768 bits, 1 MB whatever their number; it is built by aggregates with
+    map-side combine, sent to the rows, and each row tests its bit. With so many values that the map is full, all rows pass.
+    """
+    place = F.pmod(F.xxhash64(col), F.lit(MAP_BUCKETS * 32_768))
+    bucket, bit = F.floor(place / 32_768).cast("int"), F.pmod(place, F.lit(32_768)).cast("int")
+    bits = wanted.filter(F.col(col).isNotNull()).select(bucket.alias("_bucket"), bit.cast("long").alias("_bit")) \
+        .groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    # A bucket's bits are 4096 bytes, the bit of place p in byte p / 8 from the lowest bit up.
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit / 8 as int) + 1, 1)")), 16, 10).cast("int")
+    tested = rows.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(materialize(bits, "question-map")), "_bucket") \
+        .filter(F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod("_bit", F.lit(8)))), F.lit(2)) == 1)
+    return tested.select(*rows.columns)
+
 
 def reflection_set(stage1: DataFrame, corpus: DataFrame, only_wrong: bool = True,
                    order_col: str = "sample_id") -> DataFrame:
     """G1: drop correct rows (when ``only_wrong``); schema and evidence looked up by question text.
 
     On duplicate questions the last corpus row (largest ``order_col``) wins;
-    no match gives ''. The lookup is an aggregate (max_by) plus a left join.
+    no match gives ''. The lookup is an aggregate (max_by) plus a left join, over the corpus rows
+    whose question may be wanted (:func:`may_match`): the texts of others aren't shuffled.
     """
-    lookup = corpus.groupBy("question").agg(
-        F.max_by(F.struct("schema", "evidence"), F.col(order_col)).alias("hit"))
     s = stage1.filter(~F.coalesce(F.col("ex"), F.lit(False))) if only_wrong else stage1
+    lookup = may_match(corpus, s, "question").groupBy("question").agg(
+        F.max_by(F.struct("schema", "evidence"), F.col(order_col)).alias("hit"))
     return (s.drop("schema", "evidence").join(lookup, "question", "left")
             .withColumn("schema", F.coalesce(F.col("hit.schema"), F.lit("")))
             .withColumn("evidence", F.coalesce(F.col("hit.evidence"), F.lit("")))
