@@ -173,4 +173,4 @@ class SparseIndex:
         w = Window.partitionBy("class", "g").orderBy(F.col("sim").desc(), F.col("_ord").asc())
         best = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= self.k).join(self.items, ["g", "_ord"])
         cols = list(dict.fromkeys([*self.keys, self.item_id, self.order_key]))
-        return members.join(materialize(best, "sparse-best"), ["class", "g"]).select(F.col("q").alias(q_id), *cols, "sim", "rank")
+        return members.join(best, ["class", "g"]).select(F.col("q").alias(q_id), *cols, "sim", "rank")
