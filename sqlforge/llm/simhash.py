@@ -80,7 +80,9 @@ def with_keys(prints: DataFrame) -> DataFrame:
                 rows, keys = golay.joint_keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "fp"])
 
-    return prints.select("_fp").mapInArrow(run, "key long, fp long")
+    # A fingerprint is 8 bytes here and 173 rows behind: dealt by number, so that small partitions aren't merged into a few tasks.
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.select("_fp").repartition(n, "_fp").mapInArrow(run, "key long, fp long")
 
 
 class Forest:
