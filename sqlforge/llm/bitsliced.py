@@ -13,13 +13,14 @@ boundary, taken by one bit-sliced comparison and scored exactly. No row that bel
 so recall is 1.
 
 Scale. Every row is indexed in place, without a shuffle. The query set meets every candidate block: query blocks
-are copied to groups of candidate blocks and joined on the group, so a task holds one block of each at a time,
-and leaves at most k rows per query and block. Spark cuts these to k per query before they are exchanged.
+are copied to groups of candidate blocks, ``GROUPS_PER_CORE`` for each core of the cluster, and joined on the group, so copies don't grow
+with the candidates. A task holds one block of each at a time and leaves at most k rows per query and block. Spark cuts these to k per query before they are exchanged.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; vectors of another
 length than the query's are no candidates; a query is excluded from its own candidates as a row, so a repeated row
 is a candidate of its twin; equal scores go to the smaller vec_id (null last); with fewer than k candidates all are
-returned; queries are rows whose vec_id is divisible by 100 (a null id never is).
+returned; queries are rows whose vec_id is divisible by 100 (a null id never is). Integers and scores have 64 bits: components
+saturate there and scores are defined as long as they fit.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ K = 10
 SCALE = 1024.0
 BLOCK_ROWS = 2048
 QUERY_ROWS = 64
+GROUPS_PER_CORE = 4   # groups of candidate blocks, each of which gets a copy of the queries
 SLICES = 6
 WEIGHT_BITS = 8
 
@@ -193,13 +195,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) for rows ``queries`` of ``vectors`` (both from ``valid``)."""
     cands = materialize(blocked(vectors, BLOCK_ROWS).withColumn("_block", F.monotonically_increasing_id()), "slices")
     asked = max(1, -(-queries.count() // QUERY_ROWS))
-    groups = max(1, cands.count())
+    # A group has many candidate blocks: queries are copied once per group, a few groups a core, whatever the number of blocks.
+    groups = max(1, min(cands.count(), GROUPS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism))
     asks = materialize(blocked(queries.repartition(asked), QUERY_ROWS), "queries")
     dealt = asks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "dim", F.col("ids").alias("q_ids"),
                         F.col("rows").alias("q_rows"), F.col("v").alias("q_v"))
-    number = Window.orderBy("_block")
-    places = cands.select("_block").withColumn("g", (F.row_number().over(number) - 1).cast("int"))   # one row per block
-    pairs = cands.join(places, "_block").join(dealt, ["g", "dim"]).drop("g", "_block")
+    pairs = cands.withColumn("g", F.pmod(F.xxhash64("_block"), F.lit(groups)).cast("int")).join(dealt, ["g", "dim"]).drop("g", "_block")
 
     def run(batches):
         import pyarrow as pa
