@@ -1,34 +1,34 @@
-"""Exact top-k by sparse cosine over a block-wise, weight-bounded inverted index.
+"""Exact top-k by sparse cosine over lists in large blocks.
 
 A plain term join forms every pair that shares a word, and a common word pairs most questions with
 most items of a group. Here no pair is a row:
 
 1. *Classes.* Only terms that some item of the group holds can add to a dot product. Queries that agree in the
    weights of these terms have equal sums with every item, so they are one class, searched once.
-2. *Lists.* The items of a group lie in blocks of about ``BLOCK`` rows. A block has one list per term (places and
-   weights) and the term's largest weight in it.
-3. *Bounds.* A class's weights times these largest weights, summed, bound what any item of the block can reach. The block with
-   the best bound is searched first; its k-th value is the class's threshold, and of the other blocks only those
-   whose bound reaches it are searched.
-4. *Search.* A list meets the classes of one class block that hold its term and search its block, as one row. A task
-   adds the lists of a block up, rarest terms first. What the terms still to come can add is known from their
-   largest weights; a class whose best item can't reach the threshold any more is left out of the long lists of common words.
-
-Sums are complete for every item that is given back, so the values are exact; equal values are ordered by the
-item's order key. A common term costs one row per block and class block, and no key holds more than a block's lists.
+2. *Lists.* The items of a group lie in blocks of about ``BLOCK`` rows. A block has one list per term (places and weights).
+3. *Search.* A group's classes lie in blocks of that size, too. One task takes one block of lists and one block of classes
+   and adds the lists up for some classes at a time: short lists where they are, lists of common words as a
+   product of matrices, and only for classes that can still reach their threshold. Only the k best of a class leave it.
+
+Lists are copied once per class block and classes once per block of lists, so what is shuffled and kept on disk is the input
+times the number of blocks of its group, not a row per class, word and small block. The work in the tasks remains
+classes times items of a group: whole sums are what makes the values exact. Equal values are ordered by the item's order key.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SIM_SCALE
 from ..session import materialize
 
-BLOCK = 512       # items of a block and classes of a class block, about
+BLOCK = 16384     # items of a block and classes of a class block, about
+SUMS = 1 << 22    # sums that a task holds at a time
+COMMON = 32       # a word that one item of so many holds is common
 SLACK = 1e-8      # values that differ by less may be equal after rounding to SIM_SCALE digits
 
 
@@ -56,36 +56,51 @@ def pair_dots(pairs: DataFrame, left: DataFrame, left_ids: list[str], right: Dat
 def best_of_block(lists: list[tuple], taus: dict, k: int) -> list[tuple]:
     """The k best items of a block for each class: (class, order key, value).
 
-    ``lists`` have (order keys, weights, classes, class weights), longest last; ``taus`` maps a class to its threshold.
+    ``lists`` have (order keys, weights, classes, class weights); ``taus`` maps a class to its threshold.
     """
-    classes = {c: r for r, c in enumerate(taus)}
-    orders = np.unique(np.concatenate([np.asarray(o, np.int64) for o, *_ in lists]))
-    tau = np.array(list(taus.values())) - SLACK
-    entries, rest = [], np.zeros(len(classes))
-    for order, weight, members, member_weight in lists:
-        e = (np.searchsorted(orders, np.asarray(order, np.int64)), np.asarray(weight), np.fromiter((classes[c] for c in members), np.int64, len(members)),
-             np.asarray(member_weight))
-        entries.append(e)
-        rest[e[2]] += e[3] * e[1].max()
-    sums = np.zeros((len(classes), len(orders)))
-    alive = rest >= tau
-    for n, (at, weight, rows, row_weight) in enumerate(entries):
-        if n % 64 == 0:
-            alive &= sums.max(axis=1) + rest >= tau
-        rest[rows] -= row_weight * weight.max()
-        on = alive[rows]
-        if on.any():
-            sums[np.ix_(rows[on], at)] += np.outer(row_weight[on], weight)
-    sums = np.round(sums, SIM_SCALE)
-    out = []
-    for c, r in classes.items():
-        if not alive[r]:
-            continue
-        s = sums[r]
-        least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else 0.0
-        some = np.flatnonzero((s >= least) & (s > 0) & (s >= tau[r]))
-        some = some[np.lexsort((orders[some], -s[some]))][:k]
-        out += [(c, int(o), float(v)) for o, v in zip(orders[some], s[some])]
+    places = {c: r for r, c in enumerate(taus)}
+    lens = [len(o) for o, *_ in lists]
+    orders, at = np.unique(np.concatenate([np.asarray(o, np.int64) for o, *_ in lists]), return_inverse=True)
+    ends = np.cumsum(lens)
+    at = [at[e - n:e] for e, n in zip(ends, lens)]
+    weights = [np.asarray(w, np.float64) for _, w, *_ in lists]
+    tops = np.array([w.max() for w in weights])
+    # The classes' own words: row, list, weight, in the order of rows.
+    rows = np.concatenate([np.fromiter((places[c] for c in m), np.int64, len(m)) for *_, m, _ in lists])
+    of = np.repeat(np.arange(len(lists)), [len(m) for *_, m, _ in lists])
+    qw = np.concatenate([np.asarray(x, np.float64) for *_, x in lists])
+    # A key that is given more than once counts once.
+    _, order = np.unique(rows * len(lists) + of, return_index=True)
+    rows, of, qw = rows[order], of[order], qw[order]
+    # The longest lists as rows of a matrix.
+    step, most = max(1, SUMS // len(orders)), max(1, 2 * SUMS // len(orders))
+    common = [x for x in np.argsort(lens, kind="stable")[::-1][:most].tolist() if lens[x] * COMMON >= len(orders)]
+    column = np.full(len(lists), -1)
+    column[common] = np.arange(len(common))
+    dense = np.zeros((len(common), len(orders)))
+    for n, x in enumerate(common):
+        dense[n, at[x]] = weights[x]
+    names, tau, out = list(taus), np.array(list(taus.values())) - SLACK, []
+    for first in range(0, len(names), step):
+        last = min(first + step, len(names))
+        a, b = np.searchsorted(rows, [first, last])
+        r, x, w = rows[a:b] - first, of[a:b], qw[a:b]
+        in_matrix = column[x] >= 0
+        sums, asked, rest = np.zeros((last - first, len(orders))), np.zeros((last - first, len(common))), np.zeros(last - first)
+        for i, l, v in zip(r[~in_matrix].tolist(), x[~in_matrix].tolist(), w[~in_matrix].tolist()):
+            sums[i, at[l]] += v * weights[l]
+        asked[r[in_matrix], column[x[in_matrix]]] = w[in_matrix]
+        np.add.at(rest, r[in_matrix], w[in_matrix] * tops[x[in_matrix]])
+        alive = np.flatnonzero(sums.max(axis=1) + rest >= tau[first:last])
+        sums = sums[alive] + asked[alive] @ dense
+        for c, s in zip((alive + first).tolist(), sums):
+            least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else 0.0
+            some = np.flatnonzero(s >= least - SLACK)      # values that may be equal to the k-th when rounded
+            v = np.round(s[some], SIM_SCALE)
+            held = (v > 0) & (v >= tau[c])
+            some, v = some[held], v[held]
+            best = np.lexsort((orders[some], -v))[:k]
+            out += [(names[c], int(orders[some[n]]), float(v[n])) for n in best.tolist()]
     return out
 
 
@@ -103,8 +118,7 @@ class SparseIndex:
         blocks = self.items.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
         placed = self.items.join(blocks, "g").withColumn("blk", F.pmod(F.xxhash64("_ord"), F.col("_n")).cast("int"))
         entries = item_vecs.select(*keys, item_id, "term", "w").join(placed, [*keys, item_id] if item_id not in keys else keys)
-        self.lists = materialize(entries.groupBy("g", "blk", "term").agg(
-            F.collect_list(F.struct("_ord", "w")).alias("entries"), F.max("w").alias("top")), "sparse-lists")
+        self.lists = materialize(entries.groupBy("g", "blk", "term").agg(F.collect_list(F.struct("_ord", "w")).alias("entries")), "sparse-lists")
 
     def classes(self, queries: DataFrame, query_vecs: DataFrame, q_id: str) -> tuple[DataFrame, DataFrame]:
         """(q, g, class): the class of every query; (class, g, _lv): its vector. Without a known term: an empty vector."""
@@ -123,42 +137,46 @@ class SparseIndex:
 
     def search(self, classes: DataFrame) -> DataFrame:
         """(class, g, _ord, sim): the items of positive value that can be among a class's k best."""
-        terms = classes.select("class", "g", F.explode("_lv").alias("_t")).select("class", "g", "_t.term", F.col("_t.w").alias("qw"))
-        tops = self.lists.select("g", "blk", "term", "top")
-        bounds = materialize(terms.join(tops, ["g", "term"]).groupBy("class", "g", "blk").agg(F.sum(F.col("qw") * F.col("top")).alias("bound")),
-                             "sparse-bounds")
-        w = Window.partitionBy("class", "g").orderBy(F.col("bound").desc(), "blk")
-        first = bounds.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).select("class", "g", "blk", F.lit(0.0).alias("tau"))
         n = classes.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / self.block).alias("_n"))
-        terms = terms.join(n, "g").withColumn("cblk", F.pmod(F.xxhash64("class"), F.col("_n")).cast("int")).drop("_n")
-        best = materialize(self._sums(terms, first), "sparse-first")
-        w = Window.partitionBy("class", "g").orderBy(F.col("sim").desc())
-        tau = best.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == self.k).select("class", "g", F.col("sim").alias("tau"))
-        others = bounds.join(first.select("class", "g", "blk"), ["class", "g", "blk"], "left_anti").join(tau, ["class", "g"], "left") \
-            .withColumn("tau", F.coalesce("tau", F.lit(0.0))).filter(F.col("bound") >= F.col("tau") - SLACK)
-        return best.unionByName(self._sums(terms, others.select("class", "g", "blk", "tau")))
+        cblk = F.pmod(F.xxhash64("class"), F.col("_n")).cast("int").alias("cblk")
+        terms = classes.join(n, "g").select("class", "g", cblk, F.explode("_lv").alias("_t")) \
+            .select("class", "g", "cblk", "_t.term", F.col("_t.w").alias("qw"))
+        blocks = self.lists.select("g", "blk").distinct()
+        return self._sums(terms, classes.select("class", "g").join(blocks, "g").withColumn("tau", F.lit(0.0)))
 
     def _sums(self, terms: DataFrame, wanted: DataFrame) -> DataFrame:
         """The k best of each wanted (class, g, blk) with threshold tau."""
-        held = terms.join(wanted, ["class", "g"]).groupBy("g", "blk", "cblk", "term").agg(F.collect_list(F.struct("class", "qw", "tau")).alias("of"))
-        rows = held.join(self.lists, ["g", "blk", "term"])
+        held = terms.join(wanted, ["class", "g"])
+        # Every class block meets the lists of every block of its group: a task's rows are two blocks.
+        places = terms.select(F.col("g").alias("_g"), F.col("cblk").alias("_cblk")).distinct()
+        lists = self.lists.join(places, F.col("g") == F.col("_g")).select("_g", F.col("blk").alias("_blk"), "_cblk", "term", "entries")
         kind, k = dict(terms.dtypes)["class"], self.k
 
-        def run(key, table):
-            entries, of = table.column("entries").combine_chunks(), table.column("of").combine_chunks()
-            names, e, o = of.values.field("class"), entries.offsets.to_numpy(), of.offsets.to_numpy()
-            order, weight, qw, tau = (x.to_numpy() for x in (entries.values.field("_ord"), entries.values.field("w"), of.values.field("qw"), of.values.field("tau")))
-            members = names.to_pylist()
-            taus = dict(zip(members, tau.tolist()))
-            lists = [(order[e[r]:e[r + 1]], weight[e[r]:e[r + 1]], members[o[r]:o[r + 1]], qw[o[r]:o[r + 1]])
-                     for r in np.argsort(np.diff(e), kind="stable").tolist()]
-            best = best_of_block(lists, taus, k)
-            return pa.table({"class": pa.array([b[0] for b in best], names.type),
+        def run(key, of, lists):
+            names = of.column("class").combine_chunks() if of.num_rows else pa.array([], of.schema.field("class").type)
+            best = []
+            if of.num_rows and lists.num_rows:
+                coded = names.dictionary_encode()
+                row, tau = coded.indices.to_numpy(), of.column("tau").to_numpy()
+                taus = dict(zip(row.tolist(), tau.tolist()))
+                place = pc.index_in(of.column("term"), value_set=lists.column("term").combine_chunks()).to_numpy()
+                some = np.flatnonzero(place >= 0) if place.dtype.kind == "i" else np.flatnonzero(~np.isnan(place))
+                some = some[np.argsort(place[some], kind="stable")]
+                place, row, qw = place[some].astype(np.int64), row[some], of.column("qw").to_numpy()[some]
+                entries = lists.column("entries").combine_chunks()
+                e = entries.offsets.to_numpy()
+                order, weight = (entries.values.field(c).to_numpy() for c in ("_ord", "w"))
+                met, start = np.unique(place, return_index=True)
+                end = np.append(start[1:], len(place))
+                found = [(order[e[x]:e[x + 1]], weight[e[x]:e[x + 1]], row[a:b], qw[a:b]) for x, a, b in zip(met.tolist(), start.tolist(), end.tolist())]
+                best = best_of_block(found, taus, k) if found else []
+                names = coded.dictionary
+            return pa.table({"class": names.take(pa.array([b[0] for b in best], pa.int64())),
                              "g": pa.array([key[0].as_py()] * len(best), pa.string()), "_ord": pa.array([b[1] for b in best], pa.int64()),
                              "sim": pa.array([b[2] for b in best], pa.float64())})
 
-        return rows.select("g", "blk", "cblk", "entries", "of").groupBy("g", "blk", "cblk") \
-            .applyInArrow(run, f"class {kind}, g string, _ord long, sim double")
+        left = held.select("g", "blk", "cblk", "class", "term", "qw", "tau").groupBy("g", "blk", "cblk")
+        return left.cogroup(lists.groupBy("_g", "_blk", "_cblk")).applyInArrow(run, f"class {kind}, g string, _ord long, sim double")
 
     def topk(self, queries: DataFrame, query_vecs: DataFrame, q_id: str) -> DataFrame:
         """(q_id, keys, item_id, order_key, sim, rank): the k best items of each query, zeros filled in item order."""

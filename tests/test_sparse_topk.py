@@ -93,3 +93,21 @@ def test_a_class_under_its_threshold_leaves_the_long_lists():
     best = best_of_block(lists, {"c": 0.0, "d": 0.99}, 2)
     assert best[0] == ("c", 1, round(0.9 + 0.03, 9)) and len(best) == 2 and all(b[0] == "c" for b in best)
     assert np.isclose(best[1][2], 0.03)
+
+
+def test_classes_meet_large_blocks_of_lists_as_few_rows(spark):
+    items = [(n, "a", ["the", f"r{n}"]) for n in range(2000)]
+    queries = [(n, "a", ["the", f"r{n}", "of"]) for n in range(300)]
+    i, iv = frames(spark, items, "hist_ord")
+    q, qv = frames(spark, queries, "q_id")
+    ix = SparseIndex(i, iv, ["db_id"], "hist_ord", "hist_ord", 3)
+    met, real = [], ix._sums
+
+    def counted(terms, wanted):
+        met.append(terms.join(wanted, ["class", "g"]).count())
+        return real(terms, wanted)
+
+    ix._sums = counted
+    got = {(r.q_id, r["rank"]): (r.hist_ord, r.sim) for r in ix.topk(q, qv.drop("db_id"), "q_id").collect()}
+    same(got, plain(queries, items, 3))
+    assert sum(met) == 600           # two known words a class, one block
