@@ -13,6 +13,8 @@ DRIVER_TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+SPREAD_ROWS = 10_000      # rows of a task that makes texts of them
+
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "sqlforge") -> SparkSession:
@@ -69,10 +71,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
-    """Register driver tables as temporary views (lazy: only footers are read)."""
+def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """``df`` dealt to tasks of about ``rows`` rows, if it has more.
+
+    Short rows of which long texts are made lie in one or two splits, however many they are: the work that follows would be
+    one or two tasks. The rows are counted (of a Parquet table from its footers) and dealt before the texts are made.
+    """
+    n = -(-df.count() // rows)
+    return df.repartition(n) if n > 1 else df
+
+
+def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES, dealt=()) -> None:
+    """Register driver tables as temporary views (lazy: only footers are read); the ``dealt`` ones through :func:`spread`."""
     for name in names:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
+        df = read_table(spark, sf_dir, name)
+        (spread(df) if name in dealt else df).createOrReplaceTempView(name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
