@@ -126,7 +126,8 @@ def training_log(rollouts: DataFrame, order_cols: list[str] | None = None, group
     keys = [*runs, epoch_col, group]
     per = group_rewards(rollouts, keys, keep=order_cols).join(clipped_objective(rollouts, group=keys), keys, "left")
     seq = group_row_number(per, runs, [epoch_col, *order_cols, group], "seq")
-    first = seq.groupBy(*runs, epoch_col).agg(F.min("seq").alias("_s0"))
+    # One row per epoch, written once: its size is known, so the steps aren't dealt by epoch for it.
+    first = materialize(seq.groupBy(*runs, epoch_col).agg(F.min("seq").alias("_s0")), "epoch-starts")
     seq = seq.join(first, [*runs, epoch_col]).withColumn("step", F.col("seq") - F.col("_s0")).drop("_s0")
     upd = seq.filter(~F.col("flat") & (((F.col("step") + 1) % accum) == 0))
     upd = group_row_number(upd, runs, ["seq"], "global_step")
