@@ -8,6 +8,7 @@ Python worker keeps the ids of those it has seen and asks the library only for t
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -15,6 +16,7 @@ import numpy as np
 from .common import WORKER_CACHES
 
 CACHE_PIECES = 600_000   # pieces kept by a worker; later ones are encoded each time
+CACHE_TAILED = 100_000   # pieces with marks behind the word kept as such; others are put together from the word and the marks
 LONG_PIECE = 64          # longer pieces aren't kept
 TAIL = ".,;:!?#$%&*"     # marks that both kinds of tokenizer cut off from the letters before them
 
@@ -42,30 +44,36 @@ class _Pieces(dict):
     """Piece -> its ids as little-endian unsigned 32-bit integers.
 
     A piece of letters is one pre-token, so the library's model is asked directly; ``to_model``
-    gives its spelling there, or None if the whole tokenizer must see it.
+    gives its spelling there, or None if the whole tokenizer must see it. The marks behind a word are
+    pre-tokens of their own, so such a piece is the word's ids and the marks': a word is asked for once, whatever follows it.
     """
 
     def __init__(self, tokenizer, lead: str, to_model):
         super().__init__()
-        self.tokenizer, self.model, self.lead, self.to_model, self.tails = tokenizer, tokenizer.model, lead, to_model, {}
+        self.tokenizer, self.model, self.lead, self.to_model = tokenizer, tokenizer.model, lead, to_model
+        self.led, self.tails, self.n_tailed = _byte_spelling(lead), {}, 0
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         core = piece.rstrip(TAIL)
-        spelled = self.to_model(self.lead + core) if core.isalpha() else None
+        spelled = self.to_model(core) if core.isalpha() else None
         if spelled is None:
             ids = self.encode(piece if piece[:1] == "\n" else self.lead + piece)
-        else:
-            ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        elif len(core) < len(piece):
             tail = piece[len(core):]
-            if tail:
-                if tail not in self.tails:
-                    if len(self.tails) >= 1000:
-                        self.tails.clear()
-                    self.tails[tail] = self.encode(tail)
-                ids += self.tails[tail]
+            if tail not in self.tails:
+                if len(self.tails) >= 1000:
+                    self.tails.clear()
+                self.tails[tail] = self.encode(tail)
+            ids = self[core] + self.tails[tail]
+            if self.n_tailed >= CACHE_TAILED:
+                return ids
+            self.n_tailed += len(piece) <= LONG_PIECE
+        else:
+            found = [t.id for t in self.model.tokenize(self.led + spelled)]
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= LONG_PIECE and len(self) < CACHE_PIECES:
             self[piece] = ids
         return ids
@@ -83,6 +91,8 @@ _BYTES = str.maketrans(_byte_characters())
 
 
 def _byte_spelling(word: str) -> str:
+    if word.isascii() and word.isalpha():
+        return word
     return word.encode().decode("latin-1").translate(_BYTES)
 
 
@@ -102,8 +112,10 @@ class SpaceLed:
     that holds any other white space is encoded in one go.
     """
 
-    OTHER = re.compile(r"[^\S \n]")
-    DOUBLE = re.compile(r"[ \n]{2}")
+    # White space beside space and newline; a search for each is faster than one pattern for all.
+    OTHER = tuple("\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+    ASCII_OTHER = OTHER[:8]
+    DOUBLE = ("  ", " \n", "\n ", "\n\n")
     RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
     def __init__(self, path: str):
@@ -114,9 +126,9 @@ class SpaceLed:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.OTHER.search(text) or self.special.search(text):
+        if any(c in text for c in (self.ASCII_OTHER if text.isascii() else self.OTHER)) or self.special.search(text):
             return self.first.encode(text)
-        if self.DOUBLE.search(text):
+        if any(c in text for c in self.DOUBLE):
             return b"".join(map(self.runs.__getitem__, self.RUNS.findall(text)))
         head, *tail = text.replace("\n", " \n").split(" ")
         return (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, tail))

@@ -29,6 +29,33 @@ def test_pieces_give_the_ids_of_whole_texts(kind, name, monkeypatch):
         assert np.frombuffer(encode(text), "<u4").tolist() == want.ids, repr(text)
 
 
+@pytest.mark.parametrize("kind,name", [(Z.SpaceLed, "byte_bpe_50k.json"), (Z.SpaceFree, "word_bpe_49k.json")])
+def test_a_word_is_asked_for_once_whatever_marks_follow_it(kind, name, monkeypatch):
+    monkeypatch.setattr(Z, "CACHE_TAILED", 1)
+    encode = kind(Z.vocabulary(name))
+    pieces = encode.rest if kind is Z.SpaceLed else encode.pieces
+    asked, model = [], pieces.model
+
+    class Model:
+        def tokenize(self, word):
+            asked.append(word)
+            return model.tokenize(word)
+
+    pieces.model = Model()
+    text = "a" + "".join(f" word{t}" for t in ("", ",", ".", "!?", "...", ",")) + " other."
+    from tokenizers import Tokenizer
+    want = Tokenizer.from_file(Z.vocabulary(name)).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encode(text), "<u4").tolist() == want
+    assert len([w for w in asked if w.endswith("word")]) == 1
+    assert sum(p not in ("a", "", "word", "other") for p in pieces) == 1
+
+
+def test_other_white_space_is_all_that_python_knows():
+    import sys
+    other = {c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()} - {" ", "\n"}
+    assert set(Z.SpaceLed.OTHER) == other and set(Z.SpaceLed.ASCII_OTHER) == {c for c in other if c.isascii()}
+
+
 def write(tmp_path, docs, frame_ids=100):
     with open(tmp_path / "x.tok", "wb") as f:
         w = T.TokenWriter(f, frame_ids)
