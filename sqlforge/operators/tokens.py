@@ -36,6 +36,12 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(col, F.lit(TOKEN_RE), 0)
 
 
+def full_tokens(texts: DataFrame) -> Column:
+    """Tokens of the full text. With an ``answer`` they are the prompt's and the answer's: the prompt ends in a colon, a
+    token of its own, so none reaches over its end."""
+    return F.concat(tokens("prompt"), tokens("answer")) if "answer" in texts.columns else tokens("full")
+
+
 def sft_texts(sft: DataFrame, system: str | None = None) -> DataFrame:
     """Prompt text (flat chat form) and full text of each training example."""
     sys_c = F.lit(system) if system is not None else F.coalesce(F.col("system"), F.lit(SYSTEM_TEXT))
@@ -43,7 +49,7 @@ def sft_texts(sft: DataFrame, system: str | None = None) -> DataFrame:
     asst = F.col("conversations")[1]["content"]
     prompt = F.concat(sys_c, F.lit("\n\nUser: "), user, F.lit("\nAssistant:"))
     carried = [c for c in ("source", "clauses", "query") if c in sft.columns]
-    return sft.select("sample_id", *carried, prompt.alias("prompt"), F.concat(prompt, asst).alias("full"))
+    return sft.select("sample_id", *carried, prompt.alias("prompt"), asst.alias("answer"), F.concat(prompt, asst).alias("full"))
 
 
 def build_vocab(texts: DataFrame, col: str = "full") -> DataFrame:
@@ -64,14 +70,17 @@ def encoded(texts: DataFrame, max_length: int = MAX_LENGTH, block: int = TOKEN_B
     dictionary, and (blk, token, n) for the dictionary, its tokens and how often the block's whole texts hold each.
     """
     kind = dict(texts.dtypes)["sample_id"]
-    rows = texts.select("sample_id", F.size(tokens("prompt")).alias("prompt_len"), tokens("full").alias("toks")).filter(F.size("toks") > 0)
+    rows = texts.select("sample_id", F.size(tokens("prompt")).alias("prompt_len"), full_tokens(texts).alias("toks"))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
         part, made = TaskContext.get().partitionId() << 33, 0
         for b in batches:
+            # Left out here: Spark would find the tokens once more for a filter before.
+            b = b.filter(pc.greater(pc.list_value_length(b.column("toks")), 0))
             for first in range(0, b.num_rows, block):
                 some = b.slice(first, block)
                 toks = some.column("toks")
@@ -136,7 +145,7 @@ def segment_lengths(samples: DataFrame, max_length: int = MAX_LENGTH) -> DataFra
     texts = sft_texts(build_sft(samples, keep=("clauses",)))
     cols = [F.size(tokens(F.col("clauses")[c])).alias(f"n_{c}") for c in CLAUSES]
     sized = texts.select("sample_id", "source", F.size(tokens("prompt")).alias("n_prompt"), *cols,
-                         F.size(tokens("query")).alias("n_summary"), (F.size(tokens("full")) + 1).alias("n_total"))
+                         F.size(tokens("query")).alias("n_summary"), (F.size(full_tokens(texts)) + 1).alias("n_total"))
     return sized.withColumn("over_budget", F.col("n_total") > max_length)
 
 

@@ -49,3 +49,15 @@ def test_blocks_and_dictionaries(spark):
     full = {n: f"sys é\n\nUser: {u}\nAssistant:{a}" for n, u, a in TEXTS}
     assert all([dictionaries[r.blk][c] for c in r.codes] == words(full[r.sample_id])[:5] for r in texts)
     assert sum(sum(r.n) for r in enc if r.token) == sum(len(words(t)) for t in full.values())
+
+
+def test_full_texts_are_tokenised_in_two_parts(spark):
+    answers = ["", "x", ":a", "<summary>", "/clause_select>", "\u0301e 1", " \n", None, "<clause_where>\nb</clause_where>"]
+    df = spark.createDataFrame([(n, "Sys", [("u", "ask <summary"), ("a", a)]) for n, a in enumerate(answers)],
+                               "sample_id long, system string, conversations array<struct<role:string,content:string>>")
+    texts = K.sft_texts(df)
+    got = texts.select(K.full_tokens(texts).alias("a"), K.tokens("full").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and sum(r["a"] is None for r in got) == 1
+    enc = K.encoded(texts)
+    assert enc.filter("token is null").count() == len(answers) - 1
+    assert "Filter" not in enc._jdf.queryExecution().executedPlan().toString()
