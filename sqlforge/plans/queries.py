@@ -335,6 +335,7 @@ def q_exec_feedback(spark, sf):
 from ..operators import generate as GE  # noqa: E402
 from ..operators import retrieval as R  # noqa: E402
 from ..operators.corpus import serialize_schema  # noqa: E402
+from ..session import materialize  # noqa: E402
 
 
 def _catalog(spark, sf):
@@ -433,9 +434,11 @@ def q_cosine_pairs(spark, sf):
 @register("prompt_context")
 def q_prompt_context(spark, sf):
     cat, known, hist = _catalog(spark, sf), _known(spark, sf), fixture(spark, sf, "history")
-    tables = R.rank_tables(known, cat)
-    cols = R.prune_columns(known, tables, cat)
-    shots = R.fewshot(known, hist)
+    # Both feed several branches, as in R11: made once.
+    qv = materialize(R.text_vectors(known, ["q_id"], "question"), "question-vectors")
+    tables = materialize(R.rank_tables(known, cat, question_vecs=qv), "ranked-tables")
+    cols = R.prune_columns(known, tables, cat, question_vecs=qv)
+    shots = R.fewshot(known, hist, question_vecs=qv)
     ctx = R.prompt_context(known, tables, cols, shots, hist)
     return ctx.select("q_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"))
 
