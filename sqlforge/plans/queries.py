@@ -561,10 +561,9 @@ def q_rollout_rewards(spark, sf):
     gold = fixture(spark, sf, "qa_corpus").select("sample_id", F.col("query").alias("gold_sql"))
     rows, status = _results(spark, sf)
     exec_r = RW.reward_execution(rows, status)
-    a = outs.select("sample_id", "output", CL.extract_reflection(F.col("output"))["answer"].alias("answer")) \
-        .join(gold, "sample_id")
+    a = outs.select("sample_id", CL.extract_reflection(F.col("output"))["answer"].alias("answer"), RW.reward_format(F.col("output")).alias("r_format"))
+    a = materialize(a.join(gold, "sample_id"), "answers")      # feeds validity, n-grams and schema
     df = (_syntax(spark, sf, a, "answer")
-          .withColumn("r_format", RW.reward_format(F.col("output")))
           .withColumn("r_schema", RW.reward_schema(F.col("answer"), F.col("gold_sql")))
           .join(RW.reward_ngram(a, "answer"), "sample_id")
           .join(exec_r, "sample_id"))

@@ -55,3 +55,29 @@ def test_reward_total_weights(spark):
                                "r_exec double, r_format double, r_syntax double, r_schema double, r_ngram double")
     got = [r["r_total"] for r in RW.reward_total(df).collect()]
     assert abs(got[0] - 1.0) < 1e-12 and abs(got[1] - (0.1 + 0.05) / 1.5) < 1e-12
+
+
+def test_reward_ngram_texts_of_one_key_count_together_and_no_gram_is_a_row(spark):
+    df = spark.createDataFrame([(1, "a b", "b c"), (1, "b c b c", "a b"), (2, "a b a b c", "a b c a"), (None, "x y", "x y")],
+                               "sample_id long, pred_sql string, gold_sql string")
+    out = RW.reward_ngram(df)
+    got = {r["sample_id"]: round(r["r_ngram"], 12) for r in out.collect()}
+    # 1: pred {ab 1, bc 2, cb 1}, gold {bc 1, ab 1}; 2: pred {ab 2, ba 1, bc 1}, gold {ab 1, bc 1, ca 1}
+    assert got == {1: round(2 * (2 / 4) * 1 / (2 / 4 + 1), 12), 2: round(2 * (2 / 4) * (2 / 3) / (2 / 4 + 2 / 3), 12), None: 1.0}
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reward_execution_counts_cells_only_where_rows_differ(spark, monkeypatch):
+    seen = []
+    counted = RW.result_token_f1
+
+    def watched(rows, samples):
+        seen.append({r["sample_id"] for r in rows.select("sample_id").collect()})
+        return counted(rows, samples)
+    monkeypatch.setattr(RW, "result_token_f1", watched)
+    rows = _rows(spark, [(s, side, 1, [f"a {side if s in (2, 3) else 'b'}"], f"('a {side if s in (2, 3) else 'b'}',)") for s in (1, 2, 3) for side in ("pred", "gold")]
+                 + [(5, "gold", 1, ["a"], "('a',)")])
+    status = spark.createDataFrame([(s, side, "error" if (s, side) == (3, "pred") else "ok", "select 1") for s in (1, 2, 3, 4, 5) for side in ("pred", "gold")]
+                                   + [(6, "pred", "ok", None)], "sample_id long, side string, status string, sql string")
+    got = {r["sample_id"]: r["r_exec"] for r in RW.reward_execution(rows, status).collect()}
+    assert got == {1: 1.0, 2: 0.5, 3: 0.0, 4: 1.0, 5: 0.0, 6: 0.0} and seen == [{2, 5}]
