@@ -13,7 +13,9 @@ then corpus tokens from 21 by (count desc, token). Every sample keeps only its f
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ PAD_ID, EOS_ID, UNK_ID, FIRST_TAG_ID = 0, 1, 2, 3
 FIRST_WORD_ID = FIRST_TAG_ID + len(ALL_TAGS)
 IGNORE = -100
 TOKEN_BLOCK = 512     # texts that share a dictionary
+FEATURES = 1 << 20    # ids of one kind that a tokenizer's worker holds at a time
 
 
 def tokens(c) -> Column:
@@ -73,7 +76,6 @@ def encoded(texts: DataFrame, max_length: int = MAX_LENGTH, block: int = TOKEN_B
     rows = texts.select("sample_id", F.size(tokens("prompt")).alias("prompt_len"), full_tokens(texts).alias("toks"))
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
         from pyspark import TaskContext
@@ -182,17 +184,24 @@ def tokenizer_features(sft: DataFrame, load_tokenizer, max_length: int = MAX_LEN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _loaded(load_tokenizer, name)
-        for df in batches:
-            rows = []
-            for sample, prompt, full in zip(df["sample_id"], encode(df["prompt"].tolist()), encode(df["full"].tolist())):
-                ids = [*full, eos_id][:max_length] if eos_id is not None else full[:max_length]
-                n, asked = len(ids), min(len(prompt), max_length)
-                labels = ([IGNORE] * asked + ids[asked:])[:max_length]
-                rows.append((sample, len(prompt), n, ids + [pad_id] * (max_length - n), [1] * n + [0] * (max_length - n),
-                             labels + [IGNORE] * (max_length - len(labels))))
-            yield pd.DataFrame(rows, columns=["sample_id", "prompt_len", "n_tokens", "input_ids", "attention_mask", "labels"])
-
-    return sft_texts(sft).select("sample_id", "prompt", "full").mapInPandas(
+        ends, step, at = () if eos_id is None else (eos_id,), max(1, FEATURES // max_length), np.arange(max_length)
+        for batch in batches:
+            for first in range(0, len(batch), step):
+                df = batch.iloc[first:first + step]
+                prompts, answers = df["prompt"].tolist(), df["answer"].tolist()
+                asked = np.fromiter(map(len, encode(prompts)), np.int32, len(df))
+                full = encode([None if p is None or a is None else p + a for p, a in zip(prompts, answers)])
+                size = np.minimum(np.fromiter(map(len, full), np.int32, len(df)) + len(ends), max_length)
+                # The batch's ids as one matrix: a row's lists are views of it.
+                held = at < size[:, None]
+                ids = np.full(held.shape, pad_id, np.int32)
+                ids[held] = np.fromiter(chain.from_iterable(islice(chain(f[:max_length], ends), max_length) for f in full), np.int32, int(size.sum()))
+                labels = np.where(held & (at >= asked[:, None]), ids, np.int32(IGNORE))
+                yield pd.DataFrame({"sample_id": df["sample_id"].to_numpy(), "prompt_len": asked, "n_tokens": size, "input_ids": list(ids),
+                                    "attention_mask": list(held.astype(np.int32)), "labels": list(labels)})
+
+    # The answer goes to the worker, not the full text: the prompt would be made and sent twice.
+    return sft_texts(sft).select("sample_id", "prompt", "answer").mapInPandas(
         run, f"sample_id {kind}, prompt_len int, n_tokens int, input_ids array<int>, attention_mask array<int>, labels array<int>")
 
 
