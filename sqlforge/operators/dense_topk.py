@@ -31,7 +31,9 @@ SIDES = 12        # directions that a group is cut by at most
 FINER = 2         # directions beyond those that cut a group to blocks of the size
 TEAM = 8          # blocks of a team, about
 SALTS = 16        # keys that the pairs of pivots of one group are dealt to
+RUN = 32          # columns of which one maximum is taken
 SLACK = 1e-7      # what rounding may add to a bound
+EQUAL = 2e-9      # values that differ by less may be equal after rounding to SIM_SCALE digits
 
 
 def directions(dim: int) -> np.ndarray:
@@ -94,15 +96,37 @@ def _blocks(df: DataFrame, size: int, name: str) -> DataFrame:
     return blocks.join(teams, "g").withColumn("team", F.pmod(F.xxhash64("blk"), F.col("_teams")).cast("int")).drop("_teams")
 
 
-def best_of_pair(q: np.ndarray, h: np.ndarray, hi: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of q, ids and rounded cosines of the k best rows of h for each row of q, ties to the smaller id."""
-    s = np.round(q @ h.T, SIM_SCALE) + 0.0
-    least = np.partition(s, -min(k, len(hi)), axis=1)[:, -min(k, len(hi))]
-    r, c = np.nonzero(s >= least[:, None])       # ties included; the exact cut is by (value, id)
-    order = np.lexsort((hi[c], -s[r, c], r))
-    r, c = r[order], c[order]
+def best_of_pair(q: np.ndarray, h: np.ndarray, hi: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, ids and rounded cosines of the k best rows of h for each row of q, ties to the smaller id.
+
+    ``floor`` has a value for each row of q; what is below it may be left out. Cosines are neither sorted nor rounded but for the few
+    at or above a bound: the floor, or the k-th of the maxima of ``RUN`` columns each, which k cosines at least reach.
+    """
+    s = q @ h.T
+    least = np.full(len(q), -np.inf) if floor is None else floor
+    if len(hi) >= RUN * k and not np.isfinite(least).all():
+        runs = np.maximum.reduceat(s, np.arange(0, len(hi), RUN), axis=1)
+        least = np.maximum(least, np.partition(runs, -k, axis=1)[:, -k])
+    r, c = np.divmod(np.flatnonzero(s >= (least - EQUAL)[:, None]), len(hi))
+    v = np.round(s[r, c], SIM_SCALE) + 0.0
+    order = np.lexsort((hi[c], -v, r))
+    r, c, v = r[order], c[order], v[order]
     best = np.arange(len(r)) - np.searchsorted(r, r) < k
-    return r[best], hi[c[best]], s[r[best], c[best]]
+    return r[best], hi[c[best]], v[best]
+
+
+def best_of_blocks(q: np.ndarray, items: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`best_of_pair` over several blocks (rows, ids); the k-th values so far are the floors of the next."""
+    r, h, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor = np.full(len(q), -np.inf)
+    for m, hi in items:
+        r, h, s = (np.concatenate(x) for x in zip((r, h, s), best_of_pair(q, m, hi, k, floor)))
+        order = np.lexsort((h, -s, r))
+        r, h, s = r[order], h[order], s[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, h, s, place = (x[place < k] for x in (r, h, s, place))
+        floor[r[place == k - 1]] = s[place == k - 1]
+    return r, h, s
 
 
 def _scored(pairs: DataFrame, qb: DataFrame, hb: DataFrame, k: int) -> DataFrame:
@@ -123,14 +147,10 @@ def _scored(pairs: DataFrame, qb: DataFrame, hb: DataFrame, k: int) -> DataFrame
         q_out, h_out, s_out = [], [], []
         for ids, vecs, partners in zip(*(queries.column(c).to_pylist() for c in ("ids", "vecs", "with"))):
             q, qi = matrix(vecs, len(ids)), np.array(ids, np.int64)
-            parts = [best_of_pair(q, held[b][1], held[b][0], k) for b in partners]
-            r, h, s = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((h, -s, r))
-            r, h, s = r[order], h[order], s[order]
-            best = np.arange(len(r)) - np.searchsorted(r, r) < k
-            q_out.append(qi[r[best]])
-            h_out.append(h[best])
-            s_out.append(s[best])
+            r, h, s = best_of_blocks(q, [(held[b][1], held[b][0]) for b in partners], k)
+            q_out.append(qi[r])
+            h_out.append(h)
+            s_out.append(s)
         q = np.concatenate(q_out) if q_out else np.zeros(0, np.int64)
         return pa.table({"g": pa.array([key[0].as_py()] * len(q), pa.int64()), "q": pa.array(q, pa.int64()),
                          "h": pa.array(np.concatenate(h_out) if h_out else q, pa.int64()), "sim": pa.array(np.concatenate(s_out) if s_out else [], pa.float64())})

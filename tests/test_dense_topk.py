@@ -59,3 +59,26 @@ def test_empty_sides(spark):
     none = spark.createDataFrame([], "g long, id long, vec array<double>")
     one = spark.createDataFrame([(0, 1, [1.0]), (0, 2, None)], "g long, id long, vec array<double>")
     assert D.dense_topk(none, one, 3).count() == 0 and D.dense_topk(one, none, 3).count() == 0 and D.dense_topk(one, one, 3).count() == 1
+
+
+def test_floors_keep_the_best_with_ties_and_zero_rows():
+    r = np.random.default_rng(3)
+    q = D.unit(r.integers(0, 3, (60, 4)).astype(float))
+    q[7] = 0.0
+    items = [(D.unit(r.integers(0, 3, (n, 4)).astype(float)), r.permutation(n) + 1000 * b) for b, n in enumerate((1, 2, 200, 40, 500))]
+    got = {}
+    for row, h, s in zip(*D.best_of_blocks(q, items, 3)):
+        got.setdefault(int(row), []).append((int(h), float(s)))
+    m, ids = np.concatenate([x for x, _ in items]), np.concatenate([x for _, x in items])
+    sims = np.round(q @ m.T, D.SIM_SCALE) + 0.0
+    assert got == {n: [(int(ids[c]), float(sims[n, c])) for c in np.lexsort((ids, -sims[n]))[:3]] for n in range(60)}
+
+
+def test_cosines_far_below_the_best_are_not_sorted(monkeypatch):
+    sorted_rows = []
+    lexsort = np.lexsort
+    monkeypatch.setattr(D.np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or lexsort(keys))
+    r = np.random.default_rng(4)
+    items = [(D.unit(r.normal(size=(1024, 26))), np.arange(1024) + 1024 * b) for b in range(4)]
+    D.best_of_blocks(D.unit(r.normal(size=(256, 26))), items, 3)
+    assert sum(sorted_rows) < 256 * 4 * 30      # of 256 * 4096 cosines
