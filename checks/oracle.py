@@ -829,12 +829,12 @@ SELECT source, """ + ", ".join(f"CAST(min(n_total) FILTER (WHERE upto >= ceil({q
 FROM run GROUP BY source"""
 _UW = "list_transform(list_filter(string_split({}, ' '), lambda w: w <> ''), lambda w: 10 + length(w))"
 ORACLES["sft_features_user"] = _WITH_SCHEMA + f""", {_SFT_ROWS},
-enc AS (SELECT sample_id, {_UW.format('prompt')} AS p, list_append({_UW.format('full_text')}, 1)[1:128] AS ids FROM texts),
+enc AS (SELECT sample_id, {_UW.format('prompt')} AS p, list_append({_UW.format('full_text')}, 1)[1:{_L}] AS ids FROM texts),
 lab AS (SELECT sample_id, len(p) AS np, len(ids) AS n, ids,
-          list_concat(list_transform(range(least(len(p), 128)), lambda x: -100), ids[least(len(p), 128) + 1:])[1:128] AS l FROM enc)
+          list_concat(list_transform(range(least(len(p), {_L})), lambda x: -100), ids[least(len(p), {_L}) + 1:])[1:{_L}] AS l FROM enc)
 SELECT sample_id, CAST(np AS INT) AS prompt_len, CAST(n AS INT) AS n_tokens,
-  md5(array_to_string(list_concat(ids, list_transform(range(128 - n), lambda x: 0)), ',')) AS ids_md5,
-  md5(array_to_string(list_concat(l, list_transform(range(128 - len(l)), lambda x: -100)), ',')) AS labels_md5,
+  md5(array_to_string(list_concat(ids, list_transform(range({_L} - n), lambda x: 0)), ',')) AS ids_md5,
+  md5(array_to_string(list_concat(l, list_transform(range({_L} - len(l)), lambda x: -100)), ',')) AS labels_md5,
   CAST(n AS INT) AS n_mask
 FROM lab"""
 

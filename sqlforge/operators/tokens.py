@@ -184,7 +184,9 @@ def tokenizer_features(sft: DataFrame, load_tokenizer, max_length: int = MAX_LEN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _loaded(load_tokenizer, name)
-        ends, step, at = () if eos_id is None else (eos_id,), max(1, FEATURES // max_length), np.arange(max_length)
+        ends, step = () if eos_id is None else (eos_id,), max(1, FEATURES // max_length)
+        # Rows are cut from plain lists: Spark makes lists of what it is given, of arrays element by element.
+        pads, unseen, seen, past = ([x] * max_length for x in (pad_id, IGNORE, 1, 0))
         for batch in batches:
             for first in range(0, len(batch), step):
                 df = batch.iloc[first:first + step]
@@ -192,13 +194,16 @@ def tokenizer_features(sft: DataFrame, load_tokenizer, max_length: int = MAX_LEN
                 asked = np.fromiter(map(len, encode(prompts)), np.int32, len(df))
                 full = encode([None if p is None or a is None else p + a for p, a in zip(prompts, answers)])
                 size = np.minimum(np.fromiter(map(len, full), np.int32, len(df)) + len(ends), max_length)
-                # The batch's ids as one matrix: a row's lists are views of it.
-                held = at < size[:, None]
-                ids = np.full(held.shape, pad_id, np.int32)
-                ids[held] = np.fromiter(chain.from_iterable(islice(chain(f[:max_length], ends), max_length) for f in full), np.int32, int(size.sum()))
-                labels = np.where(held & (at >= asked[:, None]), ids, np.int32(IGNORE))
-                yield pd.DataFrame({"sample_id": df["sample_id"].to_numpy(), "prompt_len": asked, "n_tokens": size, "input_ids": list(ids),
-                                    "attention_mask": list(held.astype(np.int32)), "labels": list(labels)})
+                flat = np.fromiter(chain.from_iterable(islice(chain(f[:max_length], ends), max_length) for f in full), np.int32, int(size.sum())).tolist()
+                ids, mask, labels, begin = [], [], [], 0
+                for n, k in zip(size.tolist(), np.minimum(asked, max_length).tolist()):
+                    own = flat[begin:begin + n]
+                    begin += n
+                    ids.append(own + pads[n:])
+                    mask.append(seen[:n] + past[n:])
+                    labels.append(unseen[:k] + own[k:] + unseen[max(n, k):])
+                yield pd.DataFrame({"sample_id": df["sample_id"].to_numpy(), "prompt_len": asked, "n_tokens": size, "input_ids": ids,
+                                    "attention_mask": mask, "labels": labels})
 
     # The answer goes to the worker, not the full text: the prompt would be made and sent twice.
     return sft_texts(sft).select("sample_id", "prompt", "answer").mapInPandas(

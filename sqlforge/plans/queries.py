@@ -623,7 +623,7 @@ def q_segment_quantiles(spark, sf):
 @register("sft_features_user")
 def q_sft_features_user(spark, sf):
     """C13 with a plugged-in tokenizer (a stub whose ids SQL can give too)."""
-    f = TK.tokenizer_features(_sft(spark, sf), TK.word_length_tokenizer, max_length=128)
+    f = TK.tokenizer_features(_sft(spark, sf), TK.word_length_tokenizer)
     return f.select("sample_id", "prompt_len", "n_tokens", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),
                     F.md5(F.array_join("labels", ",")).alias("labels_md5"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_mask"))

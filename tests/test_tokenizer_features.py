@@ -1,7 +1,10 @@
 """Features of a plugged-in tokenizer: cut, padded, masked as row by row; only prompt and answer go to the worker."""
+import hashlib
 import random
 
+from sqlforge.constants import MAX_LENGTH
 from sqlforge.operators import tokens as TK
+from sqlforge.plans import queries
 
 
 def _sft(spark, rows):
@@ -31,6 +34,15 @@ def test_features_as_row_by_row(spark, monkeypatch):
     assert TK.tokenizer_features(_sft(spark, []), TK.word_length_tokenizer, max_length=5).count() == 0
 
 
+def test_the_query_keeps_prompts_and_answers_whole(spark, monkeypatch):
+    rows = [(1, "x yy " * 150, "zzz " * 90), (2, "x", "y"), (3, "q " * 5000, "a")]
+    monkeypatch.setattr(queries, "_sft", lambda spark, sf: _sft(spark, rows))
+    md5 = lambda ids: hashlib.md5(",".join(map(str, ids)).encode()).hexdigest()
+    want = {n: (p, k, md5(ids), md5(labels), sum(mask)) for n, (p, k, ids, mask, labels) in _plain(rows, MAX_LENGTH, 1).items()}
+    got = {r.sample_id: tuple(r)[1:] for r in queries.q_sft_features_user(spark, "").collect()}
+    assert got == want and got[1][1] > got[1][0] > 300
+
+
 def test_the_prompt_is_sent_once(spark):
     plan = TK.tokenizer_features(_sft(spark, [(1, "u", "a")]), TK.word_length_tokenizer)._jdf.queryExecution().optimizedPlan()
     assert [c.name() for c in _seq(plan.children().head().output())] == ["sample_id", "prompt", "answer"]
