@@ -82,3 +82,41 @@ def test_cosines_far_below_the_best_are_not_sorted(monkeypatch):
     items = [(D.unit(r.normal(size=(1024, 26))), np.arange(1024) + 1024 * b) for b in range(4)]
     D.best_of_blocks(D.unit(r.normal(size=(256, 26))), items, 3)
     assert sum(sorted_rows) < 256 * 4 * 30      # of 256 * 4096 cosines
+
+
+def test_equal_queries_are_one_row_and_all_get_the_best(spark):
+    r = np.random.default_rng(5)
+    few = r.integers(0, 4, (9, 6)).astype(float)
+    q = [(n % 2, n, few[n % 9]) for n in range(300)]
+    h = [(n % 2, n, r.integers(0, 4, 6).astype(float)) for n in range(400)] + [(0, 1000 + n, few[3]) for n in range(40)]
+    same(got(spark, q, h, 3, 16), plain(q, h, 3))
+    rows = spark.createDataFrame([(g, i, v.tolist()) for g, i, v in q], "g long, id long, vec array<double>")
+    blocks = D._blocks(rows, 1024, "q").select("ids", "at", "vecs").collect()
+    assert sum(len(b.ids) for b in blocks) == 300 and sum(len(b.vecs) for b in blocks) <= 2 * 9 * 6 * 8
+    assert all(len(b.at) == len(b.ids) and max(b.at) + 1 == len(b.vecs) // 48 for b in blocks)
+
+
+def test_rows_of_one_id_share_its_places(spark):
+    h = [(0, n, [1.0, float(n)]) for n in range(5)] + [(0, 0, [1.0, 0.0])]
+    out = got(spark, [(0, 1, [1.0, 0.0]), (0, 1, [1.0, 0.0]), (0, 2, [1.0, 0.0]), (0, 2, [0.0, 1.0])], h, 5, 4)
+    assert [out[0, 1, r] for r in range(1, 6)] == [(0, 1.0)] * 4 + [(1, 0.707106781)] and (0, 1, 6) not in out
+    assert [out[0, 2, r][0] for r in range(1, 6)] == [0, 0, 4, 3, 2]
+
+
+def test_rows_that_cannot_reach_their_floor_are_not_scored(monkeypatch):
+    scored, pair = [], D.best_of_pair
+    monkeypatch.setattr(D, "best_of_pair", lambda q, *a: scored.append(len(q)) or pair(q, *a))
+    r = np.random.default_rng(6)
+    def ball(centre, first):
+        m = D.unit(centre + r.normal(scale=0.05, size=(64, 5)))
+        pivot = D.unit(m.mean(axis=0, keepdims=True))[0]
+        return m, np.arange(64) + first, pivot, float(np.arccos(np.clip(m @ pivot, -1, 1)).max())
+    items = [ball(np.eye(5)[n], 64 * n) for n in range(5)]
+    q = D.unit(np.concatenate([np.eye(5)[n] + r.normal(scale=0.05, size=(20, 5)) for n in range(5)]))
+    row, h, s = D.best_of_blocks(q, items, 3)
+    floor = D._kth(row, s, 3, 100)
+    scored.clear()
+    again = D.best_of_blocks(q, items, 3, floor)
+    assert all((a == b).all() for a, b in zip((row, h, s), again)) and sum(scored) == 100      # of 500: each row with its own block only
+    sims = np.round(q @ np.concatenate([m for m, *_ in items]).T, D.SIM_SCALE)
+    assert h.tolist() == [int(c) for n in range(100) for c in np.lexsort((np.arange(320), -sims[n]))[:3]]
