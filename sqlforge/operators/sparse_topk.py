@@ -152,7 +152,8 @@ class SparseIndex:
         lists = self.lists.join(places, F.col("g") == F.col("_g")).select("_g", F.col("blk").alias("_blk"), "_cblk", "term", "entries")
         kind, k = dict(terms.dtypes)["class"], self.k
 
-        def run(key, of, lists):
+        def run(key, both):
+            of, lists = both.filter(pc.is_null(both.column("entries"))), both.filter(pc.is_valid(both.column("entries")))
             names = of.column("class").combine_chunks() if of.num_rows else pa.array([], of.schema.field("class").type)
             best = []
             if of.num_rows and lists.num_rows:
@@ -175,8 +176,10 @@ class SparseIndex:
                              "g": pa.array([key[0].as_py()] * len(best), pa.string()), "_ord": pa.array([b[1] for b in best], pa.int64()),
                              "sim": pa.array([b[2] for b in best], pa.float64())})
 
-        left = held.select("g", "blk", "cblk", "class", "term", "qw", "tau").groupBy("g", "blk", "cblk")
-        return left.cogroup(lists.groupBy("_g", "_blk", "_cblk")).applyInArrow(run, f"class {kind}, g string, _ord long, sim double")
+        # Both sides of a task as one table: rows with entries are lists, the others words of classes.
+        both = held.select("g", "blk", "cblk", "class", "term", "qw", "tau").unionByName(
+            lists.select(F.col("_g").alias("g"), F.col("_blk").alias("blk"), F.col("_cblk").alias("cblk"), "term", "entries"), allowMissingColumns=True)
+        return both.groupBy("g", "blk", "cblk").applyInArrow(run, f"class {kind}, g string, _ord long, sim double")
 
     def topk(self, queries: DataFrame, query_vecs: DataFrame, q_id: str) -> DataFrame:
         """(q_id, keys, item_id, order_key, sim, rank): the k best items of each query, zeros filled in item order."""
